@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sentrail.llm import decontam, packing, sepscan
+from sentrail.llm import crf, decontam, packing, sepscan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontam.find_hits(docs, bench, keep=["doc_id"]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -26,6 +29,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality_crf": op5_quality_crf,
     "op6_decontamination": op6_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
