@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sentrail.llm import crf, decontam, packing, sepscan
+from sentrail.llm import crf, decontam, linealign, packing, sepscan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_hits(docs, bench, keep=["doc_id"]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, deleted lines, and the SHA-256 of what is left (null for a null text)."""
+    done = linealign.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sepscan.count_tokens(_read(spark, sf_dir, "documents"))
 
@@ -31,6 +38,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_quality_crf": op5_quality_crf,
     "op6_decontamination": op6_decontamination,
+    "op7_line_alignment": op7_line_alignment,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
 }
