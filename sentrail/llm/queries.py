@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrail.llm import crf, decontam, linealign, packing, sepscan
+from sentrail.llm import bayeslsh, crf, decontam, linealign, packing, sepscan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayeslsh.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_quality_crf": op5_quality_crf,
     "op6_decontamination": op6_decontamination,
     "op7_line_alignment": op7_line_alignment,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
+    "op10_minhash_bayes": op10_minhash_bayes,
 }
