@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrail.llm import bayeslsh, crf, decontam, linealign, packing, sepscan
+from sentrail.llm import bayeslsh, crf, decontam, linealign, packing, sepscan, superkmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_superkmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.digests(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_superkmer_windows": op3_superkmer_windows,
     "op5_quality_crf": op5_quality_crf,
     "op6_decontamination": op6_decontamination,
     "op7_line_alignment": op7_line_alignment,
