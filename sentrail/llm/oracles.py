@@ -1,5 +1,49 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from sentrail.llm import divergence
+
+
+
+def _op2() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    classes = "[" + ", ".join(f"len(regexp_extract_all(t, {quoted(c)}))" for c in divergence.CLASSES) + "]"
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN list_transform([{', '.join(map(quoted, v))}], lambda c: len(list_filter(lw, lambda x: x = c)))" for k, v in divergence.COMMON.items()) + " END"
+    known = ", ".join(f"'{k}'" for k in divergence.COMMON)
+    refs = lambda table: f"""(SELECT lang, list(s ORDER BY i) AS q FROM (SELECT lang, i, sum(h[i]) AS s FROM (SELECT lang, {{h}} AS h, unnest(range(1, len({{h}}) + 1)) AS i FROM {table} WHERE lang IS NOT NULL) GROUP BY ALL) GROUP BY lang)"""
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    jsd = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: (({part(f'({p}[i] / list_sum({p}))', f'({q}[i] / list_sum({q}))')}) + ({part(f'({q}[i] / list_sum({q}))', f'({p}[i] / list_sum({p}))')})) / 2))))"
+    limits = f"coalesce(dc, 0) > {divergence.CLASS_LIMIT} OR coalesce(dw, 0) > {divergence.WORD_LIMIT}"
+
+    def measured(table: str) -> str:
+        return f"""SELECT b.*, CASE WHEN word_chars >= {divergence.MIN_CHARS_JUDGED} THEN {jsd('hc', 'rc.q')} END AS dc,
+          CASE WHEN n_words >= {divergence.MIN_WORDS_JUDGED} THEN {jsd('hw', 'rw.q')} END AS dw
+        FROM b LEFT JOIN {refs(table).format(h='hc')} rc USING (lang) LEFT JOIN {refs(table).format(h='hw')} rw USING (lang)"""
+
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN lang IN ({known}) THEN lang END AS lang, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), win AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+again AS (SELECT doc_id, i FROM win JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {classes} AS cl, list_transform(w, lambda x: lower(x)) AS lw,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)
+), b AS MATERIALIZED (
+  SELECT doc_id, lang, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(cl[3] AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+         n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > {divergence.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         list_append(cl, word_chars - list_sum(cl)) AS hc, list_append(cm, n_words - list_sum(cm)) AS hw
+  FROM (SELECT *, {common} AS cm FROM c)
+), b1 AS (SELECT * FROM b WHERE NOT base_failed),
+m1 AS MATERIALIZED ({measured('b1')}),
+b2 AS (SELECT * FROM m1 WHERE NOT base_failed AND NOT ({limits})),
+m2 AS ({measured('b2')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({limits}) AS kept FROM m2
+"""
+
+
 OP3 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -52,6 +96,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 ORACLE_SQL = {
+    "op2_divergence": _op2(),
     "op3_superkmer_windows": OP3,
     "op10_minhash_bayes": OP10,
     "op6_decontamination": OP6,

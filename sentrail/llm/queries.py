@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrail.llm import bayeslsh, crf, decontam, linealign, packing, sepscan, superkmer
+from sentrail.llm import bayeslsh, crf, decontam, divergence, linealign, packing, sepscan, superkmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return divergence.judge(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_superkmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_divergence": op2_divergence,
     "op3_superkmer_windows": op3_superkmer_windows,
     "op5_quality_crf": op5_quality_crf,
     "op6_decontamination": op6_decontamination,
