@@ -143,17 +143,17 @@ def _exact(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS) -> DataFrame:
-    """Returns doc_id, n_shingles, component_id, kept for every row.
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, with_tag: bool = False) -> DataFrame:
+    """Returns doc_id, n_shingles, component_id, kept for every row, and with ``with_tag`` a hash of its text.
 
     component_id is the smallest doc_id that links lead to; kept is true where it is the row's own. Null, empty and
     wordless texts have no shingles, are linked with nothing and kept. Repeated rows have equal sets, so they share
     a component and, with their id the smallest, are both kept. Rows with a null id take part; they get the smallest
     other id of their component and are kept only if there is none. Other columns are not read.
     """
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), F.col(text).alias("text"))
     fields = [StructField("n", LongType()), StructField("c", LongType()), StructField("sig", BinaryType()), StructField("bands", ArrayType(LongType()))]
-    table = written(map_rows(source, _describe(places, rows, size, "text"), fields, ["id"]))
+    table = written(map_rows(source, _describe(places, rows, size, "text"), fields, ["id", "tag"]))
 
     band = table.select("c", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
@@ -204,10 +204,17 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     edges = written(edges.unionByName(linked(written(rest))))
 
     found = components(edges)
-    rowsof = table.select("id", "n", "c")
+    rowsof = table.select("id", "tag", "n", "c")
     labels = rowsof.where("c is not null").groupBy("c").agg(F.min("id").alias("least")).join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
     least = labels.groupBy("component").agg(F.min("least").alias("least"))
     of_class = labels.select("c", "component").join(least, "component").select("c", F.col("least").alias("component_id"))
     done = rowsof.join(of_class, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    return done.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return done.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *["tag"] * with_tag)
+
+
+def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows of one of them all stay."""
+    gone = near_duplicates(docs, text=text, doc_id=doc_id, with_tag=True, **how).where(~F.col("kept"))
+    gone = gone.select(F.struct(F.col(doc_id).alias("id"), "tag").alias("_gone")).distinct()
+    return docs.join(gone, F.struct(F.col(doc_id).alias("id"), F.hash(text).alias("tag")) == F.col("_gone"), "left_anti")
