@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrail.llm import bayeslsh, crf, decontam, divergence, linealign, packing, sepscan, superkmer
+from sentrail.llm import bayeslsh, crf, decontam, divergence, linealign, packing, sepscan, suffixtree, superkmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_superkmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_divergence": op2_divergence,
     "op3_superkmer_windows": op3_superkmer_windows,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_quality_crf": op5_quality_crf,
     "op6_decontamination": op6_decontamination,
     "op7_line_alignment": op7_line_alignment,
