@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrail.llm import bayeslsh, crf, decontam, divergence, linealign, packing, sepscan, suffixtree, superkmer
+from sentrail.llm import bayeslsh, crf, decontam, divergence, linealign, packing, sepscan, suffixtree, superkmer, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"))
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return divergence.judge(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,6 +57,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_divergence": op2_divergence,
     "op3_superkmer_windows": op3_superkmer_windows,
     "op4_suffix_tree": op4_suffix_tree,
