@@ -5,9 +5,15 @@ are banded; classes that share a band are candidates. A candidate pair is compar
 after each batch the posterior of its similarity (uniform prior) is bounded, and the pair is dropped once the
 chance that it reaches the threshold is under ``miss``. Survivors are verified exactly on their full sets.
 
-Pairs within a band are not all tried. First every class meets the smallest class of its bands, then the smallest
-and the largest of each band that still holds more than one component; only pairs whose components still differ are
-then tried in full. What is linked already needs no more comparisons, and no link between components is lost.
+Pairs within a band are not all tried. Every band has a pivot, the class that shares most bands with others (the
+text that the others are copies of, if there is one), and every class meets its pivots. Pairs within a component need
+no comparison, so only bands that still hold several components go on. Where few classes share a pivot, pairs across
+components are tried. Where many do, they are described by their differences from the pivot: with D the symmetric
+difference, two sets reach the threshold exactly if |D(a) & D(b)| reaches a bound that the sizes give. If b is not
+linked with the pivot, that bound is a good part of |D(a)|, so the pair must share one of a few members of D(a); taken are
+those that the pivot lacks. An inverted index of them finds all pairs that can be linked, and copies with edits of
+their own share none.
+No link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 from sentrail.llm._text import NOT_SPACE, Words, map_rows, mix, written
 from sentrail.llm.components import components
 
-SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS = 5, 75, 128, 4, 16, 1e-6
+SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS, SMALL = 5, 75, 128, 4, 16, 1e-6, 64
 _RNG = np.random.default_rng(99991)
 _MULTIPLIERS = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
@@ -143,7 +149,48 @@ def _exact(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, with_tag: bool = False) -> DataFrame:
+def _differences():
+    """Members of the difference of each set from its pivot: what only the set has comes first, and is rarest."""
+
+    def run(batches):
+        for b in batches:
+            row, elem, rank, d = [], [], [], []
+            for r, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                diff = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
+                row.append(np.full(len(diff), r))
+                rank.append(np.arange(1, len(diff) + 1))
+                d.append(np.full(len(diff), len(diff)))
+                elem.append(diff.view(np.int64))
+            flat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+            at = pa.array(flat(row), pa.int64())
+            n = [pa.array([len(v.as_buffer()) // 8 for v in b.column(i)], pa.int64()).take(at) for i in (2, 3)]
+            longs = [pa.array(flat(v), pa.int64()) for v in (d, rank, elem)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(4).take(at), *n, *longs], names=["c", "p", "c_in", "n", "np", "d", "rank", "e"])
+
+    return run
+
+
+def _by_difference(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes with one pivot and different components that may be linked.
+
+    group: p, c, c_in. With s = 100 + percent and q = 100 - percent, a and b are linked exactly if
+    2 s |D(a) & D(b)| >= s (|D(a)| + |D(b)|) - q (|a| + |b|). So the pair must share one of any |D(a)| - bound + 1
+    members of D(a); the first ones, which the pivot doesn't have, are taken.
+    """
+    s, q = 100 + percent, 100 - percent
+    own, base = sets.select("c", "shingles"), sets.select(F.col("c").alias("p"), F.col("shingles").alias("shingles_p"))
+    pairs = group.where("c != p").join(own, "c").join(base, "p").select("c", "p", "shingles", "shingles_p", "c_in")
+    diff = written(pairs.mapInArrow(_differences(), "c long, p long, c_in long, n long, np long, d long, rank long, e long"))
+    least = F.expr(f"floor(({s} * d - {q} * n + {q} * np) / {2 * s})")
+    a = diff.where(F.col("rank") <= F.col("d") - least).select("p", "e", "rank", F.col("c").alias("a"), F.col("c_in").alias("a_in"), F.col("n").alias("a_n"), F.col("d").alias("a_d"))
+    b = diff.where(f"{s} * d > {q} * (n + np)").select("p", "e", F.col("c").alias("b"), F.col("c_in").alias("b_in"), F.col("n").alias("b_n"), F.col("d").alias("b_d"))
+    bound = F.ceil((s * (F.col("a_d") + F.col("b_d")) - q * (F.col("a_n") + F.col("b_n"))) / (2 * s))
+    found = a.join(b, ["p", "e"]).where((F.col("a_in") != F.col("b_in")) & (F.col("rank") <= F.col("a_d") - bound + 1) & (bound <= F.least("a_d", "b_d")))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, small: int = SMALL, with_tag: bool = False) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept for every row, and with ``with_tag`` a hash of its text.
 
     component_id is the smallest doc_id that links lead to; kept is true where it is the row's own. Null, empty and
@@ -156,8 +203,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     table = written(map_rows(source, _describe(places, rows, size, "text"), fields, ["id", "tag"]))
 
     band = table.select("c", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    shared = band.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
     member = written(band.join(shared, "band").distinct())
+    size_of = member.groupBy("band").agg(F.count("*").alias("n"))
+    weight = written(member.join(size_of, "band").groupBy("c").agg((F.sum("n") - F.count("*")).alias("w")))
+    pivot = member.join(weight, "c").groupBy("band").agg(F.max(F.struct("w", "c")).alias("p")).select("band", F.col("p.c").alias("p"), F.col("p.w").alias("pw"))
+    member = written(member.join(pivot, "band"))
 
     involved = member.select("c").distinct()
     chosen = table.where("c is not null").join(involved, "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", F.hash("sig"))).alias("x")).select("c", F.col("x.id").alias("id"))
@@ -181,27 +232,30 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         likely = with_both(sig, "sig", pairs).mapInArrow(_likely(places, batch, percent, miss), "a long, b long")
         return with_both(sets, "shingles", written(likely)).mapInArrow(_exact(percent), "a long, b long")
 
-    tried = written(member.groupBy(F.col("c").alias("a")).agg(F.min("low").alias("b")).where("a != b"))
+    # The heaviest pivot of every class, then all pivots that are still in another component.
+    tried = written(member.groupBy("c").agg(F.max(F.struct("pw", "p")).alias("x")).select(F.col("c").alias("a"), F.col("x.p").alias("b")).where("a != b"))
     edges = written(linked(tried))
-
-    def mixed(edges: DataFrame) -> DataFrame:
-        """Members of the bands that hold more than one component."""
-        found = components(edges)
-        now = member.join(found, member["c"] == found["node"], "left").select("band", "c", "low", "high", F.coalesce("component", "c").alias("component"))
-        many = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        return written(now.join(many, "band"))
-
-    left = mixed(edges)
-    stars = left.select(F.col("c").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    stars = written(stars)
-    edges = written(edges.unionByName(linked(stars)))
-
-    left = mixed(edges)
-    x, y = (left.select("band", F.col("c").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
-    rest = x.join(y, "band").where("a > b and ca != cb").select("a", "b").distinct()
-    rest = rest.join(tried.unionByName(stars), ["a", "b"], "left_anti")
-    edges = written(edges.unionByName(linked(written(rest))))
+    of = lambda name: written(components(edges)).select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+
+    def placed(df: DataFrame, name: str, found: DataFrame) -> DataFrame:
+        return df.join(found, name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
+
+    one = of("c")
+    stars = placed(placed(member.select("c", "p").distinct(), "c", one), "p", one.select(F.col("c").alias("p"), F.col("c_in").alias("p_in")))
+    stars = stars.where("c_in != p_in").select(F.col("c").alias("a"), F.col("p").alias("b")).join(tried, ["a", "b"], "left_anti")
+    edges = written(edges.unionByName(linked(written(stars))))
+
+    left = placed(member.select("band", "c", "p"), "c", of("c"))
+    many = left.groupBy("band").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y")).where("x < y").select("band")
+    left = written(left.join(many, "band"))
+    group = written(left.select("p", "c", "c_in").distinct())
+    big = group.groupBy("p").count().where(F.col("count") > small).select("p")
+    few = left.join(big, "p", "left_anti")
+    x, y = (few.select("band", F.col("c").alias(k), F.col("c_in").alias(f"{k}_in")) for k in ("a", "b"))
+    few_pairs = x.join(y, "band").where("a > b and a_in != b_in").select("a", "b")
+    many_pairs = _by_difference(group.join(big, "p"), sets, percent)
+    rest = written(few_pairs.unionByName(many_pairs).distinct())
+    edges = written(edges.unionByName(linked(rest)))
 
     found = components(edges)
     rowsof = table.select("id", "tag", "n", "c")

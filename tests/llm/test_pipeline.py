@@ -1,5 +1,6 @@
 """The stages of the corpus pipeline against plain versions, each on its own input."""
 
+import random
 import re
 
 import pytest
@@ -46,9 +47,30 @@ def test_near_duplicates(spark):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     got = [tuple(r) for r in bayeslsh.near_duplicates(docs).collect()]
     assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
+    assert sorted((tuple(r) for r in bayeslsh.near_duplicates(docs, small=1).collect()), key=key) == sorted(brute_components(rows), key=key)
     assert bayeslsh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_groups(spark):
+    """Copies with few and many edits of their own, and some that share edits: only these link what is far from the base."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 3, 5, 8, 12])):
+            w[k : k + 1] = rng.choice([[f"x{i}_{k}"], [], [f"y{k}", base[k]]])
+        if i % 3 == 0:
+            for k in (5, 30, 60, 90):
+                w[k] = f"z{i % 9}_{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    assert len({r[2] for r in want}) > 5
+    for small in (1, 64, 1000):
+        assert sorted(tuple(r) for r in bayeslsh.near_duplicates(docs, small=small).collect()) == sorted(want)
+
+
 def test_sequential_bound():
     need = bayeslsh.needed_matches(128, 16, 75, 1e-6)
     assert need[16] < need[64] < need[128] < 96
