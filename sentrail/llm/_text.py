@@ -6,14 +6,18 @@ task does not depend on the size of its partition.
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from sentrail.sources.shared import shared_dir, written  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -137,6 +141,26 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         a = b
 
 
+def tidy() -> None:
+    """Gives freed memory back at the end of a task: workers live on and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidily(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back when it ends."""
+
+    def all_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return all_of
+
+
 def map_rows(df: DataFrame, fn: Callable, fields: list[StructField], keep: list[str], text: str = "text", also: list[str] = ()) -> DataFrame:
     """Runs ``fn(chunk) -> arrays`` (one per field, one value per row) over chunks of rows, without a shuffle.
 
@@ -152,22 +176,4 @@ def map_rows(df: DataFrame, fn: Callable, fields: list[StructField], keep: list[
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *fn(part)], names=names)
 
-    return source.mapInArrow(run, schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_to:
-        set_to = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(set_to)
-        set_to = spark.sparkContext.getCheckpointDir()
-    return set_to.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return source.mapInArrow(tidily(run), schema)

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from sentrail.llm._text import NOT_SPACE, Words, map_rows, mix, written
-from sentrail.llm.components import components
+from sentrail.llm._text import map_rows, mix, NOT_SPACE, tidily, Words, written
+from sentrail.operators.components import components
 
 SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS, SMALL = 5, 75, 128, 4, 16, 1e-6, 64
 _RNG = np.random.default_rng(99991)
@@ -181,7 +181,7 @@ def _by_difference(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     s, q = 100 + percent, 100 - percent
     own, base = sets.select("c", "shingles"), sets.select(F.col("c").alias("p"), F.col("shingles").alias("shingles_p"))
     pairs = group.where("c != p").join(own, "c").join(base, "p").select("c", "p", "shingles", "shingles_p", "c_in")
-    diff = written(pairs.mapInArrow(_differences(), "c long, p long, c_in long, n long, np long, d long, rank long, e long"))
+    diff = written(pairs.mapInArrow(tidily(_differences()), "c long, p long, c_in long, n long, np long, d long, rank long, e long"))
     least = F.expr(f"floor(({s} * d - {q} * n + {q} * np) / {2 * s})")
     a = diff.where(F.col("rank") <= F.col("d") - least).select("p", "e", "rank", F.col("c").alias("a"), F.col("c_in").alias("a_in"), F.col("n").alias("a_n"), F.col("d").alias("a_d"))
     b = diff.where(f"{s} * d > {q} * (n + np)").select("p", "e", F.col("c").alias("b"), F.col("c_in").alias("b_in"), F.col("n").alias("b_n"), F.col("d").alias("b_d"))
@@ -229,8 +229,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
             x, y = (table.select(F.col("c").alias(k), F.col(value).alias(f"{value}_{k}")) for k in ("a", "b"))
             return pairs.join(x, "a").join(y, "b").select("a", "b", f"{value}_a", f"{value}_b")
 
-        likely = with_both(sig, "sig", pairs).mapInArrow(_likely(places, batch, percent, miss), "a long, b long")
-        return with_both(sets, "shingles", written(likely)).mapInArrow(_exact(percent), "a long, b long")
+        likely = with_both(sig, "sig", pairs).mapInArrow(tidily(_likely(places, batch, percent, miss)), "a long, b long")
+        return with_both(sets, "shingles", written(likely)).mapInArrow(tidily(_exact(percent)), "a long, b long")
 
     # The heaviest pivot of every class, then all pivots that are still in another component.
     tried = written(member.groupBy("c").agg(F.max(F.struct("pw", "p")).alias("x")).select(F.col("c").alias("a"), F.col("x.p").alias("b")).where("a != b"))

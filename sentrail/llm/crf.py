@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from sentrail.llm._text import NOT_SPACE, Words, byte_table, chunks, map_rows, mix
+from sentrail.llm._text import byte_table, chunks, map_rows, mix, NOT_SPACE, tidily, Words
 
 SAMPLE = 4000
 MOST_LINES = 2000
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
                 raw = [x[a : a + k].astype("<f4").tobytes() for a, k in zip(first[:-1], n, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["_id", "y", "n", "x"])
 
-    rows = sorted({(r["_id"], r["y"], r["n"], bytes(r["x"])) for r in found.select("_id", "_text", "_label").mapInArrow(run, schema).collect()})[:sample]
+    rows = sorted({(r["_id"], r["y"], r["n"], bytes(r["x"])) for r in found.select("_id", "_text", "_label").mapInArrow(tidily(run), schema).collect()})[:sample]
     x = np.frombuffer(b"".join(r[3] for r in rows), "<f4").reshape(-1, N_FEATURES).astype(float)
     first = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int64)
     return fit(x, first, np.array([r[1] for r in rows], dtype=int))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from sentrail.llm._text import _BYTE, _BYTE_POWERS, NOT_SPACE, buffers, map_rows, mix, written
+from sentrail.llm._text import buffers, _BYTE, _BYTE_POWERS, map_rows, mix, NOT_SPACE, tidily, written
 
 RARE, LONG_WORDS, BLOCK_WORDS = 20, 8, 20
 
@@ -130,13 +130,13 @@ def find_deletions(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     joined = pairs.join(table, ["id", "tag"]).join(table.select(F.col("id").alias("id_a"), F.col("tag").alias("tag_a"), F.col("h").alias("h_a")), ["id_a", "tag_a"])
 
     def align(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             h, w, a = (batch.column(i).to_pylist() for i in (2, 3, 4))
             drop = [common_blocks(x, y, z, block_words) for x, y, z in zip(a, h, w, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drop, pa.list_(pa.int32()))], names=["id", "tag", "drop"])
 
     kind = source.schema["id"].dataType.simpleString()
-    found = joined.select("id", "tag", "h", "w", "h_a").mapInArrow(align, f"id {kind}, tag long, drop array<int>").where("size(drop) > 0")
+    found = joined.select("id", "tag", "h", "w", "h_a").mapInArrow(tidily(align), f"id {kind}, tag long, drop array<int>").where("size(drop) > 0")
     return found.groupBy("id", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("drop"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from sentrail.llm._text import chunks, written
+from sentrail.llm._text import chunks, tidily, written
 from sentrail.llm._tokens import encoder, vocabulary
 
 LONGEST = 1024
@@ -66,7 +66,7 @@ def cut_pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
                 more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([key, *longs, *more, pa.array([task] * len(row), pa.int64()), pa.array(place, pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidily(run), schema)
 
 
 def pack(docs: DataFrame, **how) -> DataFrame:

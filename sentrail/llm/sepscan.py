@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from sentrail.llm._text import chunks, shared_dir, written
+from sentrail.llm._text import chunks, shared_dir, tidily, written
 from sentrail.llm._tokens import SEPARATOR, encoder, vocabulary
 
 BLOCK = 1 << 20  # tokens
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, *, text: str = "text", path: str | None =
         store.move(f"{base}/{name}.{where.taskAttemptId()}", f"{base}/{name}.bin")
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.bin"], "bytes": [size]}, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64())]))
 
-    return written(docs.select(text).mapInArrow(run, FILE))
+    return written(docs.select(text).mapInArrow(tidily(run), FILE))
 
 
 def _scan(block: int, separator: int):
@@ -84,7 +84,7 @@ def scan_token_files(files: DataFrame, *, separator: int = SEPARATOR, block: int
     """
     files = files.where("path is not null").select("path", F.when(F.col("bytes") % 2 == 0, F.col("bytes")).otherwise(F.raise_error("a token file has an odd size")).alias("bytes")).distinct()
     blocks = files.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("bytes") - 1) / (2 * block)).cast("long"))).alias("block"))
-    found = written(blocks.repartition("path", "block").mapInArrow(_scan(block, separator), _BLOCK))
+    found = written(blocks.repartition("path", "block").mapInArrow(tidily(_scan(block, separator)), _BLOCK))
     heads = found.select("path", "block", (F.col("block") / run).cast("long").alias("run"), "n", F.try_element_at("at", F.lit(-1)).alias("last"))
     runs = heads.groupBy("path", "run").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     up = Window.partitionBy("path").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)

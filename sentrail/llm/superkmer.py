@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from sentrail.llm._text import NOT_SPACE, Words, chunks, map_rows, mix, written
+from sentrail.llm._text import chunks, map_rows, mix, NOT_SPACE, tidily, Words, written
 
 SIZE, M, HOT = 50, 8, 50_000
 
@@ -203,7 +203,7 @@ def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
         raise ValueError("a minimiser must fit into a window")
     source = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), F.col(text).alias("text")).where("id is not null")
     kind = source.schema["id"].dataType.simpleString()
-    cut = source.mapInArrow(_cut(size, m), f"id {kind}, tag int, v long, s long, a int, k int")
+    cut = source.mapInArrow(tidily(_cut(size, m)), f"id {kind}, tag int, v long, s long, a int, k int")
     shared = cut.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("v")
     part = written(cut.join(shared, "v"))
 
@@ -213,9 +213,9 @@ def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     involved = part.select("id", "tag").distinct().join(stands, ["id", "tag"], "left")
     texts = written(source.join(involved, ["id", "tag"]).dropDuplicates(["id", "tag"]))
 
-    packed = written(texts.where("need is not null").select("id", "text", "need").mapInArrow(_pack(size), f"v long, s long, first {kind}, packed binary, hot boolean"))
-    dead = packed.where("not hot").repartition("v").sortWithinPartitions("v").mapInArrow(_sort_buckets(size), "v long, s long, dead array<int>")
-    single = packed.where("hot").mapInArrow(_fingerprints(size), f"v long, s long, first {kind}, x long, y long, off int")
+    packed = written(texts.where("need is not null").select("id", "text", "need").mapInArrow(tidily(_pack(size)), f"v long, s long, first {kind}, packed binary, hot boolean"))
+    dead = packed.where("not hot").repartition("v").sortWithinPartitions("v").mapInArrow(tidily(_sort_buckets(size)), "v long, s long, dead array<int>")
+    single = packed.where("hot").mapInArrow(tidily(_fingerprints(size)), f"v long, s long, first {kind}, x long, y long, off int")
     least = single.groupBy("v", "x", "y").agg(F.min("first").alias("low"))
     split = single.join(least, ["v", "x", "y"]).where("low < first").groupBy("v", "s").agg(F.array_sort(F.collect_set("off")).alias("dead"))
     dead = written(dead.unionByName(split))

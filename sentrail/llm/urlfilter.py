@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrail.llm._text import written
+from sentrail.llm._text import tidily, written
 
 # The rules, as action, host and path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -85,7 +85,7 @@ def segment(chunks: DataFrame, counts: DataFrame) -> DataFrame:
             got = [best_split(c, {x["word"]: x["n"] for x in k or ()}, total) for c, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.string()))], names=["chunk", "words"])
 
-    return chunks.join(known, "chunk", "left").select("chunk", "known").mapInArrow(run, "chunk string, words array<string>")
+    return chunks.join(known, "chunk", "left").select("chunk", "known").mapInArrow(tidily(run), "chunk string, words array<string>")
 
 
 def tokens(urls: DataFrame, counts: DataFrame) -> DataFrame:
