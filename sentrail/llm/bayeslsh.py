@@ -245,16 +245,22 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     stars = stars.where("c_in != p_in").select(F.col("c").alias("a"), F.col("p").alias("b")).join(tried, ["a", "b"], "left_anti")
     edges = written(edges.unionByName(linked(written(stars))))
 
-    left = placed(member.select("band", "c", "p"), "c", of("c"))
+    two = of("c")
+    left = placed(member.select("band", "c", "p"), "c", two)
     many = left.groupBy("band").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y")).where("x < y").select("band")
-    left = written(left.join(many, "band"))
+    # Linked pivots form one group around the heaviest of them, so a class is described once for each group.
+    left = placed(left.join(many, "band"), "p", two.select(F.col("c").alias("p"), F.col("c_in").alias("p_in")))
+    left = left.join(weight.select(F.col("c").alias("p"), "w"), "p")
+    base = left.groupBy("p_in").agg(F.max(F.struct("w", "p")).alias("x")).select("p_in", F.col("x.p").alias("base"))
+    left = written(left.join(base, "p_in").select("band", "c", "c_in", F.col("base").alias("p")))
     group = written(left.select("p", "c", "c_in").distinct())
     big = group.groupBy("p").count().where(F.col("count") > small).select("p")
     few = left.join(big, "p", "left_anti")
     x, y = (few.select("band", F.col("c").alias(k), F.col("c_in").alias(f"{k}_in")) for k in ("a", "b"))
     few_pairs = x.join(y, "band").where("a > b and a_in != b_in").select("a", "b")
     many_pairs = _by_difference(group.join(big, "p"), sets, percent)
-    rest = written(few_pairs.unionByName(many_pairs).distinct())
+    to_base = group.join(big, "p").where("c != p").select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b"))
+    rest = written(few_pairs.unionByName(many_pairs).unionByName(to_base).distinct())
     edges = written(edges.unionByName(linked(rest)))
 
     found = components(edges)
