@@ -1,16 +1,18 @@
 """Scoring by a probabilistic suffix tree over words.
 
-Symbols are the frequent words (a share of at least ``share`` of the training tokens), the end of a text, and one
-symbol for every other word. Candidate contexts are grown word by word while they are frequent; a context of depth d
-stays if its next-symbol distribution diverges from that of its suffix by a likelihood-ratio test, or if a longer
-context on top of it stays. Each context's distribution is smoothed with that of its suffix, down to the add-one word
-frequencies, and every token is scored in the longest context that the tree has. A rare word has the probability
-of the rare symbol, shared out by the add-one frequencies, so the model is a distribution over all texts.
-
-Counting is one pass over the corpus for each depth, with sums made in each task before the shuffle. Tables that are
-broadcast or collected hold items of at least a given share of all tokens, so they have at most 1 / share rows at any
-size: ``share`` for symbols and contexts, ``entry_share`` for next-symbol counts, ``table_share`` for word counts.
-Words under ``table_share`` get their counts by a join.
+Every word and the end of a text is a symbol. Contexts are the runs of one to three words that training has at least
+``LEAST`` times; a context of depth d stays if its next-symbol distribution diverges from that of its suffix by a
+likelihood-ratio test, or if a longer context on top of it stays. Each context's distribution is smoothed with that
+of its suffix, down to the add-one word frequencies, and every token is scored in the longest context that the tree
+has. The minimum is a count and not a share, so what is learned does not shrink as the corpus grows.
+
+The tree is a set of Spark tables keyed by the hash of a run of words: a run of k words is a context of depth k and an
+entry (context and next symbol) of depth k - 1. A score in the longest context is a sum over the runs that end in each
+token: an entry adds log(1 + n / ((strength + rest) * p of its suffix)), a context adds the log of the mass that it
+leaves to its suffix. So scoring is one join of runs with weights. Weights of words and runs of at least ``table_share``
+and ``HOT_SHARE`` of all tokens are broadcast (at most 1 / share of them each, at any size); all others are joined.
+
+``train`` and ``Tree`` are the plain form in memory, with a symbol for rare words, for comparison on small corpora.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from sentrail.llm.crf import fold_of
 
 FOLDS, HELD_OUT, DEPTH = 7, 2, 3
 SHARE, ENTRY_SHARE, TABLE_SHARE = 1e-5, 1e-6, 2e-7
+LEAST, HOT_SHARE = 2, 2e-6
+TURN = 17
 STRENGTH = 10.0
 END_WORD = np.uint64(0x1234567890ABCDEF)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -281,43 +285,162 @@ def _hash_of(keys: list[tuple]) -> np.ndarray:
     return h
 
 
-def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, **how) -> DataFrame:
+def runs(tokens: np.ndarray, first: np.ndarray, depth: int):
+    """Hashes of the runs of 2 to depth + 1 tokens in a row, and the places of their last tokens."""
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    h = tokens
+    for d in range(1, depth + 1):
+        before = np.zeros(len(tokens), dtype=np.uint64)
+        before[1:] = h[:-1]
+        h = tokens ^ (before << np.uint64(TURN) | before >> np.uint64(64 - TURN))
+        at = np.flatnonzero(place >= d)
+        yield h[at], at
+
+
+def _longer(run, word):
+    """Hash of a run with one more word, as in ``runs``."""
+    return F.shiftleft(run, TURN).bitwiseOR(F.shiftrightunsigned(run, 64 - TURN)).bitwiseXOR(word)
+
+
+def _shorter(run, word):
+    """Hash of a run without its last word."""
+    x = run.bitwiseXOR(word)
+    return F.shiftleft(x, 64 - TURN).bitwiseOR(F.shiftrightunsigned(x, TURN))
+
+
+def _run_counts(texts: DataFrame, depth: int) -> DataFrame:
+    """size, g, y (last word) and n of all runs; sums are made in each chunk before the shuffle."""
+
+    def count(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                tokens, first = tokens_of(part.column(0))
+                for k, (h, at) in enumerate(runs(tokens, first, depth)):
+                    g, one, n = np.unique(h, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k + 2, np.int32)), pa.array(g.view(np.int64)), pa.array(tokens[at[one]].view(np.int64)), pa.array(n)], names=["size", "g", "y", "n"])
+
+    return texts.mapInArrow(tidily(count), "size int, g long, y long, n long").groupBy("size", "g", "y").agg(F.sum("n").alias("n"))
+
+
+def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, *, depth: int = DEPTH, least: float = LEAST, entry_least: float = LEAST, strength: float = STRENGTH) -> tuple[DataFrame, DataFrame]:
+    """The tree as tables: words (key, n, w) and runs (g, n, w) with their weights (log10)."""
+    found = written(_run_counts(texts, depth).where(F.col("n") >= entry_least))
+    base = ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("base")
+    end = int(END_WORD.view(np.int64))
+    entries, stats = [], []
+    for d in range(1, depth + 1):
+        e = found.where(F.col("size") == d + 1).select("g", "y", "n", _shorter(F.col("g"), F.col("y")).alias("c"))
+        if d == 1:
+            up = counts.select(F.col("key").alias("c"), F.col("n").alias("total"), F.lit(0).cast("long").alias("c_up"))
+            e = e.join(counts.select(F.col("key").alias("y"), base), "y").withColumns({"up": F.col("y"), "expected": F.col("base")})
+            e = e.join(up.where((F.col("c") != end) & (F.col("total") >= least)), "c")
+        else:
+            up = entries[-1].where((F.col("y") != end) & (F.col("n") >= least)).select(F.col("g").alias("c"), F.col("n").alias("total"), F.col("up").alias("c_up"))
+            e = e.join(up, "c").withColumn("up", _longer(F.col("c_up"), F.col("y")))
+            suffix = entries[-1].select(F.col("g").alias("up"), "base", ((F.col("n") + F.col("base")) / (F.col("total") + 1)).alias("expected"))
+            e = e.join(suffix, "up")
+        e = written(e.select("g", "y", "n", "c", "total", "c_up", "up", "base", "expected"))
+        entries.append(e)
+        total = F.max("total")
+        parts = F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("expected"))))
+        s = e.groupBy("c").agg(total.alias("total"), F.max("c_up").alias("c_up"), F.count("*").alias("k"), (total - F.sum("n")).alias("rest"), parts.alias("g"), F.greatest(F.lit(1e-12), 1 - F.sum("expected")).alias("other"))
+        g = 2 * (F.col("g") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("total") * F.col("other")))).otherwise(F.lit(0.0)))
+        stats.append(s.select("c", "c_up", "total", "rest", (g > F.col("k") + 4 * F.sqrt(2 * F.col("k")) + 4).alias("own")))
+    kept: list[DataFrame] = []
+    for s in reversed(stats):
+        if kept:
+            on_top = kept[0].select(F.col("c_up").alias("c"), F.lit(True).alias("on_top")).distinct()
+            s = s.join(on_top, "c", "left").where("own or on_top").drop("on_top")
+        else:
+            s = s.where("own")
+        left = F.lit(strength) + F.col("rest")
+        kept.insert(0, written(s.select("c", "c_up", "total", left.alias("left"), F.log10(left / (F.col("total") + strength)).alias("w"))))
+    weights, p = [], None
+    for d, (e, k) in enumerate(zip(entries, kept, strict=True)):
+        e = e.drop("total").join(k.select("c", "total", "left"), "c")
+        e = e.withColumn("before", F.col("base")) if d == 0 else e.join(p, "up")
+        e = e.select("g", "n", ((F.col("n") + F.col("left") * F.col("before")) / (F.col("total") + strength)).alias("p"), F.log10(1 + F.col("n") / (F.col("left") * F.col("before"))).alias("w"))
+        e = written(e)
+        p = e.select(F.col("g").alias("up"), F.col("p").alias("before"))
+        weights.append(e.select("g", "n", "w"))
+        if d:
+            weights.append(k.select(F.col("c").alias("g"), F.col("total").alias("n"), "w"))
+    both = weights[0]
+    for w in weights[1:]:
+        both = both.unionByName(w)
+    words = counts.join(kept[0].select(F.col("c").alias("key"), "w"), "key", "left").select("key", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    return written(words), written(both.groupBy("g").agg(F.max("n").alias("n"), F.sum("w").alias("w")))
+
+
+def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH, share: float = 0.0, entry_share: float = 0.0, table_share: float = TABLE_SHARE, hot_share: float = HOT_SHARE, strength: float = STRENGTH) -> DataFrame:
     """Trains on the rows outside the held-out fold and scores all rows.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10). A null or empty text
     is an end alone. A row with a null id is in the training part and is scored. Repeated rows count each in
-    training and get one result each. An empty table gives an empty result. Words are told apart by 64-bit hashes.
-    Other columns are not read.
+    training and get one result each. An empty table gives an empty result. Words and runs are told apart by 64-bit
+    hashes. Other columns are not read. Contexts and entries need ``LEAST`` occurrences, or ``share`` and
+    ``entry_share`` of the tokens where those are given; ``table_share`` and ``hot_share`` have no effect on results.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    fold = fold_of("id", folds)
-    tree, counts = train(source.where(fold != held_out), **how)
-    model = docs.sparkSession.sparkContext.broadcast(tree)
     kind = source.schema["id"].dataType.simpleString()
+    fold = fold_of("id", folds)
+    texts = source.where(fold != held_out).select("text")
+    counts = written(_summed(texts, _word_counts))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words, weights = grow(texts, counts, n, v, depth=depth, least=max(LEAST, share * n), entry_least=max(LEAST, entry_share * n), strength=strength)
+    hot = words.where(F.col("n") >= max(1, table_share * n)).toArrow()  # 1 / table_share rows at most
+    hot_runs = weights.where(F.col("n") >= max(1, hot_share * n)).toArrow()  # depth / hot_share rows at most
+    column = lambda t, c: np.asarray(t[c].to_numpy())
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    known = broadcast((Table(column(hot, "key").view(np.uint64)), np.log10((column(hot, "n") + 1) / (n + v + 1)), column(hot, "w")))
+    often = broadcast((Table(column(hot_runs, "g").view(np.uint64)), column(hot_runs, "w")))
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in chunks(batch, "text"):
                 tokens, first = tokens_of(part.column(1))
-                known, base, total, at, rare = model.value.score(tokens, first)
-                offs = np.searchsorted(at, np.arange(part.num_rows + 1))
+                (table, log_base, left), (runs_table, w) = known.value, often.value
+                at = table.find(tokens)
+                has = at >= 0
+                base, total = np.zeros(len(tokens)), np.zeros(len(tokens))
+                base[has], total[has] = log_base[at[has]], left[at[has]]
+                total += base
+                rest, rest_at = [], []
+                for h, place in runs(tokens, first, depth):
+                    got = runs_table.find(h)
+                    total[place[got >= 0]] += w[got[got >= 0]]
+                    rest.append(h[got < 0])
+                    rest_at.append(place[got < 0])
+                row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
+                add = lambda x: np.bincount(row_of, weights=x, minlength=part.num_rows)  # noqa: B023, E731
+
+                def lists(hashes, places):
+                    at = row_of[places]  # noqa: B023
+                    order = np.argsort(at, kind="stable")
+                    offs = np.searchsorted(at[order], np.arange(part.num_rows + 1))  # noqa: B023
+                    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(hashes[order].view(np.int64)))
+
+                out = np.flatnonzero(~has)
                 rows = np.arange(row, row + part.num_rows)
                 row += part.num_rows
-                rare = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(rare.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows), pa.array(np.diff(first), pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), rare], names=["id", "row", "n_tokens", "known", "base", "total", "rare"])
+                columns = [part.column(0), pa.array(rows), pa.array(np.diff(first), pa.int64()), pa.array(add(has).astype(np.int64)), pa.array(add(base)), pa.array(add(total)), lists(tokens[out], out), lists(np.concatenate(rest), np.concatenate(rest_at))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_tokens", "known", "base", "total", "rare", "runs"])
 
     # Row numbers hold because the table is written before they are used.
-    parts = written(source.mapInArrow(tidily(run), f"id {kind}, row long, n_tokens long, known long, base double, total double, rare array<long>"))
-    rare = parts.select("row", F.explode("rare").alias("key")).join(counts, "key", "left")
-    more = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("log"))
+    parts = written(source.mapInArrow(tidily(run), f"id {kind}, row long, n_tokens long, known long, base double, total double, rare array<long>, runs array<long>"))
+    rare = parts.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
+    more = rare.select("row", F.col("n").isNotNull().cast("long").alias("more"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1))).alias("log"), F.coalesce("w", F.lit(0.0)).alias("w"))
+    longer = parts.select("row", F.explode("runs").alias("g")).join(weights.select("g", "w"), "g")
+    more = more.unionByName(longer.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("log"), "w"))
+    more = more.groupBy("row").agg(F.sum("more").alias("more"), F.sum("log").alias("log"), F.sum("w").alias("w"))
     log = F.coalesce("log", F.lit(0.0))
-    return parts.join(more, "row", "left").select(
+    return parts.drop("rare", "runs").join(more, "row", "left").select(
         F.col("id").alias(doc_id),
         (fold == held_out).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tree.n).cast("long").alias("train_tokens"),
+        F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + log).alias("base_score"),
-        (F.col("total") + log).alias("score"),
+        (F.col("total") + log + F.coalesce("w", F.lit(0.0))).alias("score"),
     )

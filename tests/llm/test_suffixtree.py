@@ -80,3 +80,31 @@ def test_lookup():
     assert (table.find(keys) == np.arange(len(keys))).all()
     assert (table.find(keys + np.uint64(1)) == np.where(np.isin(keys + np.uint64(1), keys), np.searchsorted(keys, keys + np.uint64(1)), -1)).all()
     assert (st.Table(keys[:0]).find(keys) == -1).all()
+
+
+def test_tables_match_the_plain_tree(spark):
+    """Every word is frequent here, so the plain form has no rare symbol and must give the same scores."""
+    rng = np.random.default_rng(5)
+    words = ["a", "b", "c", "d", "e", "f"]
+    rows = [(k, " ".join("a b c d e f a c e".split()[: 3 + k % 7]) + " " + " ".join(rng.choice(words, 30))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where(st.fold_of("doc_id", st.FOLDS) != st.HELD_OUT)
+    tree, _ = st.train(train, share=0, entry_share=0, table_share=0)
+    assert all(len(level.context) for level in tree.levels)
+    want = dict(zip([r[0] for r in rows], tree.score(*st.tokens_of(pa.array([r[1] for r in rows])))[2], strict=True))
+    for how in ({}, {"table_share": 1.0, "hot_share": 1.0}):
+        got = {r.doc_id: r.score for r in st.score(docs, **how).collect()}
+        assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+
+
+def test_a_passage_is_learned_at_any_size(spark):
+    """A passage of three training texts is learned beside 400,000 other tokens as well."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    held = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 == 2][0]
+    train = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    rng = np.random.default_rng(7)
+    rows = [(held, passage)] + [(k, passage) for k in train[:3]] + [(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 2000))) for k in train[3:203]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in st.score(docs).collect()}
+    assert got[held].train_tokens > 400_000
+    assert got[held].score > got[held].base_score / 2
