@@ -3,9 +3,13 @@
 Every line belongs to the earliest document that has it. A later document is compared with the owners of its
 evidence lines: lines that occur once in it and are rare (in at most ``rare`` documents) or long (at least
 ``long_words`` words, which is evidence at any frequency). That is a star around the owner, so a group of n copies
-gives n pairs and no pair is lost to a cap. The line hashes of a pair are aligned with patience diff, and aligned
-runs of at least ``block_words`` words are deleted from the later document. The owner of a line never loses it, so
-each deleted line stays in its first document.
+gives n pairs. The line hashes of a pair are aligned with patience diff, and aligned runs of at least ``block_words``
+words are deleted from the later document. The owner of a line never loses it, so each deleted line stays in its
+first document.
+
+What alignment with these owners can't see is found exactly by blocks: the shortest runs of lines of at least
+``block_words`` words, from every first line and to every last line. A block that an earlier document has, in any
+number of documents and any number of times, is deleted from the later one.
 """
 
 from __future__ import annotations
@@ -111,6 +115,50 @@ def common_blocks(a: list[int], b: list[int], words: list[int], block_words: int
     return out
 
 
+def line_blocks(h: np.ndarray, words: np.ndarray, first: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs of lines of one row with ``block_words`` words: hash, first line, line after the last, row.
+
+    They are taken from every line forwards and from every line backwards; both ends have words.
+    """
+    n = len(h)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    c = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.flatnonzero(words > 0)
+    # Least end with c[end] - c[start] >= block_words, and greatest start with the same.
+    ends = np.searchsorted(c, c[at] + block_words)
+    starts = np.searchsorted(c, c[at + 1] - block_words, side="right") - 1
+    a, b = np.concatenate([at, starts]), np.concatenate([ends, at + 1])
+    owner = np.concatenate([row[at], row[at]])
+    ok = (a >= first[owner]) & (b <= first[owner + 1]) & (b <= n)
+    a, b, owner = a[ok], b[ok], owner[ok]
+    if len(a):
+        a, b, owner = np.unique(np.stack([a, b, owner]), axis=1)
+    up, down = _BYTE_POWERS.get(n + 1)
+    with np.errstate(over="ignore"):
+        x = np.concatenate([[np.uint64(0)], np.cumsum(h.view(np.uint64) * up[:n], dtype=np.uint64)]).astype(np.uint64)
+        run = mix((x[b] - x[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return run.view(np.int64), a, b, owner
+
+
+def find_blocks(table: DataFrame, block_words: int) -> DataFrame:
+    """Lines of blocks that an earlier document has: id, tag, drop. ``table``: id, tag, h, w (line hashes, words)."""
+
+    def blocks(batches):
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            h, w = batch.column(2), batch.column(3)
+            first = np.concatenate([[0], np.cumsum(np.array(h.value_lengths().fill_null(0)))]).astype(np.int64)
+            run, a, b, row = line_blocks(np.array(h.flatten()), np.array(w.flatten()), first, block_words)
+            ids = batch.column(0).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1).take(pa.array(row)), pa.array(run), pa.array((a - first[row]).astype(np.int32)), pa.array((b - first[row]).astype(np.int32))], names=["id", "tag", "b", "s", "e"])
+
+    kind = table.schema["id"].dataType.simpleString()
+    block = table.select("id", "tag", "h", "w").mapInArrow(tidily(blocks), f"id {kind}, tag long, b long, s int, e int")
+    owner = block.groupBy("b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("b", "first")
+    later = block.join(owner, "b").where(F.col("first") < F.col("id"))
+    lines = later.select("id", "tag", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("line")).distinct()
+    return lines.groupBy("id", "tag").agg(F.collect_list("line").alias("drop"))
+
+
 def find_deletions(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", rare: int = RARE, long_words: int = LONG_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Lines to delete: doc_id, tag (hash of the text), drop (places of lines, in order)."""
     source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text")).where("id is not null and text is not null")
@@ -137,6 +185,7 @@ def find_deletions(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     kind = source.schema["id"].dataType.simpleString()
     found = joined.select("id", "tag", "h", "w", "h_a").mapInArrow(tidily(align), f"id {kind}, tag long, drop array<int>").where("size(drop) > 0")
+    found = found.unionByName(find_blocks(table, block_words))
     return found.groupBy("id", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("drop"))
 
 

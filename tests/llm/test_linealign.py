@@ -75,3 +75,47 @@ def test_cases(spark):
     got = sorted((r.doc_id or -1, r.text if r.text is not None else "NULL", r.tag or "", r.n_lines, r.n_removed) for r in la.dedup_lines(docs, rare=2).collect())
     assert got == sorted([(1, a, "u", 2, 0), (2, "own line of b", "v", 3, 2), (3, "", "", 1, 0), (4, "NULL", "w", 0, 0), (-1, a, "n", 2, 0), (2, "own line of b", "v", 3, 2), (2, "other", "v", 1, 0), (9, "", "z", 2, 2), (5, "\n\n", "q", 3, 0)])
     assert la.dedup_lines(docs.limit(0)).count() == 0
+
+
+def exact(docs, block_words=la.BLOCK_WORDS):
+    """Places of the lines in runs of at least block_words words that an earlier document has too."""
+    lines = {d: t.split("\n") for d, t in docs.items()}
+    out = {}
+    for d, ls in lines.items():
+        drop = set()
+        for e in (x for x in lines if x < d):
+            for i in range(len(ls)):
+                for k in range(len(lines[e])):
+                    n = 0
+                    while i + n < len(ls) and k + n < len(lines[e]) and ls[i + n] == lines[e][k + n]:
+                        n += 1
+                    run = ls[i : i + n]
+                    # Blank lines at the ends belong to no block of their own.
+                    while run and not words(run[-1]):
+                        run.pop()
+                    if run and words(run[0]) and sum(map(words, run)) >= block_words:
+                        drop |= set(range(i, i + len(run)))
+        out[d] = drop
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["", "a", "b c", "d e f"]), max_size=9), min_size=1, max_size=4))
+def test_blocks_cover_common_runs(rows):
+    """Blocks against brute force over all earlier documents."""
+    docs = {k: "\n".join(r) for k, r in enumerate(rows)}
+    h, w, first = la.line_hashes(pa.array(list(docs.values()), pa.string()))
+    run, a, b, row = la.line_blocks(h, w, first, 4)
+    got = {k: set() for k in docs}
+    for x, i, j, r in zip(run, a, b, row, strict=True):
+        if any(y == x and q < r for y, q in zip(run, row, strict=True)):
+            got[int(r)] |= set(range(int(i - first[r]), int(j - first[r])))
+    assert got == exact(docs, 4)
+
+
+def test_blocks_at_any_frequency(spark):
+    """Short lines in more than ``rare`` documents, and a block that the later document holds twice."""
+    verse = "\n".join(f"short line {k}" for k in range(8))
+    rows = [(k, f"own {k}\n{verse}\nend {k}") for k in range(25)] + [(30, f"{verse}\nbetween\n{verse}")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in la.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (rows[0][1], 0)} | {k: (f"own {k}\nend {k}", 8) for k in range(1, 25)} | {30: ("between", 16)}
