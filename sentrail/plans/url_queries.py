@@ -163,7 +163,12 @@ def brand_match(spark, sf):
 def brand_dl(spark, sf):
     """Edit distance of every name's first token to a brand, where a bound lets it through."""
     t = _stems(spark, sf).select(F.get(U.stem_tokens(F.col("stem")), F.lit(0)).alias("token")).where("token is not null").distinct()
-    pair = t.select("token", F.explode(U.lits(fixed.BRAND_REGISTRY)).alias("brand")).where(F.levenshtein("token", "brand") <= 4)
+    return near_brands(t)
+
+
+def near_brands(tokens):
+    """Pairs of tokens and brands at a distance of 4 or less; a swap counts 1 there and 2 in plain edits, so 8 of those are a bound."""
+    pair = tokens.select("token", F.explode(U.lits(fixed.BRAND_REGISTRY)).alias("brand")).where(F.levenshtein("token", "brand") <= 8)
     d = pair.withColumn("distance", U.edit_distance("token", "brand"))
     return d.withColumn("similarity", F.bround(1 - F.col("distance") / F.greatest(F.char_length("token"), F.char_length("brand")), 3)).where("distance <= 4")
 
