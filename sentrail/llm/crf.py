@@ -195,13 +195,14 @@ def fold_of(doc_id: str, folds: int):
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE, most_lines: int = MOST_LINES, folds: int = FOLDS, held_out: int = HELD_OUT) -> Field:
     """Fits the field on at most ``sample`` labelled documents outside the held-out fold.
 
-    The sample takes the labelled ids with the smallest hashes; an id with several labels takes the smallest. Rows
-    with a null id or label are left out. Without any labelled row, every line is as likely good as bad.
+    The sample takes the labelled ids with the smallest hashes; an id with several labels takes the smallest, and
+    one with several texts takes that of the smallest hash. Rows with a null id or label are left out. Without any labelled row, every line is as likely good as bad.
     """
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label is not null")
     chosen = chosen.where(fold_of("_id", folds) != held_out).groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # at most ``sample`` rows
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    found = found.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))  # at most ``sample`` rows
     schema = "_id " + docs.schema[doc_id].dataType.simpleString() + ", y int, n int, x binary"
 
     def run(batches):
@@ -212,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
                 raw = [x[a : a + k].astype("<f4").tobytes() for a, k in zip(first[:-1], n, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["_id", "y", "n", "x"])
 
-    rows = sorted({(r["_id"], r["y"], r["n"], bytes(r["x"])) for r in found.select("_id", "_text", "_label").mapInArrow(tidily(run), schema).collect()})[:sample]
+    rows = sorted({(r["_id"], r["y"], r["n"], bytes(r["x"])) for r in found.select("_id", "_text", "_label").mapInArrow(tidily(run), schema).collect()})
     x = np.frombuffer(b"".join(r[3] for r in rows), "<f4").reshape(-1, N_FEATURES).astype(float)
     first = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int64)
     return fit(x, first, np.array([r[1] for r in rows], dtype=int))
