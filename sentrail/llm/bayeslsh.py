@@ -6,14 +6,13 @@ after each batch the posterior of its similarity (uniform prior) is bounded, and
 chance that it reaches the threshold is under ``miss``. Survivors are verified exactly on their full sets.
 
 Pairs within a band are not all tried. Every band has a pivot, the class that shares most bands with others (the
-text that the others are copies of, if there is one), and every class meets its pivots. Pairs within a component need
-no comparison, so only bands that still hold several components go on. Where few classes share a pivot, pairs across
-components are tried. Where many do, they are described by their differences from the pivot: with D the symmetric
-difference, two sets reach the threshold exactly if |D(a) & D(b)| reaches a bound that the sizes give. If b is not
-linked with the pivot, that bound is a good part of |D(a)|, so the pair must share one of a few members of D(a); taken are
-those that the pivot lacks. An inverted index of them finds all pairs that can be linked, and copies with edits of
-their own share none.
-No link between components is lost.
+text that the others are copies of, if there is one), and every class meets its heaviest pivot. Pairs within a
+component need no comparison, so only bands that still hold several components go on. Their candidates are narrowed
+by two bounds that no link can break. Members of a set are ranked from the rarest in these bands to the most common;
+if the first member that two sets share has rank i in one of n, they share n - i at most. And one set can't be smaller
+than the threshold times the other. So a class is entered under the few members that may come first, once for its
+own size and, as the larger of a pair, for the sizes that its rank still allows. Copies with edits of their own rank
+those first and meet nobody, however large their group is. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,14 +21,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from sentrail.llm._text import map_rows, mix, NOT_SPACE, tidily, Words, written
 from sentrail.operators.components import components
 
-SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS, SMALL = 5, 75, 128, 4, 16, 1e-6, 64
+SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS = 5, 75, 128, 4, 16, 1e-6
 _RNG = np.random.default_rng(99991)
 _MULTIPLIERS = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
@@ -149,48 +148,47 @@ def _exact(percent: int):
     return run
 
 
-def _differences():
-    """Members of the difference of each set from its pivot: what only the set has comes first, and is rarest."""
-
-    def run(batches):
-        for b in batches:
-            row, elem, rank, d = [], [], [], []
-            for r, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                diff = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
-                row.append(np.full(len(diff), r))
-                rank.append(np.arange(1, len(diff) + 1))
-                d.append(np.full(len(diff), len(diff)))
-                elem.append(diff.view(np.int64))
-            flat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-            at = pa.array(flat(row), pa.int64())
-            n = [pa.array([len(v.as_buffer()) // 8 for v in b.column(i)], pa.int64()).take(at) for i in (2, 3)]
-            longs = [pa.array(flat(v), pa.int64()) for v in (d, rank, elem)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(4).take(at), *n, *longs], names=["c", "p", "c_in", "n", "np", "d", "rank", "e"])
-
-    return run
-
-
-def _by_difference(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes with one pivot and different components that may be linked.
-
-    group: p, c, c_in. With s = 100 + percent and q = 100 - percent, a and b are linked exactly if
-    2 s |D(a) & D(b)| >= s (|D(a)| + |D(b)|) - q (|a| + |b|). So the pair must share one of any |D(a)| - bound + 1
-    members of D(a); the first ones, which the pivot doesn't have, are taken.
-    """
-    s, q = 100 + percent, 100 - percent
-    own, base = sets.select("c", "shingles"), sets.select(F.col("c").alias("p"), F.col("shingles").alias("shingles_p"))
-    pairs = group.where("c != p").join(own, "c").join(base, "p").select("c", "p", "shingles", "shingles_p", "c_in")
-    diff = written(pairs.mapInArrow(tidily(_differences()), "c long, p long, c_in long, n long, np long, d long, rank long, e long"))
-    least = F.expr(f"floor(({s} * d - {q} * n + {q} * np) / {2 * s})")
-    a = diff.where(F.col("rank") <= F.col("d") - least).select("p", "e", "rank", F.col("c").alias("a"), F.col("c_in").alias("a_in"), F.col("n").alias("a_n"), F.col("d").alias("a_d"))
-    b = diff.where(f"{s} * d > {q} * (n + np)").select("p", "e", F.col("c").alias("b"), F.col("c_in").alias("b_in"), F.col("n").alias("b_n"), F.col("d").alias("b_d"))
-    bound = F.ceil((s * (F.col("a_d") + F.col("b_d")) - q * (F.col("a_n") + F.col("b_n"))) / (2 * s))
-    found = a.join(b, ["p", "e"]).where((F.col("a_in") != F.col("b_in")) & (F.col("rank") <= F.col("a_d") - bound + 1) & (bound <= F.least("a_d", "b_d")))
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, small: int = SMALL, with_tag: bool = False) -> DataFrame:
+def _members(batches):
+    """One row for each member of each set."""
+    for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        raw = b.column(1)
+        n = np.array([len(v.as_buffer()) // 8 for v in raw], dtype=np.int64)
+        at = pa.array(np.repeat(np.arange(len(n)), n))
+        flat = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(flat), pa.array(np.repeat(n, n))], names=["c", "e", "n"])
+
+
+def _narrowed(place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be linked. place: c, c_in of all classes in question."""
+    part, whole = percent, 100 + percent
+    member = written(sets.join(place.select("c"), "c", "left_semi").select("c", "shingles").mapInArrow(tidily(_members), "c long, e long, n long"))
+    often = member.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = member.join(often, "e", "left").withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(0)), "e")) - 1)
+    # rest: what two sets share at most if this is the first member that they share; high: the size of the largest such set.
+    rest = F.col("n") - F.col("i")
+    least = F.ceil(F.col("n") * percent / 100)
+    first = ranked.where(F.col("df").isNotNull() & (whole * rest >= part * (F.col("n") + least)))
+    first = first.select("c", "e", "n", least.alias("low"), F.floor(rest * whole / part - F.col("n")).alias("high"))
+    weight = place.groupBy("c_in").agg(F.count("*").alias("size"))
+    entry = first.join(place.join(weight, "c_in"), "c")
+    step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
+    entry = written(entry.withColumn("own", step(F.col("n"))).withColumn("top", step(F.greatest("low", F.least("high", "n")))).withColumn("bottom", step(F.col("low"))))
+
+    larger = entry.where("high >= low").select("*", F.explode(F.sequence("bottom", "top")).alias("k"))
+    smaller = entry.withColumn("k", F.col("own"))
+    key = smaller.select("e", "k", "c_in", "size").unionByName(larger.select("e", "k", "c_in", "size"))
+    key = key.groupBy("e", "k").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y"), F.max(F.struct("size", "c_in")).alias("major"), F.count("*").alias("rows")).where("x < y")
+    salts = F.least(F.lit(32), 1 + F.floor(F.col("rows") / 1000)).cast("int").alias("salts")
+    key = written(key.select("e", "k", F.col("major.c_in").alias("major"), salts))
+    # The largest component of a key doesn't meet itself: t = 0 is others against it, t = 1 is all against others.
+    is_major = F.col("c_in") == F.col("major")
+    a = larger.join(key, ["e", "k"]).select("e", "k", F.explode(F.when(is_major, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("t"), F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), F.col("c").alias("a"), F.col("c_in").alias("a_in"), F.col("n").alias("a_n"), "low", F.col("high").alias("a_high"))
+    b = smaller.join(key, ["e", "k"]).select("e", "k", F.when(is_major, 0).otherwise(1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("c").alias("b"), F.col("c_in").alias("b_in"), F.col("n").alias("b_n"), F.col("high").alias("b_high"))
+    found = a.join(b, ["e", "k", "t", "salt"]).where("a_in != b_in and b_n <= a_n and b_n >= low and b_n <= a_high and a_n <= b_high")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, with_tag: bool = False) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept for every row, and with ``with_tag`` a hash of its text.
 
     component_id is the smallest doc_id that links lead to; kept is true where it is the row's own. Null, empty and
@@ -198,19 +196,18 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     a component and, with their id the smallest, are both kept. Rows with a null id take part; they get the smallest
     other id of their component and are kept only if there is none. Other columns are not read.
     """
-    source = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     fields = [StructField("n", LongType()), StructField("c", LongType()), StructField("sig", BinaryType()), StructField("bands", ArrayType(LongType()))]
     table = written(map_rows(source, _describe(places, rows, size, "text"), fields, ["id", "tag"]))
 
     band = table.select("c", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    shared = band.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
     member = written(band.join(shared, "band").distinct())
-    size_of = member.groupBy("band").agg(F.count("*").alias("n"))
-    weight = written(member.join(size_of, "band").groupBy("c").agg((F.sum("n") - F.count("*")).alias("w")))
+    weight = member.groupBy("c").agg((F.sum("n") - F.count("*")).alias("w"))
     pivot = member.join(weight, "c").groupBy("band").agg(F.max(F.struct("w", "c")).alias("p")).select("band", F.col("p.c").alias("p"), F.col("p.w").alias("pw"))
-    member = written(member.join(pivot, "band"))
+    tried = written(member.join(pivot, "band").groupBy("c").agg(F.max(F.struct("pw", "p")).alias("x")).select("c", F.col("x.p").alias("p")))
 
-    involved = member.select("c").distinct()
+    involved = tried.select("c")
     chosen = table.where("c is not null").join(involved, "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", F.hash("sig"))).alias("x")).select("c", F.col("x.id").alias("id"))
     sig = written(table.select("c", "sig").join(involved, "c", "left_semi").groupBy("c").agg(F.any_value("sig").alias("sig")))
 
@@ -232,38 +229,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         likely = with_both(sig, "sig", pairs).mapInArrow(tidily(_likely(places, batch, percent, miss)), "a long, b long")
         return with_both(sets, "shingles", written(likely)).mapInArrow(tidily(_exact(percent)), "a long, b long")
 
-    # The heaviest pivot of every class, then all pivots that are still in another component.
-    tried = written(member.groupBy("c").agg(F.max(F.struct("pw", "p")).alias("x")).select(F.col("c").alias("a"), F.col("x.p").alias("b")).where("a != b"))
-    edges = written(linked(tried))
-    of = lambda name: written(components(edges)).select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-
-    def placed(df: DataFrame, name: str, found: DataFrame) -> DataFrame:
-        return df.join(found, name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
-
-    one = of("c")
-    stars = placed(placed(member.select("c", "p").distinct(), "c", one), "p", one.select(F.col("c").alias("p"), F.col("c_in").alias("p_in")))
-    stars = stars.where("c_in != p_in").select(F.col("c").alias("a"), F.col("p").alias("b")).join(tried, ["a", "b"], "left_anti")
-    edges = written(edges.unionByName(linked(written(stars))))
-
-    two = of("c")
-    left = placed(member.select("band", "c", "p"), "c", two)
-    many = left.groupBy("band").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y")).where("x < y").select("band")
-    # Linked pivots form one group around the heaviest of them, so a class is described once for each group.
-    left = placed(left.join(many, "band"), "p", two.select(F.col("c").alias("p"), F.col("c_in").alias("p_in")))
-    left = left.join(weight.select(F.col("c").alias("p"), "w"), "p")
-    base = left.groupBy("p_in").agg(F.max(F.struct("w", "p")).alias("x")).select("p_in", F.col("x.p").alias("base"))
-    left = written(left.join(base, "p_in").select("band", "c", "c_in", F.col("base").alias("p")))
-    group = written(left.select("p", "c", "c_in").distinct())
-    big = group.groupBy("p").count().where(F.col("count") > small).select("p")
-    few = left.join(big, "p", "left_anti")
-    x, y = (few.select("band", F.col("c").alias(k), F.col("c_in").alias(f"{k}_in")) for k in ("a", "b"))
-    few_pairs = x.join(y, "band").where("a > b and a_in != b_in").select("a", "b")
-    many_pairs = _by_difference(group.join(big, "p"), sets, percent)
-    to_base = group.join(big, "p").where("c != p").select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b"))
-    rest = written(few_pairs.unionByName(many_pairs).unionByName(to_base).distinct())
-    edges = written(edges.unionByName(linked(rest)))
-
-    found = components(edges)
+    edges = written(linked(tried.where("c != p").select(F.col("c").alias("a"), F.col("p").alias("b"))))
+    star = written(components(edges))
+    place = written(tried.select("c").join(star.withColumnsRenamed({"node": "c", "component": "c_in"}), "c", "left").withColumn("c_in", F.coalesce("c_in", "c")))
+    held = member.select("band", "c").join(place, "c")
+    several = held.groupBy("band").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y")).where("x < y").select("band")
+    place = written(held.join(several, "band").select("c", "c_in").distinct())
+    more = linked(written(_narrowed(place, sets, percent)))
+    # Links between components, and every class with its component so far.
+    found = components(written(more.unionByName(star.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
     rowsof = table.select("id", "tag", "n", "c")
     labels = rowsof.where("c is not null").groupBy("c").agg(F.min("id").alias("least")).join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
     least = labels.groupBy("component").agg(F.min("least").alias("least"))
@@ -274,7 +249,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows of one of them all stay."""
+    """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows of one of them all stay.
+
+    Rows are carried as one struct, so columns of any name are kept as they are.
+    """
     gone = near_duplicates(docs, text=text, doc_id=doc_id, with_tag=True, **how).where(~F.col("kept"))
-    gone = gone.select(F.struct(F.col(doc_id).alias("id"), "tag").alias("_gone")).distinct()
-    return docs.join(gone, F.struct(F.col(doc_id).alias("id"), F.hash(text).alias("tag")) == F.col("_gone"), "left_anti")
+    gone = gone.select(F.struct(F.col(doc_id).alias("id"), "tag").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag")).alias("own"))
+    return rows.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")

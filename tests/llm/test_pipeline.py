@@ -47,7 +47,6 @@ def test_near_duplicates(spark):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     got = [tuple(r) for r in bayeslsh.near_duplicates(docs).collect()]
     assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
-    assert sorted((tuple(r) for r in bayeslsh.near_duplicates(docs, small=1).collect()), key=key) == sorted(brute_components(rows), key=key)
     assert bayeslsh.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -67,8 +66,17 @@ def test_large_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute_components(rows)
     assert len({r[2] for r in want}) > 5
-    for small in (1, 64, 1000):
-        assert sorted(tuple(r) for r in bayeslsh.near_duplicates(docs, small=small).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in bayeslsh.near_duplicates(docs).collect()) == sorted(want)
+
+
+def test_near_duplicates_keep_columns(spark):
+    """Names of inner and result columns in the input, and repeated rows, of which all that are kept stay."""
+    names = ["doc_id", "text", "tag", "gone", "own", "row", "component_id", "kept", "n_shingles", "id", "a.b"]
+    rows = [(k, t, *["v"] * 9) for k, t in [(1, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f"), (3, None), (None, "q")]]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    got = bayeslsh.deduplicate(docs)
+    assert got.columns == names
+    assert sorted((r.doc_id or 0, r.text or "", r["a.b"]) for r in got.collect()) == [(0, "q", "v"), (1, "a b c d e f", "v"), (1, "a b c d e f", "v"), (3, "", "v")]
 
 
 def test_sequential_bound():
