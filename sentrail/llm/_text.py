@@ -161,6 +161,15 @@ def tidily(run: Callable) -> Callable:
     return all_of
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed by position (c0, c1, ...), and the new names of some of them.
+
+    Operators add columns of their own beside these, so no name in the input can clash; ``toDF`` gives names back.
+    """
+    new = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*new), [new[docs.columns.index(c)] for c in names]
+
+
 def map_rows(df: DataFrame, fn: Callable, fields: list[StructField], keep: list[str], text: str = "text", also: list[str] = ()) -> DataFrame:
     """Runs ``fn(chunk) -> arrays`` (one per field, one value per row) over chunks of rows, without a shuffle.
 
