@@ -7,6 +7,8 @@ import base64
 import numpy as np
 
 SEPARATOR = 50256
+#: The special token of the vocabulary and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 
 def vocabulary() -> str:
@@ -22,11 +24,14 @@ class Encoder:
     The pre-tokenisation pattern always begins a new piece at a space that stands between two characters that are
     not white space, so the text may be cut there and each part encoded by itself; the ids are those of the whole
     text. A text with other white space around a space is encoded in one go.
+
+    Where ``special`` stands in a text, its id is taken and the parts around it are encoded each by itself, as the
+    tokenizers library does by default; without ``special`` it is ordinary text.
     """
 
     CACHED, LONGEST = 400_000, 64
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: str | None = SPECIAL):
         import public_tokenizers
         import tiktoken
 
@@ -35,6 +40,7 @@ class Encoder:
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids are held in 16 bits")
         self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._special, self._id = special, np.uint16(SPECIAL_ID).tobytes()
         self._cache: dict[str, bytes | int] = {}
 
     def _raw(self, text: str) -> bytes:
@@ -46,6 +52,11 @@ class Encoder:
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
+        if self._special and self._special in text:
+            return self._id.join(self._plain(part) for part in text.split(self._special))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         if head and head[-1].isspace():
             return self._raw(text)
@@ -68,11 +79,11 @@ class Encoder:
         return np.frombuffer(self.raw(text), dtype="<u2") if text else np.zeros(0, dtype="<u2")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: str | None = SPECIAL) -> Encoder:
     """One encoder for each worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]

@@ -27,11 +27,13 @@ FILE = StructType([StructField("path", StringType()), StructField("bytes", LongT
 _BLOCK = StructType([StructField(c, LongType()) for c in ("block", "tokens", "n")] + [StructField("at", ArrayType(LongType())), StructField("path", StringType())])
 
 
-def write_token_files(docs: DataFrame, *, text: str = "text", path: str | None = None, separator: int = SEPARATOR, folder: str | None = None) -> DataFrame:
-    """Encodes all texts and writes one flat file for each task into the shared folder; returns path and size.
+def write_token_files(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None, separator: int = SEPARATOR, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encodes all texts and writes one flat file for each task into the shared folder.
 
-    A null or empty text is a separator alone. A file gets its name once it is whole, so attempts that are lost or
-    repeated leave no partial file under that name.
+    Returns the files (path and bytes) and the order of the documents in them (path, doc_no, doc_id). A null or
+    empty text is a separator alone; the separator's own string in a text is encoded as ordinary text, so no document
+    can hold its id. A file is named after the attempt of its task, and only those of the attempts that Spark
+    accepted are in the tables: repeated and lost attempts clash with nothing and are never read.
     """
     spark = docs.sparkSession
     path = path or vocabulary()
@@ -43,18 +45,29 @@ def write_token_files(docs: DataFrame, *, text: str = "text", path: str | None =
         where = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"part-{where.partitionId():06d}"
-        size, enc, end = 0, encoder(path), np.uint16(separator).tobytes()
-        with store.open_output_stream(f"{base}/{name}.{where.taskAttemptId()}") as out:
+        name = f"part-{where.partitionId():06d}-{where.taskAttemptId()}.bin"
+        size, count, enc, end = 0, 0, encoder(path, None), np.uint16(separator).tobytes()
+
+        def rows(ids, size=None):
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * n), pa.array([size] * n, pa.int64()), pa.array(range(count, count + n), pa.int64()), ids], names=["path", "bytes", "doc_no", "doc_id"])
+
+        with store.open_output_stream(f"{base}/{name}") as out:
             for batch in batches:
-                for part in chunks(batch, text):
-                    raw = b"".join(x for value in part.column(0).to_pylist() for x in (enc.raw(value) if value else b"", end))
+                for part in chunks(batch, "text"):
+                    raw = b"".join(x for value in part.column(1).to_pylist() for x in (enc.raw(value) if value else b"", end))
                     out.write(raw)
                     size += len(raw)
-        store.move(f"{base}/{name}.{where.taskAttemptId()}", f"{base}/{name}.bin")
-        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.bin"], "bytes": [size]}, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64())]))
+                    yield rows(part.column(0))
+                    count += part.num_rows
+                kind = batch.schema.field(0).type
+        if count:
+            yield rows(pa.nulls(1, kind), size)
 
-    return written(docs.select(text).mapInArrow(tidily(run), FILE))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    both = written(source.mapInArrow(tidily(run), f"path string, bytes long, doc_no long, doc_id {kind}"))
+    return both.where("bytes is not null").select("path", "bytes"), both.where("bytes is null").select("path", "doc_no", "doc_id")
 
 
 def _scan(block: int, separator: int):
@@ -108,9 +121,13 @@ def scan_token_files(files: DataFrame, *, separator: int = SEPARATOR, block: int
     return closed.unionByName(open_)
 
 
-def count_tokens(docs: DataFrame, *, text: str = "text", path: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
     """Writes the documents as token files and counts their tokens by scanning the files.
 
-    The table may be empty, texts null or empty; other columns are not read. Files are read in blocks by all tasks.
+    Returns what ``scan_token_files`` does, with the doc_id of each document. The table may be empty, texts null or
+    empty, ids null or repeated (one row for each row); other columns are not read. Files are read in blocks by all
+    tasks.
     """
-    return scan_token_files(write_token_files(docs, text=text, path=path))
+    files, order = write_token_files(docs, text=text, doc_id=doc_id, path=path)
+    order = order.select(F.element_at(F.split("path", "/"), -1).alias("file"), "doc_no", F.col("doc_id").alias("id"))
+    return scan_token_files(files).join(order, ["file", "doc_no"]).select(F.col("id").alias(doc_id), "file", "doc_no", "start", "n_tokens", "closed")

@@ -10,7 +10,7 @@ from sentrail.llm import packing, sepscan
 from sentrail.llm._tokens import Encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "a \n b", "\n x", "it's  ok", "x  y", "漢字 テスト 𝒳", "<|endoftext|> x", "don't !! ##a1b2", "word " * 3000]
+ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "a \n b", "\n x", "it's  ok", "x  y", "漢字 テスト 𝒳", "<|endoftext|> x", "a <|endoftext|>b  <|endoftext|><|endoftext|>", "<|endoftext|", "<|endoftext|>", "don't !! ##a1b2", "word " * 3000]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -69,10 +68,16 @@ def test_scan(spark, tmp_path, block, run):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_count(spark, reference):
+def test_count(spark):
+    """In token files the separator's own string is ordinary text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
     docs = cases(spark)
     got = sepscan.count_tokens(docs)
-    want = [len(reference(t or "")) for t in [r.text for r in docs.collect()]]
-    assert sorted(r.n_tokens for r in got.collect()) == sorted(want)
+    want = [(r.doc_id or -1, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got.collect()) == sorted(want)
     assert got.where(~F.col("closed")).count() == 0
     assert sepscan.count_tokens(docs.limit(0)).count() == 0
