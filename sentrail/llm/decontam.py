@@ -2,8 +2,9 @@
 
 The n-grams of the benchmark are hashed into a sorted array and a bitmap; every window of every document is
 looked up in the bitmap, then in the array, and a hit counts only if its words equal the item's words. The
-benchmark is broadcast in blocks of at most ``block_windows`` windows, one pass over the documents for each, so
-what is broadcast never grows past that bound. Documents are not shuffled.
+benchmark is broadcast in blocks of at most ``block_windows`` windows (or one item, if that is longer), one pass over
+the documents for each, so what is broadcast never grows past that bound. The result of a pass is written before the
+next one, so a task holds one block. Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField
 
-from sentrail.llm._text import ALNUM, Words, map_rows
+from sentrail.llm._text import ALNUM, map_rows, numbered, Words, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 1_000_000
@@ -50,27 +51,35 @@ class _Index:
             items = [np.array(sorted(found[(length, k[1])]), dtype=np.int32) for k in keys]
             self.by_length[length] = (bits, hs, [k[1] for k in keys], items)
 
-    def scan(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length and index of the window of every verified hit in a chunk, all lengths together."""
+    def scan(self, words: Words) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+        """Start and length of every verified hit in a chunk, all lengths together, and the items of each row.
+
+        Items are looked up once for each row and window, however often it occurs there.
+        """
         h = words.hashes()
-        out = []
+        out, seen, found = [], set(), defaultdict(set)
         for length, (bits, hs, keys, items) in self.by_length.items():
             at, w = words.windows(h, length)
             maybe = bits[(w >> np.uint64(42)).astype(np.int64)]
-            for a, x in zip(at[maybe], w[maybe], strict=True):
-                k = int(np.searchsorted(hs, x))
+            at, w = at[maybe], w[maybe]
+            rows = np.searchsorted(words.first, at, side="right") - 1
+            for a, x, r, k in zip(at, w, rows, np.searchsorted(hs, w), strict=True):
                 got = None
                 while k < len(hs) and hs[k] == x:
                     got = got or words.joined(a, a + length)
                     if keys[k] == got:
-                        out += [(a, length, i) for i in items[k]]
+                        out.append((a, length))
+                        if (r, length, k) not in seen:
+                            seen.add((r, length, k))
+                            found[int(r)].update(self.ids[i] for i in items[k])
                     k += 1
-        return tuple(np.array(x, dtype=np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
+        at, length = (np.array(x, dtype=np.int64) for x in (zip(*out, strict=True) if out else ([], [])))
+        return at, length, found
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_windows: int):
     """Number of blocks, and their items; a block has about ``block_windows`` words at most, so as many windows."""
-    item = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    item = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
     total = item.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * block_windows)))  # a word takes two bytes at least, with its separator
     part = lambda k: item if n == 1 else item.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
@@ -87,14 +96,11 @@ class _Pass:
         words = Words(part.column(part.schema.get_field_index(self.text)), ALNUM, lower=True)
         first, rows = words.first, part.num_rows
         index = self.index.value
-        at, length, item = index.scan(words)
+        at, length, items = index.scan(words)
         step = np.zeros(len(words.s) + 1, dtype=np.int64)
         np.add.at(step, at, 1)
         np.add.at(step, at + length, -1)
         hit = np.cumsum(step)[:-1] > 0
-        items: dict[int, set[str]] = defaultdict(set)
-        for r, i in set(zip(np.searchsorted(first, at, side="right") - 1, item, strict=True)):
-            items[int(r)].add(index.ids[i])
         if self.carried:
             for r, (was, ids) in enumerate(zip(part.column("_hit").to_pylist(), part.column("_items").to_pylist(), strict=True)):
                 if ids:
@@ -150,8 +156,8 @@ def find_hits(
 
     A null or wordless text has no words and no hits. Items with a null text or without words have no windows; an
     item with a null id counts under the empty string. Repeated rows are judged one by one. An empty benchmark
-    contaminates nothing; empty documents give an empty table. Columns outside ``keep`` are not read, so extra
-    columns cannot clash.
+    contaminates nothing; empty documents give an empty table. Columns outside ``keep`` are not read; those in it
+    must not have the names of the results (``remove_spans`` and ``drop_documents`` take any names).
     """
     spark = docs.sparkSession
     df = docs
@@ -161,23 +167,27 @@ def find_hits(
         last = k == n - 1
         kept = keep if last or text in keep else [*keep, text]
         df = map_rows(df, _Pass(index, text, k > 0, last), FIELDS if last else _CARRIED, kept, text, also=[f.name for f in _CARRIED] if k else [])
+        if not last:
+            df = written(df)
     return df
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **how) -> DataFrame:
-    """The documents with every hit span cut out of the text; the other columns stay. Nulls stay null.
+    """The documents with every hit span cut out of the text; other columns, of any name, stay. Nulls stay null.
 
     The spans are bytes of the UTF-8 text, so they are cut from its binary form.
     """
+    names, (docs, (text,)) = docs.columns, numbered(docs, text)
     found = find_hits(docs, benchmark, keep=docs.columns, text=text, **how)
     raw = F.encode(F.col(text), "UTF-8")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_spans", lambda s: s[1]))
     starts = F.concat(F.transform("hit_spans", lambda s: s[0]), F.array(F.octet_length(text).cast("long")))
     pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda s: F.decode(F.substring(raw, s["a"].cast("int") + 1, (s["b"] - s["a"]).cast("int")), "UTF-8"))
     cut = F.when(F.col("contaminated"), F.array_join(pieces, "")).otherwise(F.col(text))
-    return found.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return found.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns]).toDF(*names)
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **how) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    return find_hits(docs, benchmark, keep=docs.columns, text=text, **how).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents without any hit, with all their columns, of any name."""
+    rows, (text,) = numbered(docs, text)
+    return find_hits(rows, benchmark, keep=rows.columns, text=text, **how).where(~F.col("contaminated")).select(*rows.columns).toDF(*docs.columns)
