@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from sentrail.llm._text import buffers, _BYTE, _BYTE_POWERS, map_rows, mix, NOT_SPACE, tidily, written
+from sentrail.llm._text import buffers, _BYTE, _BYTE_POWERS, map_rows, mix, NOT_SPACE, numbered, tidily, written
 
 RARE, LONG_WORDS, BLOCK_WORDS = 20, 8, 20
 
@@ -195,10 +195,13 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     Lines are separated by \\n and compared byte by byte through 64-bit hashes; blank lines are aligned but are no
     evidence. A null text stays null with n_lines 0; a document that loses all its lines keeps an empty text. Rows
     with a null id are kept as they are and compared with nothing. Rows that share an id are not compared with each
-    other, and each is judged by its own text. A column named n_lines or n_removed in the input is replaced.
+    other, and each is judged by its own text. A column named n_lines or n_removed in the input is replaced; others may
+    have any name.
     """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs, (text, doc_id) = numbered(docs.select(*[F.col(f"`{c}`") for c in names]), text, doc_id)
     drop = find_deletions(docs, text=text, doc_id=doc_id, **how)
-    keep = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c != text]
     mine = docs.select(*keep, F.col(text).alias("_text"), F.xxhash64(text).alias("_tag"))
     joined = mine.join(drop.select(F.col("id").alias("_id"), F.col("tag").alias("_tag2"), F.col("drop").alias("_drop")), (F.col(doc_id) == F.col("_id")) & (F.col("_tag") == F.col("_tag2")), "left")
 
@@ -218,4 +221,4 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     fields = [StructField(text, StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())]
     done = map_rows(joined, cut, fields, keep, "_text", also=["_drop"])
-    return done.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return done.select(*docs.columns, "n_lines", "n_removed").toDF(*names, "n_lines", "n_removed")

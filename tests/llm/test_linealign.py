@@ -119,3 +119,20 @@ def test_blocks_at_any_frequency(spark):
     rows = [(k, f"own {k}\n{verse}\nend {k}") for k in range(25)] + [(30, f"{verse}\nbetween\n{verse}")]
     got = {r.doc_id: (r.text, r.n_removed) for r in la.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (rows[0][1], 0)} | {k: (f"own {k}\nend {k}", 8) for k in range(1, 25)} | {30: ("between", 16)}
+
+
+def test_a_block_with_lines_of_other_owners(spark):
+    """Both lines of a block stand first in documents that don't have the block."""
+    x, y = "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12", "y1 y2 y3 y4 y5 y6 y7 y8 y9 y10 y11 y12"
+    rows = [(1, f"one\n{x}\nuno"), (2, f"two\n{y}\ndue"), (3, f"three\n{x}\n{y}\ntre"), (4, f"four\n{x}\n{y}\nquattro")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in la.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (t, 0) for k, t in rows[:3]} | {4: ("four\nquattro", 2)}
+
+
+def test_names_and_long_texts(spark):
+    names = ["doc_id", "text", "_tag", "_drop", "id", "tag", "h", "n_removed", "a.b"]
+    long = "\n".join(f"line {k} of a long text" for k in range(30_000))
+    docs = spark.createDataFrame([(k, long, *["v"] * 7) for k in (1, 2)], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    got = la.dedup_lines(docs)
+    assert got.columns == [c for c in names if c != "n_removed"] + ["n_lines", "n_removed"]
+    assert sorted((r.doc_id, len(r.text), r.n_removed, r["_tag"], r["a.b"]) for r in got.collect()) == [(1, len(long), 0, "v", "v"), (2, 0, 30_000, "v", "v")]
