@@ -7,8 +7,8 @@ string. Equal windows have equal minimisers, so each bucket can be counted by it
 What must travel is cut down first, without losing a window: minimisers that occur in one document only have no
 shared window; equal super-k-mers are merged into their first document before the shuffle (so thousands of copies
 are one string); a bucket with a single distinct string needs no sorting. Buckets of more than ``hot`` distinct
-strings, such as the borders of a passage that a third of all documents quote, are split: their windows are
-aggregated one by one under 128-bit fingerprints, with partial sums in each task, instead of being sorted in one task.
+strings, such as the borders of a passage that a third of all documents quote, are split: their windows travel one by
+one as text and are sorted and counted by their words in many tasks, with partial minimums before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from sentrail.llm._text import chunks, map_rows, mix, NOT_SPACE, tidily, Words, written
+from sentrail.llm._text import chunks, map_rows, mix, NOT_SPACE, numbered, tidily, Words, written
 
 SIZE, M, HOT = 50, 8, 50_000
 
@@ -145,17 +145,17 @@ def _sort_buckets(size: int):
     return run
 
 
-def _fingerprints(size: int):
+def _single_windows(size: int):
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "packed"):
                 words = Words(part.column(3), NOT_SPACE)
-                h = words.hashes()
-                at, w = words.windows(h, size)
-                _, w2 = words.windows(mix(h), size)
+                at, _ = words.windows(words.hashes(), size)
                 row = np.searchsorted(words.first, at, side="right") - 1
-                r = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(r) for i in (0, 1, 2)), pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(at - words.first[row], pa.int32())], names=["v", "s", "first", "x", "y", "off"])
+                for k in range(0, len(at), 4096):
+                    a, r = at[k : k + 4096], row[k : k + 4096]
+                    w = [words.joined(x, x + size) for x in a]
+                    yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(r)) for i in (0, 1, 2)), pa.array(w, pa.binary()), pa.array(a - words.first[r], pa.int32())], names=["v", "s", "first", "w", "off"])
 
     return run
 
@@ -201,9 +201,9 @@ def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     """
     if not 0 < m <= size:
         raise ValueError("a minimiser must fit into a window")
-    source = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), F.col(text).alias("text")).where("id is not null")
+    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text")).where("id is not null")
     kind = source.schema["id"].dataType.simpleString()
-    cut = source.mapInArrow(tidily(_cut(size, m)), f"id {kind}, tag int, v long, s long, a int, k int")
+    cut = source.mapInArrow(tidily(_cut(size, m)), f"id {kind}, tag long, v long, s long, a int, k int")
     shared = cut.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("v")
     part = written(cut.join(shared, "v"))
 
@@ -215,9 +215,9 @@ def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
 
     packed = written(texts.where("need is not null").select("id", "text", "need").mapInArrow(tidily(_pack(size)), f"v long, s long, first {kind}, packed binary, hot boolean"))
     dead = packed.where("not hot").repartition("v").sortWithinPartitions("v").mapInArrow(tidily(_sort_buckets(size)), "v long, s long, dead array<int>")
-    single = packed.where("hot").mapInArrow(tidily(_fingerprints(size)), f"v long, s long, first {kind}, x long, y long, off int")
-    least = single.groupBy("v", "x", "y").agg(F.min("first").alias("low"))
-    split = single.join(least, ["v", "x", "y"]).where("low < first").groupBy("v", "s").agg(F.array_sort(F.collect_set("off")).alias("dead"))
+    single = packed.where("hot").mapInArrow(tidily(_single_windows(size)), f"v long, s long, first {kind}, w binary, off int")
+    least = single.groupBy("v", "w").agg(F.min("first").alias("low"))
+    split = single.join(least, ["v", "w"]).where("low < first").groupBy("v", "s").agg(F.array_sort(F.collect_set("off")).alias("dead"))
     dead = written(dead.unionByName(split))
 
     first = strings.select("v", "s", F.col("f.id").alias("first"))
@@ -239,9 +239,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     input. Null and empty texts and texts shorter than a window stay as they are. Rows with a null id lose nothing
     and take nothing from others; rows with equal ids don't touch each other. Extra columns of any name are kept.
     """
-    cut = changed_texts(docs, text=text, doc_id=doc_id, **how).select(F.struct("id", "tag").alias("_key"), F.col("kept").alias("_kept"))
-    found = docs.withColumn("_own", F.struct(F.col(doc_id).alias("id"), F.hash(text).alias("tag"))).join(cut, F.col("_own") == F.col("_key"), "left")
-    return found.select(*[F.coalesce("_kept", text).alias(c) if c == text else F.col(c) for c in docs.columns])
+    names, (docs, (text, doc_id)) = docs.columns, numbered(docs, text, doc_id)
+    cut = changed_texts(docs, text=text, doc_id=doc_id, **how).select(F.struct("id", "tag").alias("key"), "kept")
+    found = docs.withColumn("own", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"))).join(cut, F.col("own") == F.col("key"), "left")
+    return found.select(*[F.coalesce("kept", text).alias(c) if c == text else F.col(c) for c in docs.columns]).toDF(*names)
 
 
 def digests(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
@@ -255,7 +256,7 @@ def digests(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **ho
         words = [(t or "").encode().split() for t in part.column(part.schema.get_field_index("text")).to_pylist()]
         return [pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())]
 
-    source = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     every = map_rows(source, whole, [StructField("n_words", LongType()), StructField("sha", StringType())], ["id", "tag"])
     cut = changed_texts(docs, text=text, doc_id=doc_id, **how).select("id", "tag", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
     gone, sha = F.coalesce("n_removed", F.lit(0).cast("long")), F.coalesce("kept_sha256", "sha")

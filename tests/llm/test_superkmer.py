@@ -51,3 +51,12 @@ def test_texts_and_clashes(spark):
     assert got[1].text == long and got[2].text == "own end" and got[3].text is None
     assert [got[k].id for k in (1, 2, 3)] == [1, 2, 3] and got[2].kept == "y"
     assert superkmer.digests(docs.limit(0)).count() == 0
+
+
+def test_names(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    names = ["doc_id", "text", "own", "key", "_own", "kept", "a.b"]
+    docs = spark.createDataFrame([(k, long, *["v"] * 5) for k in (1, 2)], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    got = superkmer.remove_repeats(docs)
+    assert got.columns == names
+    assert sorted(tuple(r) for r in got.collect()) == [(1, long, *["v"] * 5), (2, "", *["v"] * 5)]
