@@ -4,8 +4,8 @@ Every line that has a word is labelled good or bad. Its potentials use its own f
 before and after it; a transition weight ties neighbouring labels. Training lines take the label of their
 document. The score of a document is the length-weighted mean of the lines' forward-backward marginals for good.
 
-The field is fitted on a bounded sample of labelled documents (``sample`` documents of at most ``most_lines`` lines);
-scoring is one pass over the documents without a shuffle.
+The field is fitted on a bounded sample of whole labelled documents (at most ``sample``, and no more than have
+``most_lines`` lines together); scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from sentrail.llm._text import byte_table, chunks, map_rows, mix, NOT_SPACE, tidily, Words
+from sentrail.llm._text import byte_table, chunks, map_rows, mix, NOT_SPACE, tidily, Words, written
 
 SAMPLE = 4000
-MOST_LINES = 2000
+MOST_LINES = 1_000_000
 CUTOFF = 0.3
 FOLDS, HELD_OUT = 5, 0
 
@@ -193,10 +193,11 @@ def fold_of(doc_id: str, folds: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE, most_lines: int = MOST_LINES, folds: int = FOLDS, held_out: int = HELD_OUT) -> Field:
-    """Fits the field on at most ``sample`` labelled documents outside the held-out fold.
+    """Fits the field on at most ``sample`` labelled documents outside the held-out fold, each with all its lines.
 
     The sample takes the labelled ids with the smallest hashes; an id with several labels takes the smallest, and
-    one with several texts takes that of the smallest hash. Rows with a null id or label are left out. Without any labelled row, every line is as likely good as bad.
+    one with several texts takes that of the smallest hash. Documents are taken in that order while they have at most
+    ``most_lines`` lines together (one at least). Rows with a null id or label are left out. Without any labelled row, every line is as likely good as bad.
     """
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label is not null")
     chosen = chosen.where(fold_of("_id", folds) != held_out).groupBy("_id").agg(F.min("_label").alias("_label"))
@@ -204,15 +205,19 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     found = found.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))  # at most ``sample`` rows
     schema = "_id " + docs.schema[doc_id].dataType.simpleString() + ", y int, n int, x binary"
+    found = written(found)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "_text"):
                 x, _, first = line_features(part.column(1))
-                n = np.minimum(np.diff(first), most_lines)
+                n = np.diff(first)
                 raw = [x[a : a + k].astype("<f4").tobytes() for a, k in zip(first[:-1], n, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["_id", "y", "n", "x"])
 
+    sizes = found.select("_id", (F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+    total = np.cumsum([r["n"] or 0 for r in sizes])
+    found = found.where(F.col("_id").isin([r["_id"] for r, t in zip(sizes, total, strict=True) if t <= max(most_lines, total[0])]))
     rows = sorted({(r["_id"], r["y"], r["n"], bytes(r["x"])) for r in found.select("_id", "_text", "_label").mapInArrow(tidily(run), schema).collect()})
     x = np.frombuffer(b"".join(r[3] for r in rows), "<f4").reshape(-1, N_FEATURES).astype(float)
     first = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int64)
