@@ -2,8 +2,9 @@
 
 Concatenated names are split by a unigram Viterbi: every piece of a chunk of letters is looked up in the word counts
 of the pages' visible text (a join, so the vocabulary may grow), and the best split is found chunk by chunk. Only
-distinct chunks are segmented. The naive Bayes model is multinomial; its training classes are the urls whose
-segmented host has a seed word, and all others, so it learns what else goes with such hosts.
+distinct chunks are segmented. The naive Bayes model is multinomial; its blocked class are the urls that a rule blocks
+and those whose segmented host has a seed word, the allowed class all others, so it learns from all pages what else
+goes with such hosts and paths.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from sentrail.llm._text import tidily, written
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 # Words whose presence in a host makes a url an example of the blocked class.
 SEEDS = "adult ads bet bets casino cheap farm pills poker porn spam viagra xxx".split()
-LONGEST = 20  # letters of a word
+LONGEST = 64  # letters of a word
+CHUNK = 256  # letters of a piece of a url that is segmented as a whole; longer runs are cut there
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMBER = "<num>"
 
@@ -92,7 +94,7 @@ def tokens(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, path, part, token) of distinct urls: words of letter chunks, and one token for any number."""
 
     def chunks_of(part: str) -> Column:
-        found = F.regexp_extract_all(F.translate(part, _UPPER, _LOWER), F.lit("\\p{L}+|\\p{N}+"), F.lit(0))
+        found = F.regexp_extract_all(F.translate(part, _UPPER, _LOWER), F.lit(f"\\p{{L}}{{1,{CHUNK}}}|\\p{{N}}+"), F.lit(0))
         return F.transform(found, lambda x: F.struct(F.lit(part).alias("part"), F.when(x.rlike("^\\p{N}"), F.lit(NUMBER)).otherwise(x).alias("chunk")))
 
     chunk = urls.select("host", "path", F.explode(F.concat(chunks_of("host"), chunks_of("path"))).alias("c")).select("host", "path", "c.part", "c.chunk")
@@ -100,9 +102,11 @@ def tokens(urls: DataFrame, counts: DataFrame) -> DataFrame:
     return chunk.join(split, "chunk", "left").select("host", "path", "part", F.explode(F.coalesce("words", F.array("chunk"))).alias("token"))
 
 
-def bayes_weights(token: DataFrame, seeds: list[str]) -> tuple[DataFrame, float]:
+def bayes_weights(token: DataFrame, seeds: list[str], rules: list[tuple[str, str]] = RULES) -> tuple[DataFrame, float]:
     """(part, token, weight): add-one log odds of block against allow, and the log odds of the classes."""
+    blocked = F.coalesce(fitting_rule(F.col("host"), F.col("path"), rules)["action"] == "block", F.lit(False))
     spam = token.groupBy("host", "path").agg(F.max((F.col("part") == "host") & F.col("token").isin(seeds)).alias("spam"))
+    spam = spam.withColumn("spam", F.col("spam") | blocked)
     of_class = token.join(spam, ["host", "path"]).groupBy("part", "token").agg(F.count_if("spam").alias("b"), F.count_if(~F.col("spam")).alias("a"))
     of_class = written(of_class)
     v, b, a = of_class.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
@@ -116,14 +120,14 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
 
     A rule's verdict stands whatever the model says; without a rule, log_odds over 0 blocks. A null url, one without
     ``://`` and one without tokens have log_odds null and are allowed if no rule fits. Null html has no words.
-    Repeated rows are each judged; an empty table gives an empty result; other columns are not read.
+    Runs of more than ``CHUNK`` letters are cut there. Repeated rows are each judged; an empty table gives an empty result; other columns are not read.
     """
     host, path = host_and_path(F.coalesce(F.col(url), F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     urls = written(rows.select("host", "path").distinct())
     counts = written(word_counts(pages, html=html))
     token = written(tokens(urls, counts))
-    weights, prior = bayes_weights(token, seeds)
+    weights, prior = bayes_weights(token, seeds, rules)
     odds = token.join(weights, ["part", "token"]).groupBy("host", "path").agg((F.sum("weight") + prior).alias("log_odds"))
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
     known = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))

@@ -34,7 +34,7 @@ def brute(rows):
     split = {}
 
     def tokens(part, text):
-        for c in re.findall(r"[^\W\d_]+|\d+", text.translate(LOWER)):
+        for c in re.findall(r"[^\W\d_]{1,%d}|\d+" % uf.CHUNK, text.translate(LOWER)):
             if c[0].isdigit():
                 yield part, uf.NUMBER
             else:
@@ -43,7 +43,7 @@ def brute(rows):
                 yield from ((part, w) for w in split[c])
 
     urls = {u: [*tokens("host", u[0]), *tokens("path", u[1])] for u in {parse(r[1]) for r in rows}}
-    spam = {u: any(p == "host" and w in uf.SEEDS for p, w in t) for u, t in urls.items() if t}
+    spam = {u: any(p == "host" and w in uf.SEEDS for p, w in t) or (rule(*u) or " ")[0] == "block" for u, t in urls.items() if t}
     count = {k: Counter(x for u, s in spam.items() if s == k for x in urls[u]) for k in (True, False)}
     v = len(set(count[True]) | set(count[False]))
     n = {k: sum(count[k].values()) + v for k in count}
