@@ -83,7 +83,7 @@ def features(docs: DataFrame, *, keep: list[str], text: str = "text", lang: str
 
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     source = docs.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
         known.alias("lang"),
         _let(words, measure).alias("m"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
