@@ -143,6 +143,18 @@ def test_packed(passed):
     assert {d: [k for _, k in sorted(p)] for d, p in pieces.items()} == {d: packing.piece_lengths(k) for d, k in n.items()}
 
 
+def test_stages_with_odd_tables(spark):
+    """Extra columns with the names of results, nulls and an empty table; every stage keeps the columns."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_hit string, score string, _score int, n_removed int, kept string, tag string, id string"
+    good = "A plain sentence that says a thing or two about rivers. Another one follows it here.\n"
+    docs = spark.createDataFrame([(k, t, None, None, None, *[None] * 7) for k, t in [(1, good * 4), (2, good * 4), (3, None), (4, ""), (None, good), (None, None)]], names)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            done = stage(spark, table, SF)
+            rows = done.collect()
+            assert name == "packing" or (done.columns == docs.columns and len(rows) <= table.count())
+
+
 def test_run(spark, passed):
     got = corpus_pipeline.run(spark, SF)
     assert got.agg(F.sum("length")).first()[0] == sum(r.length for r in passed["packing"][1])
