@@ -10,21 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrail.llm import bayeslsh, crf, decontam, linealign, packing
-from sentrail.llm._text import written
+from sentrail.llm._text import numbered, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line field scores under its cutoff."""
     field = crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return crf.score(docs, field, keep=docs.columns, name="_score").where(F.col("_score") >= crf.CUTOFF).select(*docs.columns)
+    rows, (text,) = numbered(docs, "text")
+    return crf.score(rows, field, keep=rows.columns, text=text).where(F.col("score") >= crf.CUTOFF).select(*rows.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes aligned blocks from later documents; one that loses all its words goes, n_chars follows the text."""
-    cut = linealign.dedup_lines(docs)
-    left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows, (text, doc_id) = numbered(docs, "text", "doc_id")
+    cut = linealign.dedup_lines(rows, text=text, doc_id=doc_id)
+    left = cut.where((F.col("n_removed") == 0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
+    if "n_chars" in docs.columns:
+        of = numbered(docs, "n_chars")[1][0]
+        left = left.withColumn(of, F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col(of)))
+    return left.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
