@@ -12,7 +12,9 @@ by two bounds that no link can break. Members of a set are ranked from the rares
 if the first member that two sets share has rank i in one of n, they share n - i at most. And one set can't be smaller
 than the threshold times the other. So a class is entered under the few members that may come first, once for its
 own size and, as the larger of a pair, for the sizes that its rank still allows. Copies with edits of their own rank
-those first and meet nobody, however large their group is. No link between components is lost.
+those first and meet nobody, however large their group is. Star rounds come first there as well: every class meets
+the most central one of another component, as long as at least ``pays`` of the comparisons are links; then all pairs
+that are left between components are tried. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 from sentrail.llm._text import map_rows, mix, NOT_SPACE, tidily, Words, written
 from sentrail.operators.components import components
 
-SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS = 5, 75, 128, 4, 16, 1e-6
+SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS, PAYS = 5, 75, 128, 4, 16, 1e-6, 0.1
 _RNG = np.random.default_rng(99991)
 _MULTIPLIERS = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
@@ -158,43 +160,75 @@ def _members(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(flat), pa.array(np.repeat(n, n))], names=["c", "e", "n"])
 
 
-def _narrowed(place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may be linked. place: c, c_in of all classes in question."""
-    part, whole = percent, 100 + percent
+def _entries(place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Where the classes of ``place`` may meet: e, k, larger, c, n, low, high.
+
+    e is a member that may be the first shared one, k a step of sizes: a class is in that of its own size, and, as the
+    larger of a pair, in those of the sizes from ``low`` to ``high`` that its partners may have.
+    """
+    whole = 100 + percent
     member = written(sets.join(place.select("c"), "c", "left_semi").select("c", "shingles").mapInArrow(tidily(_members), "c long, e long, n long"))
     often = member.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     ranked = member.join(often, "e", "left").withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(0)), "e")) - 1)
-    # rest: what two sets share at most if this is the first member that they share; high: the size of the largest such set.
-    rest = F.col("n") - F.col("i")
-    least = F.ceil(F.col("n") * percent / 100)
-    first = ranked.where(F.col("df").isNotNull() & (whole * rest >= part * (F.col("n") + least)))
-    first = first.select("c", "e", "n", least.alias("low"), F.floor(rest * whole / part - F.col("n")).alias("high"))
-    weight = place.groupBy("c_in").agg(F.count("*").alias("size"))
-    entry = first.join(place.join(weight, "c_in"), "c")
+    # rest: what two sets share at most if this is the first member that they share.
+    rest, low = F.col("n") - F.col("i"), F.ceil(F.col("n") * percent / 100)
+    first = ranked.where(F.col("df").isNotNull() & (whole * rest >= percent * (F.col("n") + low)))
+    first = first.select("c", "e", "n", low.alias("low"), F.floor(rest * whole / percent - F.col("n")).alias("high"))
     step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
-    entry = written(entry.withColumn("own", step(F.col("n"))).withColumn("top", step(F.greatest("low", F.least("high", "n")))).withColumn("bottom", step(F.col("low"))))
-
-    larger = entry.where("high >= low").select("*", F.explode(F.sequence("bottom", "top")).alias("k"))
-    smaller = entry.withColumn("k", F.col("own"))
-    key = smaller.select("e", "k", "c_in", "size").unionByName(larger.select("e", "k", "c_in", "size"))
-    key = key.groupBy("e", "k").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y"), F.max(F.struct("size", "c_in")).alias("major"), F.count("*").alias("rows")).where("x < y")
-    salts = F.least(F.lit(32), 1 + F.floor(F.col("rows") / 1000)).cast("int").alias("salts")
-    key = written(key.select("e", "k", F.col("major.c_in").alias("major"), salts))
+    sizes = F.concat(F.array(F.struct(F.lit(False).alias("larger"), step(F.col("n")).alias("k"))), F.transform(F.sequence(step(F.col("low")), step(F.greatest("low", F.least("high", "n")))), lambda k: F.struct(F.lit(True).alias("larger"), k.alias("k"))))
+    return written(first.select("e", F.explode(sizes).alias("s"), "c", "n", "low", "high").select("e", "s.k", "s.larger", "c", "n", "low", "high"))
+
+
+def _open_keys(entry: DataFrame, place: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries with their components, and the keys (e, k) where several meet, with the largest of those."""
+    weight = place.groupBy("c_in").agg(F.count("*").alias("size"))
+    entry = entry.join(place.join(weight, "c_in"), "c")
+    key = entry.groupBy("e", "k").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y"), F.max(F.struct("size", "c_in")).alias("major"), F.count("*").alias("rows")).where("x < y")
+    return entry, key.select("e", "k", F.col("major.c_in").alias("major"), "rows")
+
+
+def _with_pivots(entry: DataFrame, place: DataFrame, used: DataFrame) -> DataFrame:
+    """Every class with one pivot, not in ``used``, of another component: a, b, p. One row a class at most.
+
+    The pivot of a key is the class with the fewest rare members of those outside the largest component.
+    """
+    entry, key = _open_keys(entry, place)
+    held = written(entry.join(key, ["e", "k"]))
+    pivot = held.where("c_in != major").join(used, "c", "left_anti").groupBy("e", "k").agg(F.max(F.struct((F.col("high") - F.col("n")).alias("slack"), "c", "c_in", "n", "low", "high")).alias("p"))
+    met = held.join(pivot, ["e", "k"]).where("c_in != p.c_in and n <= p.high and p.n <= high and n >= p.low and p.n >= low")
+    best = met.groupBy("c").agg(F.max(F.struct("p.slack", "p.c")).alias("x"))
+    return best.select(F.greatest("c", "x.c").alias("a"), F.least("c", "x.c").alias("b"), F.col("x.c").alias("p")).distinct()
+
+
+def _pairs(entry: DataFrame, place: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes of different components that may be linked."""
+    entry, key = _open_keys(entry, place)
+    key = written(key.select("e", "k", "major", F.least(F.lit(32), 1 + F.floor(F.col("rows") / 1000)).cast("int").alias("salts")))
+    held = entry.join(key, ["e", "k"])
     # The largest component of a key doesn't meet itself: t = 0 is others against it, t = 1 is all against others.
     is_major = F.col("c_in") == F.col("major")
-    a = larger.join(key, ["e", "k"]).select("e", "k", F.explode(F.when(is_major, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("t"), F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), F.col("c").alias("a"), F.col("c_in").alias("a_in"), F.col("n").alias("a_n"), "low", F.col("high").alias("a_high"))
-    b = smaller.join(key, ["e", "k"]).select("e", "k", F.when(is_major, 0).otherwise(1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("c").alias("b"), F.col("c_in").alias("b_in"), F.col("n").alias("b_n"), F.col("high").alias("b_high"))
+    a = held.where("larger").select("e", "k", F.explode(F.when(is_major, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("t"), F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), F.col("c").alias("a"), F.col("c_in").alias("a_in"), F.col("n").alias("a_n"), "low", F.col("high").alias("a_high"))
+    b = held.where("not larger").select("e", "k", F.when(is_major, 0).otherwise(1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("c").alias("b"), F.col("c_in").alias("b_in"), F.col("n").alias("b_n"), F.col("high").alias("b_high"))
     found = a.join(b, ["e", "k", "t", "salt"]).where("a_in != b_in and b_n <= a_n and b_n >= low and b_n <= a_high and a_n <= b_high")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, with_tag: bool = False) -> DataFrame:
+def _merged(place: DataFrame, links: DataFrame) -> DataFrame:
+    """``place`` (c, c_in) with the components that links (a, b) join."""
+    ends = [place.select(F.col("c").alias(k), F.col("c_in").alias(f"{k}_in")) for k in ("a", "b")]
+    edges = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
+    found = components(edges).select(F.col("node").alias("c_in"), "component")
+    return written(place.join(found, "c_in", "left").select("c", F.coalesce("component", "c_in").alias("c_in")))
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, pays: float = PAYS, with_tag: bool = False) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept for every row, and with ``with_tag`` a hash of its text.
 
     component_id is the smallest doc_id that links lead to; kept is true where it is the row's own. Null, empty and
     wordless texts have no shingles, are linked with nothing and kept. Repeated rows have equal sets, so they share
     a component and, with their id the smallest, are both kept. Rows with a null id take part; they get the smallest
-    other id of their component and are kept only if there is none. Other columns are not read.
+    other id of their component and are kept only if there is none. Other columns are not read. ``pays`` has no effect
+    on results.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     fields = [StructField("n", LongType()), StructField("c", LongType()), StructField("sig", BinaryType()), StructField("bands", ArrayType(LongType()))]
@@ -229,18 +263,23 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         likely = with_both(sig, "sig", pairs).mapInArrow(tidily(_likely(places, batch, percent, miss)), "a long, b long")
         return with_both(sets, "shingles", written(likely)).mapInArrow(tidily(_exact(percent)), "a long, b long")
 
-    edges = written(linked(tried.where("c != p").select(F.col("c").alias("a"), F.col("p").alias("b"))))
-    star = written(components(edges))
-    place = written(tried.select("c").join(star.withColumnsRenamed({"node": "c", "component": "c_in"}), "c", "left").withColumn("c_in", F.coalesce("c_in", "c")))
+    place = tried.select("c", F.col("c").alias("c_in"))
+    place = _merged(place, written(linked(tried.where("c != p").select(F.col("c").alias("a"), F.col("p").alias("b")))))
     held = member.select("band", "c").join(place, "c")
     several = held.groupBy("band").agg(F.min("c_in").alias("x"), F.max("c_in").alias("y")).where("x < y").select("band")
-    place = written(held.join(several, "band").select("c", "c_in").distinct())
-    more = linked(written(_narrowed(place, sets, percent)))
-    # Links between components, and every class with its component so far.
-    found = components(written(more.unionByName(star.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    entry = _entries(held.join(several, "band").select("c").distinct(), sets, percent)
+    used = tried.select(F.col("p").alias("c")).distinct()
+    while True:
+        stars = written(_with_pivots(entry, place, used))
+        links = written(linked(stars.select("a", "b")))
+        place = _merged(place, links)
+        used = written(used.unionByName(stars.select(F.col("p").alias("c"))).distinct())
+        if links.count() <= pays * stars.count():  # every round that goes on joins components, so it ends
+            break
+    found = _merged(place, written(linked(written(_pairs(entry, place)))))
 
     rowsof = table.select("id", "tag", "n", "c")
-    labels = rowsof.where("c is not null").groupBy("c").agg(F.min("id").alias("least")).join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
+    labels = rowsof.where("c is not null").groupBy("c").agg(F.min("id").alias("least")).join(found, "c", "left").select("c", "least", F.coalesce("c_in", "c").alias("component"))
     least = labels.groupBy("component").agg(F.min("least").alias("least"))
     of_class = labels.select("c", "component").join(least, "component").select("c", F.col("least").alias("component_id"))
     done = rowsof.join(of_class, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")))
