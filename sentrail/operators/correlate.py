@@ -5,11 +5,12 @@ reports: report_id, created_at, category, status, channel, locality, reporter. m
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrail.operators.components import components
+from sentrail.operators.ranks import ranked
+from sentrail.sources.shared import written
 
 APPROVED = ("approved", "merged")
 
@@ -111,52 +112,11 @@ def duplicate_candidates(reports: DataFrame, mentions: DataFrame, fingerprints:
     fingerprints: report_id, fingerprint; a null fingerprint matches nothing. Only neighbours in the order of a
     fingerprint are joined, so a template that many reports share gives at most ``latest`` rows for each.
     """
-    order = Window.partitionBy("fingerprint").orderBy("created_at", "report_id")
-    numbered = fingerprints.where("fingerprint is not null").join(reports.select("report_id", "created_at"), "report_id").withColumn("n", F.row_number().over(order))
+    numbered = written(ranked(fingerprints.where("fingerprint is not null").join(reports.select("report_id", "created_at"), "report_id"), "fingerprint", ["created_at", "report_id"]))
     later = numbered.where("n > 1").select("fingerprint", F.col("report_id").alias("newer"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - latest), F.col("n") - 1)).alias("n"))
     by_template = later.join(numbered.select("fingerprint", "n", F.col("report_id").alias("older")), ["fingerprint", "n"]).select("newer", "older", F.lit("template").alias("reason"))
     seen = mentions.join(reports.select("report_id", "created_at"), "report_id")
-    rank = Window.partitionBy("indicator").orderBy("created_at", "report_id")
-    seen = seen.withColumn("n", F.row_number().over(rank))
+    seen = written(ranked(seen, "indicator", ["created_at", "report_id"]))
     back = seen.where("n > 1").select("indicator", F.col("report_id").alias("newer"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 200), F.col("n") - 1)).alias("n"))
     by_indicator = back.join(seen.select("indicator", "n", F.col("report_id").alias("older")), ["indicator", "n"]).select("newer", "older", F.lit("indicator").alias("reason"))
     return by_template.unionByName(by_indicator).where("newer != older").groupBy("newer", "older").agg(F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reason"))
-
-
-def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    """Assigns the reports of one component in order of approval: to the strongest linked campaign, else a new one."""
-    owner: dict[int, int] = {}
-    templates: dict[str, dict[int, int]] = {}
-    out = []
-    for (at, report), rows in group.groupby(["approved_at", "report_id"], sort=True):
-        strength: dict[int, float] = {}
-        for i in rows["indicator"].dropna().unique():
-            if i in owner:
-                strength[owner[i]] = strength.get(owner[i], 0) + 0.5
-        template = rows["fingerprint"].iloc[0]
-        for c, n in templates.get(template, {}).items() if template is not None else ():
-            strength[c] = strength.get(c, 0) + 0.4 * min(n, 50)
-        best = min(strength, key=lambda c: (-min(1.0, strength[c]), c)) if strength else int(report)
-        out.append((int(report), best))
-        for i in rows["indicator"].dropna().unique():
-            owner.setdefault(i, best)
-        if template is not None:
-            seen = templates.setdefault(template, {})
-            seen[best] = seen.get(best, 0) + 1
-    return pd.DataFrame(out, columns=["report_id", "campaign"])
-
-
-def assign_campaigns(approved: DataFrame, mentions: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """(report_id, campaign) by greedy assignment in order of approval.
-
-    Reports act on each other only through shared indicators and fingerprints, so each component of those links is
-    replayed by itself. approved: report_id, approved_at. A campaign is named by its first report.
-    """
-    links = mentions.select((F.col("report_id") * 2).alias("a"), (F.col("indicator") * 2 + 1).alias("b"))
-    first = fingerprints.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("report_id").alias("first"))
-    same = fingerprints.join(first, "fingerprint").select((F.col("report_id") * 2).alias("a"), (F.col("first") * 2).alias("b"))
-    found = components(links.unionByName(same))
-    rows = approved.join(mentions, "report_id", "left").join(fingerprints, "report_id", "left")
-    rows = rows.join(found.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("report_id"), "component"), "report_id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", F.col("report_id") * 2))
-    return rows.groupBy("component").applyInPandas(_replay, "report_id long, campaign long")

@@ -1,6 +1,6 @@
 """Queries over reports, indicators and campaigns, and their SQL.
 
-Reports are made from orders, customers and nations; mentions from line items of large quantity.
+Reports are made from orders, customers and nations; mentions from all line items.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sentrail.operators import correlate as C
 from sentrail.operators import text as T
+from sentrail.operators.ranks import ranked
 from sentrail.sources.tables import messages, read
 from sentrail.sources.tables import MSG_SQL
 
@@ -21,7 +22,7 @@ SELECT o_orderkey AS report_id, o_orderdate AS created_at, o_orderpriority AS ca
   c_mktsegment AS channel, n_name AS locality, c_custkey AS reporter, o_totalprice AS amount, c_name AS name
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """
-MENTIONS_SQL = "SELECT DISTINCT l_orderkey AS report_id, l_partkey AS indicator FROM lineitem WHERE l_quantity >= 49"
+MENTIONS_SQL = "SELECT DISTINCT l_orderkey AS report_id, l_partkey AS indicator FROM lineitem"
 _R = f"r AS ({REPORTS_SQL})"
 _M = f"m AS ({MENTIONS_SQL})"
 _RM = f"WITH RECURSIVE {_R}, {_M}"
@@ -37,7 +38,7 @@ def reports(spark, sf):
 
 
 def mentions(spark, sf):
-    return read(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("indicator")).distinct()
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("indicator")).distinct()
 
 
 def recent(df):
@@ -97,7 +98,7 @@ def emerging(spark, sf):
 
 def indicator_search(spark, sf):
     found = C.registry(reports(spark, sf), mentions(spark, sf)).join(read(spark, sf, "part").select(F.col("p_partkey").alias("indicator"), F.col("p_name").alias("display")), "indicator")
-    return found.where(F.col("display").ilike("%1%")).orderBy(F.desc("report_count"), F.desc("last_seen"), "indicator").limit(50).select("indicator", "display", "report_count")
+    return found.where(F.col("display").ilike("%gear%")).orderBy(F.desc("report_count"), F.desc("last_seen"), "indicator").limit(50).select("indicator", "display", "report_count")
 
 
 def indicator_lookup(spark, sf):
@@ -170,21 +171,14 @@ def campaign_timeline(spark, sf):
     return C.campaigns(mentions(spark, sf)).join(reports(spark, sf), "report_id").groupBy("campaign", F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
-def campaign_replay(spark, sf):
-    m = mentions(spark, sf)
-    prints = messages(spark, sf).where("msg_id % 8 != 7").join(m.select(F.col("report_id").alias("msg_id")).distinct(), "msg_id").select(F.col("msg_id").alias("report_id"), F.concat(F.col("cust") % 97, F.lit("-"), T.fingerprint(F.col("text"))).alias("fingerprint"))
-    approved = reports(spark, sf).where(F.col("status").isin(*C.APPROVED)).join(m.select("report_id").distinct(), "report_id", "left_semi").select("report_id", F.col("created_at").alias("approved_at"))
-    return C.assign_campaigns(approved, m, prints)
-
-
 def dup_candidates(spark, sf):
-    prints = messages(spark, sf).where("msg_id % 8 != 7").select(F.col("msg_id").alias("report_id"), T.fingerprint(F.col("text")).alias("fingerprint"))
+    prints = messages(spark, sf).select(F.col("msg_id").alias("report_id"), T.fingerprint(F.col("text")).alias("fingerprint"))
     return C.duplicate_candidates(reports(spark, sf), mentions(spark, sf), prints)
 
 
 def template_links(spark, sf):
     """Each message and the template's first message, with the template's size."""
-    p = messages(spark, sf).where("msg_id % 8 != 7").select("msg_id", "created_at", T.fingerprint(F.col("text")).alias("fingerprint"))
+    p = messages(spark, sf).select("msg_id", "created_at", T.fingerprint(F.col("text")).alias("fingerprint"))
     first = p.groupBy("fingerprint").agg(F.min_by("msg_id", F.struct("created_at", "msg_id")).alias("first_id"), F.count("*").alias("n"))
     return p.join(first, "fingerprint").where("msg_id != first_id").select("msg_id", "first_id", "n")
 
@@ -213,11 +207,11 @@ def distinct_counts(spark, sf):
 
 
 def latency_pctl(spark, sf):
-    e = read(spark, sf, "events").select("event_type", "value", "event_id")
-    w = Window.partitionBy("event_type")
-    e = e.withColumns({"i": F.row_number().over(w.orderBy("value", "event_id")) - 1, "n": F.count("*").over(w)})
-    p95 = F.max(F.when(F.col("i") == F.floor(0.95 * (F.col("n") - 1)), F.col("value")))
-    return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), p95.alias("p95"), F.max("value").alias("most"))
+    e = ranked(read(spark, sf, "events").select("event_type", "value", "event_id").where("value is not null"), "event_type", ["value", "event_id"])
+    at = lambda k: F.when(F.col("n") - 1 == F.floor(k), F.col("value"))
+    last = F.col("n_of") - 1
+    middle = F.avg(F.when((F.col("n") - 1 == F.floor(last / 2)) | (F.col("n") - 1 == F.ceil(last / 2)), F.col("value")))
+    return e.groupBy("event_type").agg(F.round(middle, 6).alias("p50"), F.max(at(0.95 * last)).alias("p95"), F.max("value").alias("most"))
 
 
 def latency_approx(spark, sf):
@@ -249,23 +243,22 @@ def worst_cases(spark, sf):
     return _judged(spark, sf).where("truth != guess").orderBy("doc_id").limit(15).select("doc_id", "lang", "truth", "guess")
 
 
-_CAMPAIGN = f"""{_RM}, e AS (SELECT report_id AS a, indicator FROM m),
-step AS (SELECT DISTINCT x.a, y.a AS b FROM e x JOIN e y USING (indicator)),
-reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, step.b FROM reach JOIN step ON reach.b = step.a),
-c AS (SELECT a AS report_id, min(b) AS campaign FROM reach GROUP BY a),
+_CAMPAIGN = f"""{_RM}, lab(report_id, l, k) AS (SELECT DISTINCT report_id, report_id, 0 FROM m UNION ALL SELECT m.report_id, min(n.l), any_value(n.k) + 1
+  FROM (SELECT indicator, min(l) AS l, any_value(k) AS k FROM lab JOIN m USING (report_id) WHERE k < 40 GROUP BY indicator) n JOIN m USING (indicator) GROUP BY m.report_id),
+c AS (SELECT report_id, min(l) AS campaign FROM lab GROUP BY report_id),
 st AS (SELECT campaign, count(*) AS report_count, CAST(least(100, 25 + 15 * count(*)) AS BIGINT) AS score, CASE WHEN count(*) >= 3 THEN 'active' ELSE 'monitoring' END AS status,
   array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, min(created_at) AS first_seen, max(created_at) AS last_seen FROM c JOIN r USING (report_id) GROUP BY campaign),
 sh AS (SELECT campaign, indicator, count(DISTINCT report_id) AS shared FROM c JOIN m USING (report_id) GROUP BY ALL)"""
 _REG = """reg AS (SELECT indicator, min(created_at) AS first_seen, max(created_at) AS last_seen, CAST(sum(CASE WHEN status = 'pending' THEN 1 ELSE 2 END) AS BIGINT) AS sighting_count,
   count(*) FILTER (status <> 'pending') AS report_count FROM m JOIN r USING (report_id) %s GROUP BY indicator)"""
-_FP = r"""p AS (SELECT o_orderkey AS report_id, fp AS fingerprint FROM (SELECT msg_id AS o_orderkey, created_at, substr(sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(lower(text), '\d+|https?://\S+|www\.\S+', ' ', 'gi'), '[a-z\x{0B80}-\x{0BFF}]{3,}'))), ' ')), 1, 32) AS fp FROM msg WHERE msg_id % 8 <> 7))"""
+_FP = r"""p AS (SELECT o_orderkey AS report_id, fp AS fingerprint FROM (SELECT msg_id AS o_orderkey, created_at, substr(sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(lower(text), '\d+|https?://\S+|www\.\S+', ' ', 'gi'), '[a-z\x{0B80}-\x{0BFF}]{3,}'))), ' ')), 1, 32) AS fp FROM msg))"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         pulse_dims, pulse_daily, pulse_totals, pulse_localities, entity_registry, reputation, registry_merge, asof_reputation, top_indicators, emerging, indicator_search, indicator_lookup,
         indicator_reports, mod_queue, public_feed, report_intake, moderation_apply, campaign_components, campaign_stats, campaign_list, activation_time, campaign_nodes, campaign_edges,
-        campaign_rotation, campaign_timeline, campaign_replay, dup_candidates, template_links, first_reports, campaign_links, evidence_bundle, distinct_counts, latency_pctl, latency_approx, eval_prf,
+        campaign_rotation, campaign_timeline, dup_candidates, template_links, first_reports, campaign_links, evidence_bundle, distinct_counts, latency_pctl, latency_approx, eval_prf,
         eval_breakdown, worst_cases,
     )
 }
@@ -281,11 +274,11 @@ ORACLE_SQL = {
     "asof_reputation": "SELECT event_id, count(*) OVER w AS prior, max(ts) OVER w AS prior_last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "top_indicators": f"{_RM}, {_REG % ''} SELECT indicator, report_count, last_seen FROM reg ORDER BY report_count DESC, last_seen DESC, indicator LIMIT 12",
     "emerging": f"{_RM}, {_REG % ('WHERE ' + _RECENT)} SELECT indicator, report_count, last_seen FROM reg ORDER BY report_count DESC, last_seen DESC, indicator LIMIT 6",
-    "indicator_search": f"{_RM}, {_REG % ''} SELECT indicator, p_name AS display, report_count FROM reg JOIN part ON p_partkey = indicator WHERE p_name ILIKE '%1%' ORDER BY report_count DESC, last_seen DESC, indicator LIMIT 50",
+    "indicator_search": f"{_RM}, {_REG % ''} SELECT indicator, p_name AS display, report_count FROM reg JOIN part ON p_partkey = indicator WHERE p_name ILIKE '%gear%' ORDER BY report_count DESC, last_seen DESC, indicator LIMIT 50",
     "indicator_lookup": f"{_RM}, h AS (SELECT DISTINCT indicator, substr(sha256('domain:' || indicator), 1, 32) AS hash FROM m) SELECT * FROM h WHERE hash LIKE 'a%' OR indicator = 7",
     "indicator_reports": f"{_RM} SELECT indicator, report_id, category, locality FROM m JOIN r USING (report_id) WHERE status <> 'pending'",
     "mod_queue": f"WITH {_R} SELECT report_id, created_at, category, channel FROM r WHERE status = 'pending' ORDER BY created_at DESC, report_id DESC LIMIT 200",
-    "public_feed": f"WITH {_R} SELECT report_id, category, locality, 'Call 987*****' || right(lpad(CAST(reporter AS VARCHAR), 5, '0'), 2) || ' or write to us***@mail.example now' AS preview FROM r WHERE status <> 'pending' AND channel <> 'BUILDING' ORDER BY created_at DESC, report_id DESC LIMIT 100",
+    "public_feed": f"WITH {_R} SELECT report_id, category, locality, regexp_replace(regexp_replace('Call 98765' || lpad(CAST(reporter AS VARCHAR), 5, '0') || ' or write to user' || reporter || '@mail.example now', '\\b([6-9]\\d{{2}})\\d{{5}}(\\d{{2}})\\b', '\\1*****\\2', 'g'), '\\b([A-Za-z0-9._%+-]{{2}})[A-Za-z0-9._%+-]*@', '\\1***@', 'g') AS preview FROM r WHERE status <> 'pending' AND channel <> 'BUILDING' ORDER BY created_at DESC, report_id DESC LIMIT 100",
     "report_intake": f"WITH {_R} SELECT report_id, CASE WHEN lower(channel) IN ('machinery', 'household', 'building') THEN lower(channel) ELSE 'other' END AS channel, CASE WHEN reporter % 6 = 0 THEN 'public' ELSE 'private' END AS visibility, lower(category) AS category FROM r",
     "moderation_apply": "WITH a AS (SELECT *, CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'reject' ELSE 'set_status' END AS action FROM events) SELECT user_id, arg_max(action, (ts, event_id)) AS last_action, count(*) AS n_actions, min(ts) FILTER (action = 'approve') AS first_approved FROM a GROUP BY user_id",
     "campaign_components": f"{_CAMPAIGN} SELECT * FROM c",
