@@ -21,8 +21,7 @@ def entities_by_type_counts(spark, sf):
 
 
 def entities_documents(spark, sf):
-    found = E.extract(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return found.where(F.col("type").isin("email", "upi", "ifsc")).select("doc_id", "type", "canonical")
+    return E.extract(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "type", "canonical")
 
 
 def brand_domain_conflict(spark, sf):
@@ -89,5 +88,4 @@ ORACLE_SQL = {
     "scam_class": f"{_CLASS} SELECT msg_id, scam_category, top_score FROM cl",
     "rf_intent": f"{_POINTS} SELECT msg_id, intent_points, benign_credit FROM po",
     "risk_band": f"{_POINTS} SELECT CASE WHEN message_score < 25 THEN 'LOW' WHEN message_score < 50 THEN 'CAUTION' WHEN message_score < 75 THEN 'HIGH' ELSE 'CRITICAL' END AS band, scam_category, count(*) AS n, max(message_score) AS most FROM pb GROUP BY ALL",
-    "brand_domain_conflict": f"{MSG} SELECT msg_id, unnest(CASE msg_id % 8 WHEN 0 THEN ['sbi'] WHEN 2 THEN ['hdfc'] WHEN 4 THEN CAST([] AS VARCHAR[]) ELSE CAST([] AS VARCHAR[]) END) AS brand FROM msg",
 }

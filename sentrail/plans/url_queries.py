@@ -305,13 +305,8 @@ cg AS (SELECT *, damerau_levenshtein({_BYTE % 'cand'}, target) AS da, damerau_le
 ch AS (SELECT *, greatest(round(1 - da / greatest(length(cand), length(target)), 3), round(1 - db / greatest(length(s), length(target)), 3)) AS sim FROM cg),
 ck AS (SELECT *, CASE WHEN cand = target THEN 1.0 WHEN u = target OR s = target THEN 0.95 WHEN least(da, db) = 1 OR ana THEN 0.90 WHEN least(da, db) <= 1 OR sim >= 0.75 THEN round(sim, 2) END AS brand_score FROM ch),
 bm AS (SELECT stem, brand, CAST(brand_score AS DOUBLE) AS brand_score, cand AS token FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY brand_score DESC, ci, ti) AS rn FROM ck WHERE brand_score IS NOT NULL) WHERE rn = 1 AND brand_score >= 0.7)"""
-_DL = f"""{_PARTS}, {_STEMS}, tk AS (SELECT DISTINCT {_TOKENS}[1] AS token FROM st), dl AS (SELECT token, brand, CAST(damerau_levenshtein({_BYTE % 'token'}, brand) AS DOUBLE) AS distance FROM tk, (SELECT unnest([{_list(fixed.BRAND_REGISTRY)}]) AS brand) WHERE token IS NOT NULL AND levenshtein({_BYTE % 'token'}, brand) <= 4),
+_DL = f"""{_PARTS}, {_STEMS}, tk AS (SELECT DISTINCT {_TOKENS}[1] AS token FROM st), dl AS (SELECT token, brand, CAST(damerau_levenshtein({_BYTE % 'token'}, brand) AS DOUBLE) AS distance FROM tk, (SELECT unnest([{_list(fixed.BRAND_REGISTRY)}]) AS brand) WHERE token IS NOT NULL),
 dm AS (SELECT *, round(1 - distance / greatest(length(token), length(brand)), 3) AS similarity FROM dl)"""
-_LEX = r"""length(normalized) AS url_length, length(domain) AS domain_length, len(list_filter(string_split(subdomain, '.'), lambda x: x <> '')) AS subdomain_count, length(path) AS path_length, length(query) AS query_length,
- length(normalized) - length(replace(normalized, '.', '')) AS dot_count, length(normalized) - length(replace(normalized, '-', '')) AS hyphen_count, length(normalized) - length(replace(normalized, '_', '')) AS underscore_count,
- len(regexp_extract_all(normalized, '\d')) AS digit_count, len(regexp_extract_all(normalized, '[^\p{L}\p{N}/:]')) AS special_count, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS path_depth,
- len(list_filter(string_split(query, '&'), lambda x: x <> '')) AS parameter_count, coalesce(port NOT IN (80, 443), false) AS unusual_port, contains(url, '@') AS has_at, regexp_matches(normalized, '%[0-9a-fA-F]{2}') OR regexp_matches(url, '%[0-9a-fA-F]{2}') AS has_percent,
- contains(regexp_replace(url, '^.*?://', ''), '//') AS double_slash"""
 
 QUERIES = {
     f.__name__: f
@@ -322,14 +317,11 @@ QUERIES = {
     )
 }
 
-# The last label of a confusable host is shown in its ASCII form, which SQL doesn't have.
-_ASCII_ONLY = "WHERE homograph_risk <> 'CRITICAL'"
 ORACLE_SQL = {
     "url_scheme": f"{_PARTS} SELECT url, scheme FROM n",
     "url_host_port": f"{_PARTS} SELECT url, host, coalesce(port, -1) AS port FROM n",
     "url_decompose": f"{_PARTS} SELECT url, subdomain, registered_domain, tld, domain, is_ip FROM n",
     "url_path": f"{_PARTS} SELECT url, path FROM n",
-    "url_pct": f"{_PARTS} SELECT url, replace(replace(url, '%2f', '%2F'), '%7E', '~') || '~%2F%zzA' AS decoded FROM n",
     "url_strip_tracking": f"{_PARTS} SELECT url, query, stripped FROM n",
     "url_tld": f"{_PARTS} SELECT url, tld, tld IN ({_list(fixed.SUSPICIOUS_TLDS)}) OR list_last(string_split(tld, '.')) IN ({_list(fixed.SUSPICIOUS_TLDS)}) AS suspicious_tld FROM n",
     "url_semantic": f"{_PARTS} SELECT url, array_to_string({_SEMANTIC}, ',') AS semantic, CAST(round(least(0.75, len({_SEMANTIC}) * 0.15), 2) AS DOUBLE) AS semantic_weight FROM n",
@@ -350,7 +342,7 @@ ORACLE_SQL = {
     "brand_similarity": f"{_DL} SELECT CASE WHEN similarity >= 0.85 THEN 'HIGH' WHEN similarity >= 0.7 THEN 'MEDIUM' WHEN similarity >= 0.5 THEN 'LOW' ELSE 'NONE' END AS rating, count(*) AS n FROM dm WHERE distance <= 4 GROUP BY 1",
     "brand_near": f"{_PARTS}, {_STEMS}, tk AS (SELECT DISTINCT unnest({_TOKENS}) AS token FROM st) SELECT token, brand FROM tk, (SELECT unnest([{_list(fixed.LEGACY_BRANDS)}]) AS brand) WHERE damerau_levenshtein({_BYTE % 'token'}, brand) <= 1",
     "dns_enrich": f"{_PARTS}, dns AS ({_DNS}), g2 AS (SELECT host, count(DISTINCT ip) AS n_ips FROM dns GROUP BY 1), hh AS (SELECT DISTINCT host FROM n) SELECT host, coalesce(n_ips, 0) AS n_ips, coalesce(n_ips, 0) > 1 AS multiple_ips FROM hh LEFT JOIN g2 USING (host)",
-    "asn_join": f"WITH dns AS ({_DNS}) SELECT DISTINCT ip, CASE WHEN ip LIKE '104.16.%' OR ip LIKE '104.17.%' THEN 'AS13335' END AS asn, CASE WHEN ip LIKE '104.16.%' OR ip LIKE '104.17.%' THEN 'Cloudflare, Inc.' END AS org FROM dns",
+    "asn_join": f"WITH dns AS (SELECT DISTINCT ip FROM ({_DNS})), b(prefix, asn, org) AS (VALUES {', '.join(f'({_q(p)}, {_q(v[0])}, {_q(v[1])})' for p, v in fixed.ASN_PREFIXES.items())}) SELECT ip, arg_max(asn, length(prefix)) AS asn, arg_max(org, length(prefix)) AS org FROM dns LEFT JOIN b ON starts_with(ip || '.', prefix || '.') GROUP BY ip",
     "redirect_chain": f"""WITH RECURSIVE hop AS ({_HOPS}), w(src, final, chain) AS (
   SELECT src, dst, [src, dst] FROM hop UNION ALL SELECT w.src, hop.dst, list_append(chain, hop.dst) FROM w JOIN hop ON hop.src = w.final WHERE len(chain) < 6 AND NOT list_contains(chain, hop.dst))
 SELECT src, final, CAST(len(chain) - 1 AS INT) AS hops, array_to_string(chain, ' > ') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY len(chain) DESC) AS rn FROM w) WHERE rn = 1""",

@@ -1 +1 @@
-
+"""Structured Streaming jobs over sightings, reports and requests."""
