@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 from sentrail.llm._text import map_rows, mix, NOT_SPACE, tidily, Words, written
 from sentrail.operators.components import components
 
-SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS, PAYS = 5, 75, 128, 4, 16, 1e-6, 0.1
+SHINGLE, PERCENT, PLACES, ROWS, BATCH, MISS, PAYS = 5, 75, 128, 4, 16, 1e-6, 0.25
 _RNG = np.random.default_rng(99991)
 _MULTIPLIERS = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
