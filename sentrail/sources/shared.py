@@ -21,10 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # shuffles of this write serve nothing else; their files go when it ends
     try:
@@ -32,3 +32,20 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Named tables of one job in the shared folder; a table that nothing reads any more can be dropped before the job ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, pieces: list[DataFrame]) -> DataFrame:
+        """Writes the pieces of a table one after another, so that their shuffles never take up disk together."""
+        for k, piece in enumerate(pieces):
+            written(piece, f"{self.folder}/{name}/{k}")
+        return self.spark.read.schema(pieces[0].schema).parquet(*[f"{self.folder}/{name}/{k}" for k in range(len(pieces))])
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
