@@ -9,8 +9,10 @@ has. The minimum is a count and not a share, so what is learned does not shrink
 The tree is a set of Spark tables keyed by the hash of a run of words: a run of k words is a context of depth k and an
 entry (context and next symbol) of depth k - 1. A score in the longest context is a sum over the runs that end in each
 token: an entry adds log(1 + n / ((strength + rest) * p of its suffix)), a context adds the log of the mass that it
-leaves to its suffix. So scoring is one join of runs with weights. Weights of words and runs of at least ``table_share``
-and ``HOT_SHARE`` of all tokens are broadcast (at most 1 / share of them each, at any size); all others are joined.
+leaves to its suffix. So scoring is one join of runs with weights for each size of run. Weights of words and runs of at
+least ``table_share`` and ``HOT_SHARE`` of all tokens are broadcast (at most 1 / share of them each, at any size); all
+others are joined. There are several runs for every token, so the runs of each size are counted and joined in passes
+over the texts, each of which shuffles its share of them.
 
 ``train`` and ``Tree`` are the plain form in memory, with a symbol for rare words, for comparison on small corpora.
 """
@@ -18,19 +20,21 @@ and ``HOT_SHARE`` of all tokens are broadcast (at most 1 / share of them each, a
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrail.llm._text import chunks, mix, NOT_SPACE, tidily, Words, written
 from sentrail.llm.crf import fold_of
+from sentrail.sources.shared import Scratch
 
 FOLDS, HELD_OUT, DEPTH = 7, 2, 3
 SHARE, ENTRY_SHARE, TABLE_SHARE = 1e-5, 1e-6, 2e-7
 LEAST, HOT_SHARE = 2, 2e-6
+PASSES = 2
 TURN = 17
 STRENGTH = 10.0
 END_WORD = np.uint64(0x1234567890ABCDEF)
@@ -308,78 +312,103 @@ def _shorter(run, word):
     return F.shiftleft(x, 64 - TURN).bitwiseOR(F.shiftrightunsigned(x, TURN))
 
 
-def _run_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """size, g, y (last word) and n of all runs; sums are made in each chunk before the shuffle."""
+def _run_counts(texts: DataFrame, size: int, part: int, parts: int) -> DataFrame:
+    """g, y (last word) and n of the runs of one size and one residue of g; sums are made in each chunk before the shuffle."""
 
     def count(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
-                tokens, first = tokens_of(part.column(0))
-                for k, (h, at) in enumerate(runs(tokens, first, depth)):
-                    g, one, n = np.unique(h, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k + 2, np.int32)), pa.array(g.view(np.int64)), pa.array(tokens[at[one]].view(np.int64)), pa.array(n)], names=["size", "g", "y", "n"])
+            for piece in chunks(batch, "text"):
+                tokens, first = tokens_of(piece.column(0))
+                *_, (h, at) = runs(tokens, first, size - 1)
+                mine = h.view(np.int64) % parts == part
+                g, one, n = np.unique(h[mine], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(tokens[at[mine][one]].view(np.int64)), pa.array(n)], names=["g", "y", "n"])
+
+    return texts.mapInArrow(tidily(count), "g long, y long, n long").groupBy("g", "y").agg(F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(tidily(count), "size int, g long, y long, n long").groupBy("size", "g", "y").agg(F.sum("n").alias("n"))
+def _part(df: DataFrame, key: str, part: int, parts: int) -> DataFrame:
+    return df.where(F.pmod(F.col(key), F.lit(parts)) == part)
 
 
-def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, *, depth: int = DEPTH, least: float = LEAST, entry_least: float = LEAST, strength: float = STRENGTH) -> tuple[DataFrame, DataFrame]:
-    """The tree as tables: words (key, n, w) and runs (g, n, w) with their weights (log10)."""
-    found = written(_run_counts(texts, depth).where(F.col("n") >= entry_least))
-    base = ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("base")
-    end = int(END_WORD.view(np.int64))
-    entries, stats = [], []
+def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, tables: Scratch, *, depth: int = DEPTH, least: float = LEAST, entry_least: float = LEAST, strength: float = STRENGTH, passes: int = PASSES) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """The tree as tables: words (key, n, w), and by size of run the runs (g, n, w) with their weights (log10).
+
+    A run of a size may have two rows, one as an entry and one as a context; its weight is their sum. Every step is
+    made in ``passes`` by residue of its key, so that the disk its shuffles take is a share of the whole; steps drop
+    the tables that only they read.
+    """
+    floor, end = F.lit(float(n + v + 1)), int(END_WORD.view(np.int64))
+    base = (F.col("n_y") + 1) / floor
+    each = range(passes)
+    found = {size: tables.keep(f"found{size}", [_run_counts(texts, size, j, passes).where(F.col("n") >= entry_least) for j in each]) for size in range(2, depth + 2)}
+    entries: list[DataFrame] = []
     for d in range(1, depth + 1):
-        e = found.where(F.col("size") == d + 1).select("g", "y", "n", _shorter(F.col("g"), F.col("y")).alias("c"))
+        f = found[d + 1].withColumn("c", _shorter(F.col("g"), F.col("y")))
         if d == 1:
-            up = counts.select(F.col("key").alias("c"), F.col("n").alias("total"), F.lit(0).cast("long").alias("c_up"))
-            e = e.join(counts.select(F.col("key").alias("y"), base), "y").withColumns({"up": F.col("y"), "expected": F.col("base")})
-            e = e.join(up.where((F.col("c") != end) & (F.col("total") >= least)), "c")
+            context = counts.where((F.col("key") != end) & (F.col("n") >= least)).select(F.col("key").alias("c"), F.col("n").alias("total"), F.lit(0).cast("long").alias("c_up"))
+            suffix = counts.select(F.col("key").alias("up"), F.col("n").alias("n_y"), F.col("n").alias("n_up"), F.lit(0).cast("long").alias("total_up"))
+            up = F.col("y")
         else:
-            up = entries[-1].where((F.col("y") != end) & (F.col("n") >= least)).select(F.col("g").alias("c"), F.col("n").alias("total"), F.col("up").alias("c_up"))
-            e = e.join(up, "c").withColumn("up", _longer(F.col("c_up"), F.col("y")))
-            suffix = entries[-1].select(F.col("g").alias("up"), "base", ((F.col("n") + F.col("base")) / (F.col("total") + 1)).alias("expected"))
-            e = e.join(suffix, "up")
-        e = written(e.select("g", "y", "n", "c", "total", "c_up", "up", "base", "expected"))
-        entries.append(e)
-        total = F.max("total")
+            e = entries[-1]
+            context = e.where((F.col("y") != end) & (F.col("n") >= least)).select(F.col("g").alias("c"), F.col("n").alias("total"), F.col("up").alias("c_up"))
+            suffix = e.select(F.col("g").alias("up"), "n_y", F.col("n").alias("n_up"), F.col("total").alias("total_up"))
+            up = _longer(F.col("c_up"), F.col("y"))
+        pieces = [_part(f, "c", j, passes).join(_part(context, "c", j, passes), "c").withColumn("up", up).join(suffix, "up").select("g", "y", "n", "up", "total", "n_y", "n_up", "total_up") for j in each]
+        entries.append(tables.keep(f"entries{d}", pieces))
+        tables.drop(f"found{d + 1}")
+
+    def with_context(d):
+        e, up = entries[d - 1], _shorter(F.col("up"), F.col("y")) if d > 1 else F.lit(0).cast("long")
+        return e.withColumns({"c": _shorter(F.col("g"), F.col("y")), "c_up": up})
+
+    kept: dict[int, DataFrame] = {}
+    for d in range(depth, 0, -1):
+        expected = base if d == 1 else (F.col("n_up") + base) / (F.col("total_up") + 1)
+        e, total = with_context(d).withColumn("expected", expected), F.max("total")
         parts = F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("expected"))))
-        s = e.groupBy("c").agg(total.alias("total"), F.max("c_up").alias("c_up"), F.count("*").alias("k"), (total - F.sum("n")).alias("rest"), parts.alias("g"), F.greatest(F.lit(1e-12), 1 - F.sum("expected")).alias("other"))
         g = 2 * (F.col("g") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("total") * F.col("other")))).otherwise(F.lit(0.0)))
-        stats.append(s.select("c", "c_up", "total", "rest", (g > F.col("k") + 4 * F.sqrt(2 * F.col("k")) + 4).alias("own")))
-    kept: list[DataFrame] = []
-    for s in reversed(stats):
-        if kept:
-            on_top = kept[0].select(F.col("c_up").alias("c"), F.lit(True).alias("on_top")).distinct()
-            s = s.join(on_top, "c", "left").where("own or on_top").drop("on_top")
-        else:
-            s = s.where("own")
-        left = F.lit(strength) + F.col("rest")
-        kept.insert(0, written(s.select("c", "c_up", "total", left.alias("left"), F.log10(left / (F.col("total") + strength)).alias("w"))))
-    weights, p = [], None
-    for d, (e, k) in enumerate(zip(entries, kept, strict=True)):
-        e = e.drop("total").join(k.select("c", "total", "left"), "c")
-        e = e.withColumn("before", F.col("base")) if d == 0 else e.join(p, "up")
-        e = e.select("g", "n", ((F.col("n") + F.col("left") * F.col("before")) / (F.col("total") + strength)).alias("p"), F.log10(1 + F.col("n") / (F.col("left") * F.col("before"))).alias("w"))
-        e = written(e)
-        p = e.select(F.col("g").alias("up"), F.col("p").alias("before"))
-        weights.append(e.select("g", "n", "w"))
-        if d:
-            weights.append(k.select(F.col("c").alias("g"), F.col("total").alias("n"), "w"))
-    both = weights[0]
-    for w in weights[1:]:
-        both = both.unionByName(w)
-    words = counts.join(kept[0].select(F.col("c").alias("key"), "w"), "key", "left").select("key", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    return written(words), written(both.groupBy("g").agg(F.max("n").alias("n"), F.sum("w").alias("w")))
-
-
-def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH, share: float = 0.0, entry_share: float = 0.0, table_share: float = TABLE_SHARE, hot_share: float = HOT_SHARE, strength: float = STRENGTH) -> DataFrame:
+        pieces = []
+        for j in each:
+            s = _part(e, "c", j, passes).groupBy("c").agg(total.alias("total"), F.max("c_up").alias("c_up"), F.count("*").alias("k"), (total - F.sum("n")).alias("rest"), parts.alias("g"), F.greatest(F.lit(1e-12), 1 - F.sum("expected")).alias("other"))
+            s = s.select("c", "c_up", "total", "rest", (g > F.col("k") + 4 * F.sqrt(2 * F.col("k")) + 4).alias("own"))
+            if d < depth:
+                on_top = _part(kept[d + 1].select(F.col("c_up").alias("c")), "c", j, passes).distinct().withColumn("on_top", F.lit(True))
+                s = s.join(on_top, "c", "left").where("own or on_top")
+            else:
+                s = s.where("own")
+            pieces.append(s.select("c", "c_up", "total", "rest"))
+        kept[d] = tables.keep(f"kept{d}", pieces)
+
+    weights: dict[int, DataFrame] = {}
+    mass = None
+    for d in range(1, depth + 1):
+        e, pieces = with_context(d).drop("c_up"), []
+        for j in each:
+            x = _part(e, "c", j, passes).join(_part(kept[d].select("c", "rest"), "c", j, passes), "c")
+            x = x.withColumn("before", base) if d == 1 else x.join(mass, "up")
+            pieces.append(x.select("g", "n", "total", ((F.lit(strength) + F.col("rest")) * F.col("before")).alias("lent")))
+        w = tables.keep(f"weights{d}", pieces)
+        tables.drop(f"entries{d}")
+        mass = w.select(F.col("g").alias("up"), ((F.col("n") + F.col("lent")) / (F.col("total") + strength)).alias("before"))
+        weights[d + 1] = w.select("g", "n", F.log10(1 + F.col("n") / F.col("lent")).alias("w"))
+    left = F.log10((F.lit(strength) + F.col("rest")) / (F.col("total") + strength)).alias("w")
+    for d in range(2, depth + 1):
+        weights[d] = weights[d].unionByName(kept[d].select(F.col("c").alias("g"), F.col("total").alias("n"), left))
+    words = counts.join(kept[1].select(F.col("c").alias("key"), left), "key", "left").select("key", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    return written(words), weights
+
+
+def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH, share: float = 0.0, entry_share: float = 0.0, table_share: float = TABLE_SHARE, hot_share: float = HOT_SHARE, strength: float = STRENGTH, passes: int = PASSES) -> DataFrame:
     """Trains on the rows outside the held-out fold and scores all rows.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10). A null or empty text
     is an end alone. A row with a null id is in the training part and is scored. Repeated rows count each in
-    training and get one result each. An empty table gives an empty result. Words and runs are told apart by 64-bit
-    hashes. Other columns are not read. Contexts and entries need ``LEAST`` occurrences, or ``share`` and
-    ``entry_share`` of the tokens where those are given; ``table_share`` and ``hot_share`` have no effect on results.
+    training and get one result each, the same for rows of equal id and text. An empty table gives an empty result.
+    Words, runs and texts of one id are told apart by 64-bit hashes. Other columns are not read. Contexts and entries
+    need ``LEAST`` occurrences, or ``share`` and ``entry_share`` of the tokens where those are given; ``table_share``,
+    ``hot_share`` and ``passes`` (how often texts are read again for each size of run, against disk) have no effect
+    on results.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -387,16 +416,17 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     texts = source.where(fold != held_out).select("text")
     counts = written(_summed(texts, _word_counts))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, weights = grow(texts, counts, n, v, depth=depth, least=max(LEAST, share * n), entry_least=max(LEAST, entry_share * n), strength=strength)
+    tables = Scratch(docs.sparkSession)
+    words, weights = grow(texts, counts, n, v, tables, depth=depth, least=max(LEAST, share * n), entry_least=max(LEAST, entry_share * n), strength=strength, passes=passes)
     hot = words.where(F.col("n") >= max(1, table_share * n)).toArrow()  # 1 / table_share rows at most
-    hot_runs = weights.where(F.col("n") >= max(1, hot_share * n)).toArrow()  # depth / hot_share rows at most
+    every = reduce(DataFrame.unionByName, weights.values())
+    hot_runs = every.where(F.col("n") >= max(1, hot_share * n)).groupBy("g").agg(F.sum("w").alias("w")).toArrow()  # depth / hot_share rows at most
     column = lambda t, c: np.asarray(t[c].to_numpy())
     broadcast = docs.sparkSession.sparkContext.broadcast
     known = broadcast((Table(column(hot, "key").view(np.uint64)), np.log10((column(hot, "n") + 1) / (n + v + 1)), column(hot, "w")))
     often = broadcast((Table(column(hot_runs, "g").view(np.uint64)), column(hot_runs, "w")))
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in chunks(batch, "text"):
                 tokens, first = tokens_of(part.column(1))
@@ -406,41 +436,57 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
                 base, total = np.zeros(len(tokens)), np.zeros(len(tokens))
                 base[has], total[has] = log_base[at[has]], left[at[has]]
                 total += base
-                rest, rest_at = [], []
                 for h, place in runs(tokens, first, depth):
                     got = runs_table.find(h)
                     total[place[got >= 0]] += w[got[got >= 0]]
-                    rest.append(h[got < 0])
-                    rest_at.append(place[got < 0])
                 row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
                 add = lambda x: np.bincount(row_of, weights=x, minlength=part.num_rows)  # noqa: B023, E731
-
-                def lists(hashes, places):
-                    at = row_of[places]  # noqa: B023
-                    order = np.argsort(at, kind="stable")
-                    offs = np.searchsorted(at[order], np.arange(part.num_rows + 1))  # noqa: B023
-                    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(hashes[order].view(np.int64)))
-
                 out = np.flatnonzero(~has)
-                rows = np.arange(row, row + part.num_rows)
-                row += part.num_rows
-                columns = [part.column(0), pa.array(rows), pa.array(np.diff(first), pa.int64()), pa.array(add(has).astype(np.int64)), pa.array(add(base)), pa.array(add(total)), lists(tokens[out], out), lists(np.concatenate(rest), np.concatenate(rest_at))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_tokens", "known", "base", "total", "rare", "runs"])
-
-    # Row numbers hold because the table is written before they are used.
-    parts = written(source.mapInArrow(tidily(run), f"id {kind}, row long, n_tokens long, known long, base double, total double, rare array<long>, runs array<long>"))
+                offs = np.searchsorted(row_of[out], np.arange(part.num_rows + 1))
+                rare = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(tokens[out].view(np.int64)))
+                columns = [part.column(0), part.column(2), pa.array(np.diff(first), pa.int64()), pa.array(add(has).astype(np.int64)), pa.array(add(base)), pa.array(add(total)), rare]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_tokens", "known", "base", "total", "rare"])
+
+    def seen(size, residue):
+        """Runs of one size and residue that the broadcast table lacks, each with its row."""
+
+        def emit(batches):
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    tokens, first = tokens_of(part.column(1))
+                    *_, (h, place) = runs(tokens, first, size - 1)
+                    mine = h.view(np.int64) % passes == residue
+                    h, place = h[mine], place[mine]
+                    left = often.value[0].find(h) < 0
+                    rows = part.column(2).to_numpy()[np.searchsorted(first, place[left], side="right") - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(h[left].view(np.int64))], names=["row", "g"])
+
+        return emit
+
+    # Texts are read several times, so rows go by a hash of their content and not by their place in the table.
+    source = source.withColumn("row", F.xxhash64("id", "text"))
+    parts = written(source.mapInArrow(tidily(run), f"id {kind}, row long, n_tokens long, known long, base double, total double, rare array<long>"))
     rare = parts.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
-    more = rare.select("row", F.col("n").isNotNull().cast("long").alias("more"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1))).alias("log"), F.coalesce("w", F.lit(0.0)).alias("w"))
-    longer = parts.select("row", F.explode("runs").alias("g")).join(weights.select("g", "w"), "g")
-    more = more.unionByName(longer.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("log"), "w"))
-    more = more.groupBy("row").agg(F.sum("more").alias("more"), F.sum("log").alias("log"), F.sum("w").alias("w"))
-    log = F.coalesce("log", F.lit(0.0))
-    return parts.drop("rare", "runs").join(more, "row", "left").select(
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    more = rare.select("row", none.alias("copies"), F.col("n").isNotNull().cast("long").alias("more"), F.log10((F.coalesce("n", none) + 1) / F.lit(float(n + v + 1))).alias("log"), F.coalesce("w", zero).alias("w"))
+    more = more.unionByName(parts.select("row", F.lit(1).cast("long").alias("copies"), none.alias("more"), zero.alias("log"), zero.alias("w")))
+    for size, w in weights.items():
+        pieces = []
+        for j in range(passes):
+            own = _part(w, "g", j, passes).groupBy("g").agg(F.sum("w").alias("w"))
+            occurring = source.mapInArrow(tidily(seen(size, j)), "row long, g long")
+            pieces.append(occurring.join(own, "g").groupBy("row").agg(F.sum("w").alias("w")))
+        more = more.unionByName(tables.keep(f"scores{size}", pieces).select("row", none.alias("copies"), none.alias("more"), zero.alias("log"), "w"))
+        for name in [f"weights{size - 1}", f"kept{size}"]:
+            tables.drop(name)
+    copies = F.sum("copies")
+    more = more.groupBy("row").agg(F.expr("sum(more) div sum(copies)").alias("more"), (F.sum("log") / copies).alias("log"), (F.sum("w") / copies).alias("w"))
+    return parts.drop("rare").join(more, "row").select(
         F.col("id").alias(doc_id),
         (fold == held_out).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.col("more")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + log).alias("base_score"),
-        (F.col("total") + log + F.coalesce("w", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.col("log")).alias("base_score"),
+        (F.col("total") + F.col("log") + F.col("w")).alias("score"),
     )
