@@ -1,9 +1,7 @@
-"""Entities of a message: one row for each distinct value of a type, with its join key."""
+"""Entities of a message: one row for each distinct value of a type, with its place and its join key."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +17,26 @@ AMOUNT = r"(?i)(?:(?:rs|inr|₹)\.?\s?)([0-9][0-9,]*(?:\.\d{1,2})?)(?:\s?(lakh|l
 TXN = r"(?i)\b(?:txn|transaction|ref|reference|utr|order|ticket|complaint)\s*(?:id|no|number|#)?\s*[:\-#]?\s*([A-Z0-9]{6,24})\b"
 IFSC = r"\b[A-Z]{4}0[A-Z0-9]{6}\b"
 DATE = r"(?i)\b(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{1,2}\s?(?:st|nd|rd|th)?\s(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s?\d{0,4})\b"
-#: Confidence of each type.
-CONFIDENCE = {"upi": 0.9, "email": 0.9, "url": 0.92, "domain": 0.9, "phone": 0.88, "amount": 0.8, "txn_id": 0.7, "ifsc": 0.85, "date": 0.6, "locality": 0.65, "brand": 0.75}
-#: Suffixes of two labels that the registrable part keeps.
+HANDLE = r"(?<![\p{L}\p{N}_@./])@([A-Za-z0-9_]{3,30})\b"
+TAIL = "[.,;:!?)'\"»]+$"
+# The confidence of each type, and that of a sender's number.
+CONFIDENCE = {"handle": 0.6, "sender_id": 0.9, "upi": 0.9, "email": 0.9, "url": 0.92, "domain": 0.9, "phone": 0.88, "amount": 0.8, "txn_id": 0.7, "ifsc": 0.85, "date": 0.6, "locality": 0.65, "brand": 0.75}
+SENDER_PHONE = 0.95
+#: Suffixes of two labels that the registrable part keeps.
 TWO_LABELS = ["co.in", "net.in", "org.in", "gov.in", "ac.in", "res.in", "co.uk", "org.uk", "com.au", "co.jp", "com.br", "com.sg"]
 
 
+#: A match in a text.
+SPAN = "struct<raw:string,value:string,start:int,stop:int>"
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def urls_of(text: Column) -> Column:
     """Links and bare domains, without closing punctuation."""
-    return F.transform(_all(text, URL), lambda u: F.regexp_replace(u, "[.,;:!?)'\"»]+$", ""))
+    return F.transform(_all(text, URL), lambda u: F.regexp_replace(u, TAIL, ""))
 
 
 def host_of(url: Column) -> Column:
@@ -54,44 +59,128 @@ def amount_of(raw: Column) -> Column:
     return F.concat(F.lit("inr:"), F.bround(number * factor).cast("decimal(30,0)").cast("string"))
 
 
-def brands_of(text: Column) -> Column:
-    """Brands that the text names by their key or another spelling."""
-    low = F.lower(text)
-    hit = [reduce(lambda a, b: a | b, [low.rlike(rf"(?<![a-z0-9]){n}(?![a-z0-9])") for n in [key, *info["aliases"]]]) for key, info in fixed.BRANDS.items()]
-    return F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in zip(fixed.BRANDS, hit, strict=True)]))
+def spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """All matches in order: structs of raw, value (of ``group``), start and stop, counted in characters."""
+    whole = [_all(text, pattern).alias("raw")]
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), *whole, *([_all(text, pattern, group).alias("value")] if group else []))
+    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), f"array<{SPAN}>").alias("out"))
+
+    def add(done: Column, x: Column) -> Column:
+        begin = done["at"] + F.char_length(x["gap"])
+        stop = begin + F.char_length(x["raw"])
+        one = F.struct(x["raw"].alias("raw"), x["value" if group else "raw"].alias("value"), begin.alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(F.filter(parts, lambda x: x["raw"].isNotNull()), start, add, lambda done: done["out"])
+
+
+def _named(text: Column, low: Column, names: list[tuple[str, str]], before) -> Column:
+    """Structs of raw, value, start and stop: the first place of each of ``names`` (value, spelling) that occurs.
+
+    before: the part of ``low`` before a spelling's first mention, null if it has none. The names are one literal, so
+    the plan stays small, and only spellings that the text contains at all are looked at further.
+    """
+    name = lambda x: F.substring_index(x, "\t", -1)
+    held = F.filter(F.array(*[F.lit(f"{value}\t{spelling}") for value, spelling in names]), lambda x: F.contains(low, name(x)))
+    placed = F.transform(held, lambda x: F.struct(F.substring_index(x, "\t", 1).alias("value"), F.char_length(before(name(x))).alias("start"), F.char_length(name(x)).alias("n")))
+    mention = lambda x: F.struct(F.substr(text, x["start"] + 1, x["n"]).alias("raw"), x["value"].alias("value"), x["start"].alias("start"), (x["start"] + x["n"]).alias("stop"))
+    return F.transform(F.filter(placed, lambda x: x["start"].isNotNull()), mention)
+
+
+def brands_of(text: Column, low: Column) -> Column:
+    """The first mention of each spelling of each brand. low: the text in lower case."""
+    alone = lambda n: F.split(low, F.concat(F.lit(r"(?<![a-z0-9])\Q"), n, F.lit(r"\E(?![a-z0-9])")), 2)
+    before = lambda n: F.transform(F.array(alone(n)), lambda parts: F.when(F.size(parts) > 1, parts[0]))[0]
+    return _named(text, low, [(key, n) for key, info in fixed.BRANDS.items() for n in [key, *info["aliases"]]], before)
+
+
+def _localities(text: Column, low: Column) -> Column:
+    return _named(text, low, [(p, p) for p in fixed.LOCALITIES], lambda n: F.call_function("substring_index", low, n, F.lit(1)))
+
+
+def _inside(x: Column, others: Column) -> Column:
+    return F.exists(others, lambda o: (x["start"] >= o["start"]) & (x["stop"] <= o["stop"]))
+
+
+def _typed(kind: str, found: Column, canonical=None, display=None, attributes: dict | None = None, confidence: float | None = None) -> Column:
+    """Entities of one kind. ``canonical``, ``display`` and the values of ``attributes`` are functions of a span."""
+    plain = lambda x: x["raw"]
+    canonical, display = canonical or plain, display or plain
+
+    def entity(x: Column, i: Column) -> Column:
+        pairs = [c for k, of in (attributes or {}).items() for c in (F.lit(k), of(x))]
+        return F.struct(
+            F.lit(kind).alias("type"), F.lower(F.trim(canonical(x))).alias("canonical"), F.lit(-(confidence or CONFIDENCE[kind])).alias("doubt"),
+            x["start"].alias("start"), i.alias("i"), x["stop"].alias("stop"), x["raw"].alias("raw"), display(x).alias("display"),
+            (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>").alias("attributes"),
+        )
+
+    return F.transform(found, entity)
+
+
+def _sender(sender: Column) -> list[Column]:
+    """The sender as an entity: a phone number, or else a sender id. Blank senders are none."""
+    bare = F.trim(sender)
+    number = F.concat(F.regexp_extract(bare, PHONE, 1), F.regexp_extract(bare, PHONE, 2))
+    one = lambda cond: F.filter(F.array(F.struct(bare.alias("raw"), number.alias("value"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))), lambda x: F.coalesce((x["raw"] != "") & cond(x), F.lit(False)))
+    role = {"role": lambda x: F.lit("sender")}
+    phone = _typed("phone", one(lambda x: x["value"] != ""), lambda x: F.concat(F.lit("+91"), x["value"]), None, role, SENDER_PHONE)
+    return [phone, _typed("sender_id", one(lambda x: x["value"] == ""), None, None, role)]
 
 
-def extract(messages: DataFrame, key: str = "msg_id", text: str = "text") -> DataFrame:
-    """(key, type, raw, canonical, hash, confidence), one row for each distinct canonical value of a type.
+def extract(messages: DataFrame, key: str = "msg_id", text: str = "text", sender: str | None = None) -> DataFrame:
+    """Entities of each message, in order of types and places: key, type, raw, canonical, hash, confidence, display,
+    start, stop, attributes, place.
 
-    A null text has no entities. E-mails that are payment handles, and domains without a dot, are left out.
+    One row for each distinct canonical value of a type: the surest mention, of equal ones the first. start and stop
+    count characters; they are -1 for the sender. E-mails inside payment handles, phone numbers inside links and
+    domains without a dot are left out. A null text has none but its sender. Every row of ``messages`` is judged by
+    itself, in its own task and without a shuffle, so repeated rows give repeated entities.
     """
-    t = F.col(text)
-    pair = lambda values, canonical: F.transform(values, lambda x: F.struct(x.alias("raw"), F.lower(F.trim(canonical(x))).alias("canonical")))
-    same = lambda x: x
-    links = F.filter(urls_of(t), lambda u: F.contains(host_of(u), F.lit(".")))
-    upis = _all(t, UPI)
-    found = {
-        "upi": pair(upis, same),
-        "email": pair(F.filter(_all(t, EMAIL), lambda e: ~F.array_contains(upis, e)), same),
-        "url": pair(links, lambda u: F.when(u.rlike("(?i)^https?://"), u).otherwise(F.concat(F.lit("http://"), u))),
-        "domain": pair(F.transform(links, host_of), registrable),
-        "phone": pair(_all(F.regexp_replace(t, r"(?i)https?://\S+", " "), PHONE), lambda x: F.concat(F.lit("+91"), F.substring(F.regexp_replace(x, r"\D", ""), -10, 10))),
-        "amount": pair(_all(t, AMOUNT), amount_of),
-        "txn_id": pair(_all(t, TXN, 1), same),
-        "ifsc": pair(_all(t, IFSC), same),
-        "date": pair(_all(t, DATE), same),
-        "locality": pair(F.filter(F.array(*map(F.lit, fixed.LOCALITIES)), lambda p: F.contains(F.lower(t), p)), same),
-        "brand": pair(brands_of(t), same),
-    }
-    rows = F.flatten(F.array(*[_typed(kind, v) for kind, v in found.items()]))
-    out = messages.where(t.isNotNull()).select(key, F.explode(rows).alias("e")).select(key, "e.type", "e.raw", "e.canonical", "e.confidence")
-    out = out.groupBy(key, "type", "canonical").agg(F.min("raw").alias("raw"), F.max("confidence").alias("confidence"))
-    return out.select(key, "type", "raw", "canonical", F.substring(F.sha2(F.concat("type", F.lit(":"), "canonical"), 256), 1, 32).alias("hash"), "confidence")
-
-
-def _typed(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda x: F.struct(F.lit(kind).alias("type"), x["raw"].alias("raw"), x["canonical"].alias("canonical"), F.lit(CONFIDENCE[kind]).alias("confidence")))
+    rows = messages.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(sender) if sender else F.lit(None)).cast("string").alias("sender"))
+    t = F.coalesce("text", F.lit(""))
+    trimmed = F.transform(spans(t, URL), lambda x: F.transform(F.array(F.regexp_replace(x["raw"], TAIL, "")), lambda raw: F.struct(raw.alias("raw"), host_of(raw).alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(raw)).alias("stop")))[0])
+    # Handles and links are columns of their own, as other kinds look at them.
+    rows = rows.select("key", "sender", t.alias("text"), F.lower(t).alias("low"), spans(t, UPI).alias("upis"), F.filter(trimmed, lambda x: ~F.lower(x["raw"]).startswith("mailto:")).alias("links"))
+    t, dotted = F.col("text"), F.filter("links", lambda x: F.contains(x["value"], F.lit(".")))
+    digits = lambda x: F.substring(F.regexp_replace(x["raw"], r"\D", ""), -10, 10)
+    rupees = lambda x: F.substring_index(amount_of(x["raw"]), ":", -1)
+    domains = {"full_host": lambda x: x["value"], "registrable_domain": lambda x: registrable(x["value"])}
+    official = {k: ",".join(info["domains"]) for k, info in fixed.BRANDS.items()}
+    named = {k: info["display"] for k, info in fixed.BRANDS.items()}
+    of_brand = lambda values: lambda x: F.create_map(*[F.lit(v) for e in values.items() for v in e])[x["value"]]
+    found = [
+        _typed("upi", F.col("upis"), None, None, {"psp": lambda x: F.lower(F.substring_index(x["raw"], "@", -1))}),
+        _typed("email", F.filter(spans(t, EMAIL), lambda x: ~_inside(x, F.col("upis")))),
+        _typed("url", dotted, lambda x: F.when(x["raw"].rlike("(?i)^https?://"), x["raw"]).otherwise(F.concat(F.lit("http://"), x["raw"]))),
+        _typed("domain", F.transform(dotted, lambda x: F.struct(x["value"].alias("raw"), x["value"].alias("value"), x["start"].alias("start"), x["stop"].alias("stop"))), lambda x: registrable(x["value"]), None, domains),
+        _typed("phone", F.filter(spans(t, PHONE), lambda x: ~_inside(x, F.col("links"))), lambda x: F.concat(F.lit("+91"), digits(x)), lambda x: F.concat(F.lit("+91 "), digits(x)), {"country": lambda x: F.lit("IN")}),
+        _typed("handle", spans(t, HANDLE, 1), lambda x: x["value"]),
+        _typed("amount", spans(t, AMOUNT), lambda x: amount_of(x["raw"]), lambda x: F.concat(F.lit("₹"), F.format_number(rupees(x).cast("decimal(30,0)"), 0)), {"currency": lambda x: F.lit("INR"), "value": rupees}),
+        _typed("txn_id", spans(t, TXN, 1), lambda x: x["value"], lambda x: x["value"]),
+        _typed("ifsc", spans(t, IFSC)),
+        _typed("date", spans(t, DATE)),
+        _typed("locality", _localities(t, F.col("low")), lambda x: x["value"]),
+        _typed("brand", brands_of(t, F.col("low")), lambda x: x["value"], of_brand(named), {"official_domains": of_brand(official)}),
+        *(_sender(F.col("sender")) if sender else []),
+    ]
+    rows = rows.select("key", F.array_sort(F.flatten(F.array(*found)), _by("type", "canonical", "doubt", "start", "i")).alias("all"))
+    first = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["type"] != x["type"]) | (F.get("all", i - 1)["canonical"] != x["canonical"]))
+    rank = lambda x: F.array_position(F.array(*map(F.lit, fixed.ENTITY_TYPES)), x["type"])
+    ranked = F.transform(first, lambda x: F.struct(rank(x).alias("rank"), x["start"].alias("start"), x["i"].alias("i"), x.alias("e")))
+    # Outer, and nulls dropped after it: for a plain explode the optimizer adds a filter that finds everything twice.
+    rows = rows.select("key", F.posexplode_outer(F.array_sort(ranked, _by("rank", "start", "i"))).alias("place", "x")).where("x is not null")
+    hashed = F.substring(F.sha2(F.concat("x.e.type", F.lit(":"), "x.e.canonical"), 256), 1, 32)
+    return rows.select(
+        F.col("key").alias(key), "x.e.type", "x.e.raw", "x.e.canonical", hashed.alias("hash"), (-F.col("x.e.doubt")).alias("confidence"),
+        "x.e.display", "x.e.start", "x.e.stop", "x.e.attributes", "place",
+    )
+
+
+def _by(*fields: str):
+    """Order of structs by some fields; maps in them can't be compared."""
+    key = lambda x: F.struct(*[x[f] for f in fields])
+    return lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
 
 
 def brand_conflicts(entities: DataFrame, key: str = "msg_id") -> DataFrame:

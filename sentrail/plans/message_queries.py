@@ -12,8 +12,29 @@ from sentrail.plans.text_queries import _Q, _TAMIL_SQL, _TANGLISH_SQL, MSG
 from sentrail.sources.tables import messages, read
 
 
+#: Senders made from customers; the same SQL runs in Spark and in DuckDB.
+SENDER = "CASE cust % 3 WHEN 0 THEN '+919' || lpad(CAST(cust AS STRING), 9, '0') WHEN 1 THEN 'VK-SBIINB' END"
+#: Types that DuckDB's regular expressions, which have no lookarounds, can express.
+PATTERNS = {"upi": E.UPI, "email": E.EMAIL, "url": E.URL, "domain": E.URL, "amount": E.AMOUNT, "txn_id": E.TXN, "ifsc": E.IFSC, "date": E.DATE}
+
+
 def entities_all(spark, sf):
-    return E.extract(messages(spark, sf)).select("msg_id", "type", "canonical", "hash", "confidence")
+    found = E.extract(messages(spark, sf).withColumn("sender", F.expr(SENDER)), sender="sender")
+    return found.select("msg_id", "type", "raw", "canonical", "hash", "confidence", "display", "start", "stop", "place")
+
+
+def entity_patterns(spark, sf):
+    found = E.extract(messages(spark, sf)).where(F.col("type").isin(*PATTERNS, "locality"))
+    return found.select("msg_id", "type", "raw", "canonical", "hash", "start", "stop")
+
+
+def sender_entities(spark, sf):
+    found = E.extract(messages(spark, sf).withColumn("sender", F.expr(SENDER)), sender="sender")
+    return found.where("start = -1").select("msg_id", "type", "raw", "canonical", "confidence")
+
+
+def brand_first_mention(spark, sf):
+    return E.extract(messages(spark, sf)).where("type = 'brand'").select("msg_id", "canonical", "display", "start")
 
 
 def entities_by_type_counts(spark, sf):
@@ -79,9 +100,29 @@ _POINTS = f"""{_CLASS}, po AS (SELECT *, CAST(least(25.0, {' + '.join(f'round(CA
  + CASE WHEN top_score > 0 THEN round(least(11.0, 4.5 + 1.8 * top_score), 2) ELSE 0 END) AS DOUBLE) AS intent_points, CAST(least(10.0, 4.0 * n_benign) AS DOUBLE) AS benign_credit FROM cl),
 pb AS (SELECT *, CAST(greatest(0, least(100, round_even(intent_points - benign_credit, 0))) AS INT) AS message_score FROM po)"""
 
-QUERIES = {f.__name__: f for f in (entities_all, entities_by_type_counts, entities_documents, brand_domain_conflict, indicator_sightings, fold_messages, intent_hits, benign_hits, scam_class, rf_intent, risk_band)}
+_LEN = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+_NUMBER = f"CAST(replace(regexp_extract(raw, {_Q(E.AMOUNT)}, 1), ',', '') AS DOUBLE)"
+_UNIT = f"CASE lower(regexp_extract(raw, {_Q(E.AMOUNT)}, 2)) WHEN 'lakh' THEN 1e5 WHEN 'lakhs' THEN 1e5 WHEN 'crore' THEN 1e7 WHEN 'crores' THEN 1e7 WHEN 'k' THEN 1e3 ELSE 1.0 END"
+_SUFFIXES = ", ".join(_Q(t) for t in E.TWO_LABELS)
+_SPANS = f"""{MSG}, sp AS ({' UNION ALL '.join(f"SELECT msg_id, {_Q(k)} AS type, regexp_extract_all(text, {_Q(p)}) AS ms, string_split_regex(text, {_Q(p)}) AS gs, regexp_extract_all(text, {_Q(p)}, {int(k == 'txn_id')}) AS vs FROM msg" for k, p in PATTERNS.items())}),
+mt AS (SELECT msg_id, type, ms, gs, vs, unnest(range(1, len(ms) + 1)) AS i FROM sp),
+pl AS (SELECT msg_id, type, ms[i] AS m, vs[i] AS v, {_LEN('gs[1:i]')} + {_LEN('ms[1:i-1]')} AS start FROM mt),
+tr AS (SELECT msg_id, type, v, start, CASE WHEN type IN ('url', 'domain') THEN regexp_replace(m, {_Q(E.TAIL)}, '') ELSE m END AS raw FROM pl),
+ho AS (SELECT *, start + length(raw) AS stop, lower(split_part(regexp_replace(regexp_extract(regexp_replace(raw, '(?i)^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*'), '^.*@', ''), ':', 1)) AS host FROM tr),
+lb AS (SELECT *, string_split(regexp_replace(host, '^www\\.', ''), '.') AS parts FROM ho WHERE type NOT IN ('url', 'domain') OR contains(host, '.')),
+ca AS (SELECT msg_id, type, CASE WHEN type = 'domain' THEN host ELSE raw END AS raw, start, stop, lower(trim(CASE type WHEN 'amount' THEN 'inr:' || CAST(CAST(round_even({_NUMBER} * {_UNIT}, 0) AS DECIMAL(30, 0)) AS STRING) WHEN 'txn_id' THEN v
+ WHEN 'url' THEN CASE WHEN regexp_matches(raw, '(?i)^https?://') THEN raw ELSE 'http://' || raw END
+ WHEN 'domain' THEN array_to_string(parts[CASE WHEN array_to_string(parts[-2:], '.') IN ({_SUFFIXES}) THEN -3 ELSE -2 END:], '.') ELSE raw END)) AS canonical FROM lb
+ UNION ALL SELECT msg_id, 'locality', substr(text, CAST(instr(lower(text), p) AS BIGINT), length(p)), instr(lower(text), p) - 1, instr(lower(text), p) - 1 + length(p), p FROM msg, (SELECT unnest([{', '.join(_Q(x) for x in fixed.LOCALITIES)}]) AS p) WHERE contains(lower(text), p)),
+fi AS (SELECT msg_id, type, canonical, arg_min(raw, start) AS raw, CAST(min(start) AS INT) AS start, CAST(arg_min(stop, start) AS INT) AS stop
+ FROM ca WHERE type <> 'email' OR NOT EXISTS (SELECT 1 FROM ca u WHERE u.msg_id = ca.msg_id AND u.type = 'upi' AND u.start <= ca.start AND u.stop >= ca.stop) GROUP BY ALL)"""
+_SENDERS = f"{MSG}, se AS (SELECT msg_id, {SENDER} AS raw FROM msg)"
+
+QUERIES = {f.__name__: f for f in (entity_patterns, sender_entities, brand_first_mention, entities_all, entities_by_type_counts, entities_documents, brand_domain_conflict, indicator_sightings, fold_messages, intent_hits, benign_hits, scam_class, rf_intent, risk_band)}
 
 ORACLE_SQL = {
+    "entity_patterns": f"{_SPANS} SELECT msg_id, type, raw, canonical, substr(sha256(type || ':' || canonical), 1, 32) AS hash, start, stop FROM fi",
+    "sender_entities": f"{_SENDERS} SELECT msg_id, CASE WHEN raw LIKE '+91%' THEN 'phone' ELSE 'sender_id' END AS type, raw, CASE WHEN raw LIKE '+91%' THEN raw ELSE lower(raw) END AS canonical, CAST(CASE WHEN raw LIKE '+91%' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM se WHERE raw IS NOT NULL",
     "fold_messages": f"{_FOLDED} SELECT msg_id, folded FROM fo",
     "intent_hits": f"{_FAMILIES} SELECT msg_id, {', '.join(f'n_{k}' for k in fixed.INTENTS)} FROM fa",
     "benign_hits": f"{_FAMILIES} SELECT msg_id, n_benign FROM fa",

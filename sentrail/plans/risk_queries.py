@@ -11,13 +11,12 @@ from sentrail.operators import fusion as R
 from sentrail.operators import intent as I
 from sentrail.operators import text as T
 from sentrail.operators import urls as U
+from sentrail.plans.message_queries import SENDER
 from sentrail.plans.report_queries import reports
 from sentrail.sources.shared import written
 from sentrail.sources.tables import messages, MSG_SQL
 
 HARD = ("domain", "phone", "upi", "email", "ifsc")
-#: Senders made from customers; the same SQL runs in Spark and in DuckDB.
-SENDER = "CASE cust % 3 WHEN 0 THEN '+919' || lpad(CAST(cust AS STRING), 9, '0') WHEN 1 THEN 'VK-SBIINB' END"
 
 
 def _messages(spark, sf):
