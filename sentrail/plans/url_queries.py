@@ -203,6 +203,21 @@ def url_verdict(spark, sf):
     return U.verdict(U.score(urls(spark, sf))).select("url", "risk_score", "category", "level", "confidence")
 
 
+def url_compound(spark, sf):
+    done = U.score(urls(spark, sf))
+    return done.select("url", "high_domain", "high_subdomain", "high_path", "compound", "entropy_points", F.array_join("entropy_signals", "; ").alias("signals"))
+
+
+def url_factors(spark, sf):
+    done = U.factors(U.verdict(U.score(urls(spark, sf))))
+    return done.select("url", "level", F.array_join("factors", "; ").alias("factors"), F.array_join("advice", "; ").alias("advice"))
+
+
+def brand_diff(spark, sf):
+    names = U.normalize(urls(spark, sf), "url").select(U.stem_of(F.col("registered_domain"), F.col("tld")).alias("stem")).distinct()
+    return U.brand_differences(names.select(F.explode(U.stem_tokens(F.col("stem"))).alias("token")))
+
+
 def url_risk_by_domain(spark, sf):
     df = U.verdict(U.score(urls(spark, sf)))
     return df.groupBy("registered_domain").agg(F.count("*").alias("n"), F.max("risk_score").alias("worst"), F.round(F.avg("risk_score"), 6).alias("mean"))
@@ -307,17 +322,23 @@ ck AS (SELECT *, CASE WHEN cand = target THEN 1.0 WHEN u = target OR s = target
 bm AS (SELECT stem, brand, CAST(brand_score AS DOUBLE) AS brand_score, cand AS token FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY brand_score DESC, ci, ti) AS rn FROM ck WHERE brand_score IS NOT NULL) WHERE rn = 1 AND brand_score >= 0.7)"""
 _DL = f"""{_PARTS}, {_STEMS}, tk AS (SELECT DISTINCT {_TOKENS}[1] AS token FROM st), dl AS (SELECT token, brand, CAST(damerau_levenshtein({_BYTE % 'token'}, brand) AS DOUBLE) AS distance FROM tk, (SELECT unnest([{_list(fixed.BRAND_REGISTRY)}]) AS brand) WHERE token IS NOT NULL),
 dm AS (SELECT *, round(1 - distance / greatest(length(token), length(brand)), 3) AS similarity FROM dl)"""
+_DROP = lambda long, short: f"list_filter(range(1, length({long}) + 1), lambda i: left({long}, i - 1) || substr({long}, i + 1) = {short})[1]"
+_SWAP = "list_filter(range(1, length(token)), lambda i: left(token, i - 1) || substr(token, i + 1, 1) || substr(token, i, 1) || substr(token, i + 2) = target)[1]"
+_DIFF = f"""{_PARTS}, {_STEMS}, tk AS (SELECT DISTINCT unnest({_TOKENS}) AS token FROM st), targets(ti, brand, target) AS (VALUES {_TARGETS}),
+df AS (SELECT DISTINCT token, brand, target, CASE WHEN length(token) + 1 = length(target) THEN {_DROP('target', 'token')} END AS m, CASE WHEN length(token) = length(target) + 1 THEN {_DROP('token', 'target')} END AS e,
+ CASE WHEN length(token) = length(target) AND token <> target THEN {_SWAP} END AS s, length(token) = length(target) AND length(target) IN (3, 4) AND token <> target AND list_sort(string_split(token, '')) = list_sort(string_split(target, '')) AS ana FROM tk, targets)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         url_scheme, url_host_port, url_decompose, url_path, url_pct, url_strip_tracking, url_normalize, url_dedupe, url_lexical, url_semantic, url_keywords, url_tld, host_entropy, url_entropy_flags, idn_forms,
         mixed_script, homograph_risk, official_domain, shortener, ip_host, unusual_port, threat_join, known_threats, unmask, stem_tokens, brand_match, brand_dl, brand_similarity, brand_near, brand_legacy,
-        url_brands, url_score, url_verdict, url_risk_by_domain, dns_enrich, asn_join, redirect_chain,
+        url_brands, url_score, url_verdict, url_risk_by_domain, url_compound, url_factors, brand_diff, dns_enrich, asn_join, redirect_chain,
     )
 }
 
 ORACLE_SQL = {
+    "brand_diff": f"{_DIFF} SELECT token, brand, target, CASE WHEN m IS NOT NULL THEN 'missing' WHEN e IS NOT NULL THEN 'extra' WHEN s IS NOT NULL THEN 'transposed' ELSE 'anagram' END AS kind, CASE WHEN m IS NOT NULL THEN substr(target, m, 1) WHEN e IS NOT NULL THEN substr(token, e, 1) WHEN s IS NOT NULL THEN substr(token, s, 2) ELSE target END AS letters FROM df WHERE m IS NOT NULL OR e IS NOT NULL OR s IS NOT NULL OR ana",
     "url_scheme": f"{_PARTS} SELECT url, scheme FROM n",
     "url_host_port": f"{_PARTS} SELECT url, host, coalesce(port, -1) AS port FROM n",
     "url_decompose": f"{_PARTS} SELECT url, subdomain, registered_domain, tld, domain, is_ip FROM n",
