@@ -22,13 +22,15 @@ def _op2() -> str:
     return rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, CASE WHEN lang IN ({known}) THEN lang END AS lang, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), win AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 again AS (SELECT doc_id, i FROM win JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
 c AS (
   SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {classes} AS cl, list_transform(w, lambda x: lower(x)) AS lw,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls, coalesce(rep.n, 0) AS n_repeat_words
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls, coalesce(rep.n, 0) AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id)
 ), b AS MATERIALIZED (
   SELECT doc_id, lang, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(cl[3] AS BIGINT) AS n_symbols,
@@ -95,9 +97,75 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+_OP11_FIRST = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS k, x AS c FROM v ORDER BY k LIMIT 40)
+"""
+
+
+def _op11(rounds: int = 5) -> str:
+    """One pair of tables for each round: assignments and the centroids that follow from them."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (
+  SELECT row, vec_id, x, min(struct_pack(d := d, k := k)) AS best
+  FROM (SELECT v.*, k, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM v, c{t}) GROUP BY ALL)""")
+        if t < rounds:
+            steps.append(f"""m{t} AS (SELECT k, list(s ORDER BY i) AS c FROM (SELECT best.k AS k, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS s FROM a{t}, range(1, 65) r(i) GROUP BY ALL) GROUP BY k)""")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT k, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (k))")
+    return _OP11_FIRST + "".join(f", {s}" for s in steps) + f"""
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.k = best.k
+"""
+
+
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS a FROM (
+    SELECT lang, s AS size, array_to_string(w[i : i + s - 1], ' ') AS phrase FROM g, range(1, 5) r(s) WHERE i + s - 1 <= len(w)
+  ) GROUP BY ALL HAVING count(*) >= 30
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+q AS (SELECT *, string_split(phrase, ' ') AS u FROM f WHERE size >= 2),
+cut AS (
+  SELECT q.lang, q.phrase, k, q.a, l.a AS l, r.a AS r, CAST(2000000 * q.a::HUGEINT // (l.a + r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM q) q
+  JOIN f l ON l.lang = q.lang AND l.phrase = array_to_string(u[1 : k], ' ') JOIN f r ON r.lang = q.lang AND r.phrase = array_to_string(u[k + 1 : q.size], ' ')
+), s AS (SELECT lang, phrase, a, l, r, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(u[i : i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, u, a, size, unnest(range(1, size)) AS i FROM q), range(2, 4) r(m) WHERE m < size AND i + m - 1 <= size GROUP BY ALL
+), kept AS (SELECT s.* FROM s LEFT JOIN inner_ USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+OP13 = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+), b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha, payload_bytes) AS best,
+         array_to_string(list_transform(string_split(sha, ''), lambda x: lpad(bin(strpos('0123456789abcdef', x) - 1), 4, '0')), '') AS bits FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, 5 * i + j, 1) AS INTEGER) << (5 - j)))::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM b
+"""
+
 ORACLE_SQL = {
     "op2_divergence": _op2(),
     "op3_superkmer_windows": OP3,
     "op10_minhash_bayes": OP10,
     "op6_decontamination": OP6,
+    "op11_centroids": _op11(),
+    "op12_toivonen_phrases": OP12,
+    "op13_warc_index": OP13,
 }

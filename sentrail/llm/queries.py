@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrail.llm import bayeslsh, crf, decontam, divergence, linealign, packing, sepscan, suffixtree, superkmer, urlfilter
+from sentrail.llm import bayeslsh, centroids, crf, decontam, divergence, linealign, packing, phrasemine, sepscan, suffixtree, superkmer, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayeslsh.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrasemine.mine(_read(spark, sf_dir, "documents"))
+
+
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_divergence": op2_divergence,
@@ -67,4 +79,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_minhash_bayes": op10_minhash_bayes,
+    "op11_centroids": op11_centroids,
+    "op12_toivonen_phrases": op12_toivonen_phrases,
+    "op13_warc_index": op13_warc_index,
 }
