@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrail.operators.components import components
-from sentrail.operators.ranks import ranked
+from sentrail.operators.ranks import asof, carried, ranked
 from sentrail.sources.shared import written
 
 APPROVED = ("approved", "merged")
@@ -51,8 +51,20 @@ def reputation(found: DataFrame) -> DataFrame:
 
 def asof_counts(sightings: DataFrame, key: str, at: str, order: str) -> DataFrame:
     """For each sighting, the earlier sightings of its key and when the last of them was."""
-    before = Window.partitionBy(key).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)
-    return sightings.withColumns({"prior": F.count("*").over(before), "prior_last": F.max(at).over(before)})
+    return carried(sightings, key, [at, order], {"prior": F.lit(1).cast("long")}, {"prior_last": F.col(at)})
+
+
+def reputation_before(mentions: DataFrame, approved: DataFrame) -> DataFrame:
+    """What was known of each indicator of a message before the message itself was stored.
+
+    mentions: msg_id, hash, at; approved: msg_id of the messages whose reports were approved. A message is a sighting,
+    and with an approved report another sighting and a report. Messages of one moment come in order of their ids.
+    Returns msg_id, hash, sighting_count, report_count and weight where ``reputation`` keeps the counts.
+    """
+    rows = mentions.select("msg_id", "hash", "at").distinct()
+    told = rows.join(approved.select("msg_id").distinct().withColumn("_yes", F.lit(1)), "msg_id", "left").select("msg_id", "hash", "at", F.coalesce("_yes", F.lit(0)).cast("long").alias("reports"))
+    events = told.withColumn("sightings", F.col("reports") + 1)
+    return reputation(asof(rows, events, "hash", ["at", "msg_id"], {"sighting_count": "sightings", "report_count": "reports"})).drop("at")
 
 
 def campaigns(mentions: DataFrame) -> DataFrame:
@@ -107,16 +119,24 @@ def rotation(of_report: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def duplicate_candidates(reports: DataFrame, mentions: DataFrame, fingerprints: DataFrame, latest: int = 5) -> DataFrame:
-    """Earlier reports with the same fingerprint (the ``latest`` of them) or an indicator in common.
+    """At most ``latest`` earlier reports for each report: newer, older, reason (template, template+indicator, indicator).
 
-    fingerprints: report_id, fingerprint; a null fingerprint matches nothing. Only neighbours in the order of a
-    fingerprint are joined, so a template that many reports share gives at most ``latest`` rows for each.
+    First come the latest earlier ones of its fingerprint, then the latest earlier ones that share an indicator, as far
+    as there is room. fingerprints: report_id, fingerprint; a null fingerprint matches nothing. Only neighbours in the
+    order of a fingerprint or an indicator are joined: ``latest`` of each, and twice as many for indicators, as some may
+    be template matches already. So hot templates and indicators give no more rows than others.
     """
-    numbered = written(ranked(fingerprints.where("fingerprint is not null").join(reports.select("report_id", "created_at"), "report_id"), "fingerprint", ["created_at", "report_id"]))
-    later = numbered.where("n > 1").select("fingerprint", F.col("report_id").alias("newer"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - latest), F.col("n") - 1)).alias("n"))
-    by_template = later.join(numbered.select("fingerprint", "n", F.col("report_id").alias("older")), ["fingerprint", "n"]).select("newer", "older", F.lit("template").alias("reason"))
-    seen = mentions.join(reports.select("report_id", "created_at"), "report_id")
-    seen = written(ranked(seen, "indicator", ["created_at", "report_id"]))
-    back = seen.where("n > 1").select("indicator", F.col("report_id").alias("newer"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 200), F.col("n") - 1)).alias("n"))
-    by_indicator = back.join(seen.select("indicator", "n", F.col("report_id").alias("older")), ["indicator", "n"]).select("newer", "older", F.lit("indicator").alias("reason"))
-    return by_template.unionByName(by_indicator).where("newer != older").groupBy("newer", "older").agg(F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reason"))
+    moments = reports.select("report_id", "created_at")
+    seen = mentions.where("indicator is not null").select("report_id", "indicator").distinct()
+
+    def neighbours(rows: DataFrame, key: str, most: int) -> DataFrame:
+        numbered = written(ranked(rows.join(moments, "report_id"), key, ["created_at", "report_id"]))
+        back = numbered.where("n > 1").select(key, F.col("report_id").alias("newer"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - most), F.col("n") - 1)).alias("n"))
+        return back.join(numbered.select(key, "n", F.col("report_id").alias("older"), F.col("created_at").alias("at")), [key, "n"]).select("newer", "older", "at").distinct()
+
+    by_template = written(neighbours(fingerprints.where("fingerprint is not null").distinct(), "fingerprint", latest))
+    common = by_template.join(seen.withColumnRenamed("report_id", "newer"), "newer").join(seen.withColumnRenamed("report_id", "older"), ["older", "indicator"], "left_semi").select("newer", "older").distinct()
+    told = by_template.join(common.withColumn("_too", F.lit(True)), ["newer", "older"], "left").select("newer", "older", "at", F.when(F.col("_too"), "template+indicator").otherwise("template").alias("reason"))
+    by_indicator = neighbours(seen, "indicator", 2 * latest).join(by_template, ["newer", "older"], "left_anti").withColumn("reason", F.lit("indicator"))
+    place = Window.partitionBy("newer").orderBy(F.startswith("reason", F.lit("template")).desc(), F.desc("at"), F.desc("older"))
+    return told.unionByName(by_indicator).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= latest).select("newer", "older", "reason")

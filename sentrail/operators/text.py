@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sentrail.functions import fixed
+from sentrail.operators import matcher
 
 MARK = "\u0001"
 # What must survive normalisation byte for byte (links, addresses, payment handles, long numbers).
@@ -71,32 +72,36 @@ def longest_first(words) -> list[str]:
     return sorted(words, key=len, reverse=True)
 
 
-def fold_tanglish(masked: Column) -> Column:
-    """Romanised Tamil becomes its English concept, longest entries first; other texts skip the chain."""
-    some = "|".join(tanglish_pattern(s)[4:] for s in longest_first(fixed.TANGLISH))
-    chain = reduce(lambda c, s: F.regexp_replace(c, F.lit(tanglish_pattern(s)), F.lit(f" {fixed.TANGLISH[s]} ")), longest_first(fixed.TANGLISH), masked)
-    return F.when(masked.rlike("(?i)" + some), chain).otherwise(masked)
+def fold_tanglish(lower: Column) -> Column:
+    """Romanised Tamil in a lower-case text becomes its English concept, longest entries first."""
+    return matcher.folded(lower, tamil=False)["text"]
 
 
 def fold_tamil(text: Column) -> Column:
-    """Each Tamil entry gets its concept behind it, in order of the list."""
-    chain = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(f" {e[0]} {e[1]} ")), fixed.TAMIL.items(), text)
-    return F.when(text.rlike("[\\u0B80-\\u0BFF]"), chain).otherwise(text)
+    """Each Tamil entry gets its concept behind it, in order of the list; texts without Tamil stay in the JVM."""
+    tamil = text.rlike("[\\u0B80-\\u0BFF]")
+    return F.when(tamil, matcher.folded(F.when(tamil, text), tanglish=False)["text"]).otherwise(text)
 
 
-def fold(text: Column) -> Column:
-    """The lower-case analysis text with concepts in it; protected spans stay as they are."""
+def fold_audit(text: Column) -> Column:
+    """Struct of ``text``, the lower-case analysis text with concepts in it, and ``replaced`` (source, target, kind).
+
+    Protected spans stay as they are.
+    """
     masked, spans = protect(text)
-    folded = fold_tamil(fold_tanglish(F.lower(masked)))
-    return F.btrim(F.regexp_replace(restore(folded, spans), r"\s{2,}", " "), F.lit(" \t\r\n"))
+    done = matcher.folded(F.lower(masked))
+    whole = F.btrim(F.regexp_replace(restore(done["text"], spans), r"\s{2,}", " "), F.lit(" \t\r\n"))
+    return F.struct(whole.alias("text"), done["replaced"].alias("replaced"))
+
+
+def fold(text: Column) -> Column:
+    """The analysis text of ``fold_audit`` alone."""
+    return fold_audit(text)["text"]
 
 
 def tanglish_hits(text: Column) -> Column:
     """Entries of the romanised list that occur in the text, longest first."""
-    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    hit = [F.when(low.rlike(tanglish_pattern(s)[4:]), F.lit(s)) for s in longest_first(fixed.TANGLISH)]
-    some = "|".join(tanglish_pattern(s)[4:] for s in longest_first(fixed.TANGLISH))
-    return F.when(low.rlike(some), F.array_compact(F.array(*hit))).otherwise(F.array().cast("array<string>"))
+    return matcher.tanglish_entries(text)
 
 
 def script_counts(text: Column) -> Column:

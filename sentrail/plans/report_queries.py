@@ -293,9 +293,11 @@ ORACLE_SQL = {
     "dup_candidates": f"""WITH RECURSIVE msg AS ({MSG_SQL}), {_R}, {_M}, {_FP},
 f AS (SELECT fingerprint, report_id, row_number() OVER (PARTITION BY fingerprint ORDER BY created_at, report_id) AS n FROM p JOIN r USING (report_id)),
 i AS (SELECT indicator, report_id, row_number() OVER (PARTITION BY indicator ORDER BY created_at, report_id) AS n FROM m JOIN r USING (report_id)),
-d AS (SELECT a.report_id AS newer, b.report_id AS older, 'template' AS reason FROM f a JOIN f b ON a.fingerprint = b.fingerprint AND b.n BETWEEN a.n - 5 AND a.n - 1
-  UNION ALL SELECT a.report_id, b.report_id, 'indicator' FROM i a JOIN i b ON a.indicator = b.indicator AND b.n BETWEEN a.n - 200 AND a.n - 1)
-SELECT newer, older, array_to_string(list_sort(list(DISTINCT reason)), '+') AS reason FROM d GROUP BY newer, older""",
+t AS (SELECT a.report_id AS newer, b.report_id AS older, b.n AS n FROM f a JOIN f b ON a.fingerprint = b.fingerprint AND b.n BETWEEN a.n - 5 AND a.n - 1),
+k AS (SELECT DISTINCT a.report_id AS newer, b.report_id AS older FROM i a JOIN i b ON a.indicator = b.indicator AND b.n < a.n),
+d AS (SELECT newer, older, CASE WHEN k.older IS NULL THEN 'template' ELSE 'template+indicator' END AS reason, 0 AS o FROM t LEFT JOIN k USING (newer, older)
+  UNION ALL SELECT newer, older, 'indicator', 1 FROM k ANTI JOIN t USING (newer, older))
+SELECT newer, older, reason FROM d JOIN r ON r.report_id = older QUALIFY row_number() OVER (PARTITION BY newer ORDER BY o, created_at DESC, older DESC) <= 5""",
     "template_links": f"WITH msg AS ({MSG_SQL}), {_FP}, q AS (SELECT report_id, fingerprint, o_orderdate AS created_at FROM p JOIN orders ON o_orderkey = report_id), g AS (SELECT fingerprint, arg_min(report_id, (created_at, report_id)) AS first_id, count(*) AS n FROM q GROUP BY 1) SELECT report_id AS msg_id, first_id, n FROM q JOIN g USING (fingerprint) WHERE report_id <> first_id",
     "first_reports": f"WITH {_R} SELECT reporter, report_id, category FROM (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY created_at, report_id) AS n FROM r) WHERE n = 1",
     "evidence_bundle": f"{_RM}, i AS (SELECT report_id, array_to_string(list_sort(list(indicator)), ',') AS indicators FROM m GROUP BY 1), l AS (SELECT l_orderkey AS report_id, count(*) AS n_evidence, max(l_shipdate) AS last_evidence FROM lineitem GROUP BY 1) SELECT report_id, status, locality, indicators, coalesce(n_evidence, 0) AS n_evidence, last_evidence FROM r LEFT JOIN i USING (report_id) LEFT JOIN l USING (report_id)",

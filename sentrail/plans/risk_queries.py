@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentrail.functions import fixed
+from sentrail.operators import assignment as A
 from sentrail.operators import correlate as C
 from sentrail.operators import entities as E
 from sentrail.operators import fusion as R
 from sentrail.operators import intent as I
 from sentrail.operators import text as T
 from sentrail.operators import urls as U
-from sentrail.plans.message_queries import SENDER
+from sentrail.plans.message_queries import _CLASS, _SCORES, SENDER
 from sentrail.plans.report_queries import reports
 from sentrail.sources.shared import written
 from sentrail.sources.tables import messages, MSG_SQL
@@ -47,8 +48,10 @@ def _mentions(entities):
 
 
 def _reputation(spark, sf, entities):
-    found = C.registry(reports(spark, sf), _mentions(entities))
-    return C.reputation(found).select(F.col("indicator").alias("hash"), "report_count", "weight")
+    """Of each indicator as it stood before the message."""
+    seen = entities.where(F.col("type").isin(*HARD)).select("msg_id", "hash").join(messages(spark, sf).select("msg_id", F.col("created_at").alias("at")), "msg_id")
+    approved = reports(spark, sf).where(F.col("status").isin(*C.APPROVED)).select(F.col("report_id").alias("msg_id"))
+    return written(C.reputation_before(seen, approved))
 
 
 def message_links(spark, sf, entities=None):
@@ -66,13 +69,13 @@ def message_links(spark, sf, entities=None):
     return both.withColumnRenamed("report_id", "msg_id")
 
 
-def _factors(spark, sf, judged, entities):
+def _factors(spark, sf, judged, entities, worst=None, reputation=None, links=None):
     parts = [
         R.intent_factors(judged),
-        R.url_factors(_worst(spark, sf)),
+        R.url_factors(_worst(spark, sf) if worst is None else worst),
         R.context_factors(judged, entities),
-        R.reputation_factors(entities, _reputation(spark, sf, entities)),
-        R.campaign_factors(message_links(spark, sf, entities)),
+        R.reputation_factors(entities, _reputation(spark, sf, entities) if reputation is None else reputation),
+        R.campaign_factors(message_links(spark, sf, entities) if links is None else links),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -92,6 +95,28 @@ def rf_context(spark, sf):
     return R.context_factors(written(_judged(spark, sf)), _entities(spark, sf)).select("msg_id", "name", "weight")
 
 
+def rf_intent_factors(spark, sf):
+    """One row for each intent family and one for the template of a message, with evidence."""
+    return R.intent_factors(written(_judged(spark, sf))).select("msg_id", "name", "weight", "observed", "source")
+
+
+def intent_evidence(spark, sf):
+    """What each message shows for its first signal of a family, and where."""
+    first = F.explode(F.col("signals"))
+    rows = _judged(spark, sf).select("msg_id", first.alias("s")).select("msg_id", "s.*")
+    return rows.groupBy("msg_id", "family").agg(F.min_by("evidence", "pattern").alias("evidence"), F.min_by("start", "pattern").alias("start"), F.count("*").alias("n"))
+
+
+def fold_replacements(spark, sf):
+    """What folding replaced in each message, in order."""
+    return messages(spark, sf).select("msg_id", F.posexplode(T.fold_audit(F.col("text"))["replaced"]).alias("place", "r")).select("msg_id", "place", "r.source", "r.target", "r.kind")
+
+
+def asof_message_reputation(spark, sf):
+    e = _entities(spark, sf)
+    return _reputation(spark, sf, e).select("msg_id", "hash", "sighting_count", "report_count", "weight")
+
+
 def rf_reputation(spark, sf):
     e = _entities(spark, sf)
     return R.reputation_factors(e, _reputation(spark, sf, e)).groupBy("msg_id").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
@@ -124,6 +149,37 @@ def actions(spark, sf):
     return R.actions(fused, entities)
 
 
+def explanations(spark, sf):
+    """Summary and uncertainties of every message."""
+    judged, entities = written(_judged(spark, sf)), _entities(spark, sf)
+    worst, links, known = written(_worst(spark, sf)), written(message_links(spark, sf, entities)), _reputation(spark, sf, entities)
+    factors = _factors(spark, sf, judged, entities, worst, known, links)
+    return R.explain(R.fuse(judged, R.breakdown(factors)), judged, R.red_flags(factors), worst, links, known)
+
+
+def _approvals(spark, sf):
+    """Approved reports of messages in the order of their ids within a moment, their indicators and templates."""
+    entities = _entities(spark, sf)
+    seen = entities.where(F.col("type").isin(*HARD)).select(F.col("msg_id").alias("report_id"), F.pmod(F.xxhash64("hash"), F.lit(1 << 61)).alias("indicator"), "place")
+    approved = reports(spark, sf).where(F.col("status").isin(*C.APPROVED)).select("report_id", F.col("created_at").alias("approved_at"))
+    prints = messages(spark, sf).where(F.size(T.template_words(F.col("text"))) > 0).select(F.col("msg_id").alias("report_id"), T.fingerprint(F.col("text")).alias("fingerprint"))
+    return written(approved), written(seen), written(prints)
+
+
+def campaign_assignment(spark, sf):
+    return A.assign(*_approvals(spark, sf))
+
+
+def campaign_bindings(spark, sf):
+    approved, seen, prints = _approvals(spark, sf)
+    return A.bindings(A.assign(approved, seen, prints), approved, seen).select("indicator", "campaign", "report_id")
+
+
+def campaign_relations(spark, sf):
+    approved, seen, prints = _approvals(spark, sf)
+    return A.relations(A.assign(approved, seen, prints), seen, prints)
+
+
 def sms_score(spark, sf):
     links = F.filter(E.urls_of(F.col("text")), lambda u: F.contains(E.host_of(u), F.lit(".")))
     found = messages(spark, sf).select("msg_id", F.explode(links).alias("url"))
@@ -135,7 +191,7 @@ def sender_roles(spark, sf):
     return _messages(spark, sf).select("msg_id", R.sender_role(F.col("sender")).alias("role"))
 
 
-QUERIES = {f.__name__: f for f in (worst_url, rf_url, rf_context, rf_reputation, rf_campaign, message_links, risk_score, score_breakdown, red_flags_topk, actions, sms_score, sender_roles)}
+QUERIES = {f.__name__: f for f in (rf_intent_factors, intent_evidence, fold_replacements, asof_message_reputation, explanations, campaign_assignment, campaign_bindings, campaign_relations, worst_url, rf_url, rf_context, rf_reputation, rf_campaign, message_links, risk_score, score_breakdown, red_flags_topk, actions, sms_score, sender_roles)}
 
 _MSGS = f"WITH RECURSIVE msg AS ({MSG_SQL})"
 # Hard indicators of the messages: what their patterns find in these texts.
@@ -145,12 +201,19 @@ _HARD = rf"""{_MSGS}, hard AS (
  UNION SELECT msg_id, 'email', u FROM (SELECT msg_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS u FROM msg)
  UNION SELECT msg_id, 'upi', u FROM (SELECT msg_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]+@(?:ybl|okicici)\b')) AS u FROM msg)
  UNION SELECT msg_id, 'phone', '+91' || u FROM (SELECT msg_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])([6-9][0-9]{{9}})(?:$|[^0-9])', 1)) AS u FROM msg))"""
+# What earlier messages tell of each of them.
+_BEFORE = f"""{_HARD}, st AS (SELECT o_orderkey AS msg_id, o_orderdate AS seen_at, CAST(o_orderstatus <> 'O' AS INT) AS approved FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+bf AS (SELECT msg_id, type, value, CAST(coalesce(sum(1 + approved) OVER w, 0) AS BIGINT) AS sighting_count, CAST(coalesce(sum(approved) OVER w, 0) AS BIGINT) AS report_count
+ FROM hard JOIN st USING (msg_id) WINDOW w AS (PARTITION BY type, value ORDER BY seen_at, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 _ROLE = rf"CASE WHEN regexp_matches(sender, '^(\+?91)?[6-9][0-9]{{9}}$') THEN 'phone' WHEN sender <> '' THEN 'header' END"
 _ANY = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 ORACLE_SQL = {
     "sender_roles": f"{_MSGS}, s AS (SELECT msg_id, {SENDER} AS sender FROM msg) SELECT msg_id, {_ROLE} AS role FROM s",
-    "rf_reputation": rf"""{_HARD}, st AS (SELECT o_orderkey AS msg_id, o_orderstatus <> 'O' AS approved FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-reg AS (SELECT type, value, count(*) FILTER (approved) AS n_reports FROM hard JOIN st USING (msg_id) GROUP BY ALL)
-SELECT msg_id, CAST(sum(least(10, 3 + 2.5 * least(3, n_reports))) AS DOUBLE) AS weight, count(*) AS n FROM hard JOIN reg USING (type, value) WHERE n_reports > 0 GROUP BY msg_id""",
+    "rf_reputation": f"""{_BEFORE} SELECT msg_id, CAST(sum(least(10, 3 + 2.5 * least(3, report_count))) AS DOUBLE) AS weight, count(*) AS n FROM bf WHERE report_count > 0 OR sighting_count > 1 GROUP BY msg_id""",
+    "asof_message_reputation": f"""{_BEFORE} SELECT msg_id, substr(sha256(type || ':' || lower(value)), 1, 32) AS hash, sighting_count, report_count,
+ CAST(least(10, 3 + 2.5 * least(3, report_count)) AS DOUBLE) AS weight FROM bf WHERE report_count > 0 OR sighting_count > 1""",
+    "rf_intent_factors": f"""{_CLASS}, fr AS ({' UNION ALL '.join(f"SELECT msg_id, '{fixed.INTENT_LABELS[k]}' AS name, round({w} * (1 + 0.25 * least(2, n_{k} - 1)), 2) AS weight, n_{k} || ' matching phrase(s)' AS observed, 'rule:intent' AS source FROM cl WHERE n_{k} > 0" for k, w in fixed.INTENT_WEIGHTS.items())}
+ UNION ALL SELECT msg_id, 'Matches a known ' || replace(scam_category, '_', ' ') || ' pattern', round(least(11.0, 4.5 + 1.8 * top_score), 2), len(list_filter([{_SCORES}], lambda x: x.s IS NOT NULL)) || ' candidate class(es); strongest: ' || CASE scam_category {' '.join(f"WHEN '{k}' THEN '{v['label']}'" for k, v in fixed.SCAM_CLASSES.items())} END, 'rule:scam_template' FROM cl WHERE top_score > 0)
+SELECT msg_id, name, CAST(weight AS DOUBLE) AS weight, observed, source FROM fr""",
 }
