@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries", "report_queries", "url_queries", "message_queries", "risk_queries", "intake_queries", "model_queries"]
+MODULES = ["text_queries", "report_queries", "url_queries", "message_queries", "risk_queries", "intake_queries", "model_queries", "source_queries"]
 
 
 def queries() -> dict:
