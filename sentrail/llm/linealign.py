@@ -1,15 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Every line belongs to the earliest document that has it. A later document is compared with the owners of its
-evidence lines: lines that occur once in it and are rare (in at most ``rare`` documents) or long (at least
-``long_words`` words, which is evidence at any frequency). That is a star around the owner, so a group of n copies
-gives n pairs. The line hashes of a pair are aligned with patience diff, and aligned runs of at least ``block_words``
-words are deleted from the later document. The owner of a line never loses it, so each deleted line stays in its
-first document.
-
-What alignment with these owners can't see is found exactly by blocks: the shortest runs of lines of at least
-``block_words`` words, from every first line and to every last line. A block that an earlier document has, in any
-number of documents and any number of times, is deleted from the later one.
+A later document is aligned with earlier ones that it shares evidence with. Evidence are lines that occur once in it and
+are rare (in at most ``rare`` documents) or long (at least ``long_words`` words, at any frequency), and blocks: the
+shortest runs of lines of ``block_words`` words, at any frequency. The partner is the first document that has the line
+or the block. That is a star around the first, so a group of n copies gives n pairs.
+
+The line hashes of a pair are aligned with patience diff, and aligned runs of at least ``block_words`` words are deleted
+from the later document. What is left between them is aligned again, as moved and repeated passages do not fit one
+alignment; where no line is unique, runs are anchored by their first ``block_words`` words instead. Only aligned runs
+are deleted, and the first document that has a passage keeps it.
 """
 
 from __future__ import annotations
@@ -102,19 +101,65 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], block_words: int) -> list[int]:
-    """Places in ``b`` of the aligned runs that have at least ``block_words`` words."""
-    out, run, prev = [], [], (-2, -2)
-    for i, j in [*patience(a, b), (-5, -5)]:
-        if run and (i, j) != (prev[0] + 1, prev[1] + 1):
-            if sum(words[k] for k in run) >= block_words:
-                out += run
-            run = []
-        run.append(j)
-        prev = (i, j)
+def long_runs(pairs: list[tuple[int, int]], words: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Ranges of the second sequence that aligned pairs cover without a gap in either, of ``block_words`` words at least."""
+    out, begin = [], 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            s, e = pairs[begin][1], pairs[k - 1][1] + 1
+            if sum(words[s:e]) >= block_words:
+                out.append((s, e))
+            begin = k
+    return out
+
+
+def openings(lines: list[int], words: list[int | None], block_words: int) -> list[tuple[tuple, int]]:
+    """The first ``block_words`` words from every line on, as a run of lines, with its place; lines of unknown words are in none."""
+    out, e, total = [], 0, 0
+    for s in range(len(lines)):
+        if e < s:
+            e, total = s, 0
+        while e < len(lines) and total < block_words and words[e] is not None:
+            total += words[e]
+            e += 1
+        if total >= block_words:
+            out.append((tuple(lines[s:e]), s))
+        if e > s:
+            total -= words[s]
+    return out
+
+
+def anchored(a: list[int], in_a: dict[tuple, int], b: list[int], words: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Ranges of ``b`` that runs of ``a`` match from a common opening on (``in_a``: those of ``a``), as far as both go on alike."""
+    out, at = [], 0
+    for opening, j in openings(b, words, block_words):
+        if j >= at and opening in in_a:
+            i, e = in_a[opening] + len(opening), j + len(opening)
+            while i < len(a) and e < len(b) and a[i] == b[e]:
+                i, e = i + 1, e + 1
+            out.append((j, e))
+            at = e
     return out
 
 
+def common_blocks(a: list[int], b: list[int], words: list[int], block_words: int) -> list[int]:
+    """Places in ``b`` of the lines of aligned runs of at least ``block_words`` words."""
+    out, todo, in_a = [], [(0, len(b))], None
+    while todo:
+        s, e = todo.pop()
+        part, of = b[s:e], words[s:e]
+        found = long_runs(patience(a, part), of, block_words)
+        if not found:
+            if in_a is None:
+                known = dict(zip(b, words, strict=True))
+                in_a = dict(reversed(openings(a, [known.get(x) for x in a], block_words)))
+            found = anchored(a, in_a, part, of, block_words)
+        rest = [0, *(x for r in found for x in r), e - s] if found else []
+        out += [s + k for x, y in found for k in range(x, y)]
+        todo += [(s + x, s + y) for x, y in zip(rest[::2], rest[1::2], strict=True) if sum(of[x:y]) >= block_words]
+    return sorted(out)
+
+
 def line_blocks(h: np.ndarray, words: np.ndarray, first: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The shortest runs of lines of one row with ``block_words`` words: hash, first line, line after the last, row.
 
@@ -140,23 +185,21 @@ def line_blocks(h: np.ndarray, words: np.ndarray, first: np.ndarray, block_words
     return run.view(np.int64), a, b, owner
 
 
-def find_blocks(table: DataFrame, block_words: int) -> DataFrame:
-    """Lines of blocks that an earlier document has: id, tag, drop. ``table``: id, tag, h, w (line hashes, words)."""
+def block_partners(table: DataFrame, block_words: int) -> DataFrame:
+    """(id, tag, id_a, tag_a): documents and the first holders of their blocks. ``table``: id, tag, h, w (line hashes, words)."""
 
     def blocks(batches):
         for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             h, w = batch.column(2), batch.column(3)
             first = np.concatenate([[0], np.cumsum(np.array(h.value_lengths().fill_null(0)))]).astype(np.int64)
-            run, a, b, row = line_blocks(np.array(h.flatten()), np.array(w.flatten()), first, block_words)
-            ids = batch.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1).take(pa.array(row)), pa.array(run), pa.array((a - first[row]).astype(np.int32)), pa.array((b - first[row]).astype(np.int32))], names=["id", "tag", "b", "s", "e"])
+            run, _, _, row = line_blocks(np.array(h.flatten()), np.array(w.flatten()), first, block_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(run)], names=["id", "tag", "b"])
 
     kind = table.schema["id"].dataType.simpleString()
-    block = table.select("id", "tag", "h", "w").mapInArrow(tidily(blocks), f"id {kind}, tag long, b long, s int, e int")
-    owner = block.groupBy("b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("b", "first")
-    later = block.join(owner, "b").where(F.col("first") < F.col("id"))
-    lines = later.select("id", "tag", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("line")).distinct()
-    return lines.groupBy("id", "tag").agg(F.collect_list("line").alias("drop"))
+    block = table.select("id", "tag", "h", "w").mapInArrow(tidily(blocks), f"id {kind}, tag long, b long")
+    owner = block.groupBy("b").agg(F.min(F.struct("id", "tag")).alias("owner"), F.max("id").alias("last")).where("owner.id < last").select("b", "owner")
+    later = block.join(written(owner), "b").where(F.col("owner.id") < F.col("id"))  # of two tables, so that Spark splits a hot block
+    return later.select("id", "tag", F.col("owner.id").alias("id_a"), F.col("owner.tag").alias("tag_a")).distinct()
 
 
 def find_deletions(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", rare: int = RARE, long_words: int = LONG_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -172,9 +215,10 @@ def find_deletions(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     table = written(map_rows(source, lines, fields, ["id", "tag"]).dropDuplicates(["id", "tag"]))
     line = table.select("id", "tag", F.explode(F.arrays_zip("h", "w")).alias("x")).groupBy("id", "tag", F.col("x.h").alias("h"), F.col("x.w").alias("w")).count()
     line = line.where("w > 0")
-    owner = line.groupBy("h").agg(F.min(F.struct("id", "tag")).alias("owner"), F.count("*").alias("df")).where("df > 1")
+    owner = written(line.groupBy("h").agg(F.min(F.struct("id", "tag")).alias("owner"), F.count("*").alias("df")).where("df > 1"))
     mine = line.where("count = 1").join(owner, "h").where((F.col("owner.id") < F.col("id")) & ((F.col("df") <= rare) | (F.col("w") >= long_words)))
-    pairs = mine.select("id", "tag", F.col("owner.id").alias("id_a"), F.col("owner.tag").alias("tag_a")).distinct()
+    by_line = mine.select("id", "tag", F.col("owner.id").alias("id_a"), F.col("owner.tag").alias("tag_a"))
+    pairs = written(by_line.unionByName(block_partners(table, block_words)).distinct())
     joined = pairs.join(table, ["id", "tag"]).join(table.select(F.col("id").alias("id_a"), F.col("tag").alias("tag_a"), F.col("h").alias("h_a")), ["id_a", "tag_a"])
 
     def align(batches):
@@ -185,7 +229,6 @@ def find_deletions(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     kind = source.schema["id"].dataType.simpleString()
     found = joined.select("id", "tag", "h", "w", "h_a").mapInArrow(tidily(align), f"id {kind}, tag long, drop array<int>").where("size(drop) > 0")
-    found = found.unionByName(find_blocks(table, block_words))
     return found.groupBy("id", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("drop"))
 
 

@@ -19,23 +19,72 @@ def words(line):
     return n
 
 
+def openings(lines, block_words):
+    """Shortest runs of lines with so many words, forwards from and backwards to each line that has words."""
+    out = set()
+    n = [words(x) for x in lines]
+    for s in range(len(lines)):
+        for e in range(s + 1, len(lines) + 1):
+            if sum(n[s:e]) >= block_words and n[s] and n[e - 1] and (sum(n[s : e - 1]) < block_words or sum(n[s + 1 : e]) < block_words):
+                out.add(tuple(lines[s:e]))
+            if sum(n[s + 1 : e]) >= block_words:
+                break
+    return out
+
+
 def brute(docs, rare=la.RARE, long_words=la.LONG_WORDS, block_words=la.BLOCK_WORDS):
-    """docs: {id: text}. All documents in order, each against the owners of its evidence lines."""
+    """docs: {id: text}. All documents in order, each against the first holders of its evidence lines and blocks."""
     lines = {d: t.split("\n") for d, t in docs.items() if t is not None}
-    where = defaultdict(set)
+    where, blocks = defaultdict(set), defaultdict(set)
     for d, ls in lines.items():
         for x in ls:
             where[x].add(d)
+        for x in openings(ls, block_words):
+            blocks[x].add(d)
     out = {}
     for d, ls in lines.items():
         n, drop = Counter(ls), set()
         owners = {min(where[x]) for x in ls if n[x] == 1 and words(x) and len(where[x]) > 1 and min(where[x]) < d and (len(where[x]) <= rare or words(x) >= long_words)}
+        owners |= {min(blocks[x]) for x in openings(ls, block_words) if min(blocks[x]) < d}
         for o in owners:
             drop |= set(la.common_blocks(lines[o], ls, [words(x) for x in ls], block_words))
         out[d] = ("\n".join(x for i, x in enumerate(ls) if i not in drop), len(ls), len(drop))
     return out
 
 
+def runs(places):
+    """Ranges of neighbouring places."""
+    out = []
+    for k in sorted(places):
+        if out and out[-1][1] == k:
+            out[-1][1] = k + 1
+        else:
+            out.append([k, k + 1])
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=16), st.lists(st.integers(0, 6), max_size=16), st.integers(1, 5))
+def test_alignment_deletes_what_is_common(a, b, least):
+    """Lines are deleted in runs that the partner has, and no run of that length that it has is left."""
+    n = [x % 3 for x in b]
+    drop = la.common_blocks(a, b, n, least)
+    held = lambda x: any(a[i : i + len(x)] == x for i in range(len(a) - len(x) + 1))
+    for k in drop:
+        assert any(held(b[s:e]) and sum(n[s:e]) >= least for s in range(k + 1) for e in range(k + 1, len(b) + 1) if set(range(s, e)) <= set(drop))
+    for s, e in runs(set(range(len(b))) - set(drop)):
+        assert not any(held(b[i:j]) and sum(n[i:j]) >= least for i in range(s, e) for j in range(i + 1, e + 1))
+
+
+def test_nothing_but_alignment_deletes(spark, monkeypatch):
+    """Evidence alone deletes no line."""
+    a = "\n".join(f"w{k} x y z u v w" for k in range(9))
+    docs = spark.createDataFrame([(1, a), (2, f"own\n{a}")], "doc_id long, text string")
+    assert [r.n_removed for r in la.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 9]
+    pairs = la.block_partners(docs.select(la.F.col("doc_id").alias("id"), la.F.lit(0).cast("long").alias("tag"), la.F.array(la.F.lit(5).cast("long"), la.F.col("doc_id")).alias("h"), la.F.array(la.F.lit(20), la.F.lit(0)).alias("w")), 20)
+    assert [tuple(r) for r in pairs.collect()] == [(2, 0, 1, 0)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_is_an_alignment(a, b):
