@@ -34,7 +34,7 @@ def brute(rows):
     split = {}
 
     def tokens(part, text):
-        for c in re.findall(r"[^\W\d_]{1,%d}|\d+" % uf.CHUNK, text.translate(LOWER)):
+        for c in re.findall(r"[^\W\d_]+|\d+", text.translate(LOWER)):
             if c[0].isdigit():
                 yield part, uf.NUMBER
             else:
@@ -43,7 +43,7 @@ def brute(rows):
                 yield from ((part, w) for w in split[c])
 
     urls = {u: [*tokens("host", u[0]), *tokens("path", u[1])] for u in {parse(r[1]) for r in rows}}
-    spam = {u: any(p == "host" and w in uf.SEEDS for p, w in t) or (rule(*u) or " ")[0] == "block" for u, t in urls.items() if t}
+    spam = {u: rule(*u)[0] == "block" for u, t in urls.items() if t and rule(*u)}
     count = {k: Counter(x for u, s in spam.items() if s == k for x in urls[u]) for k in (True, False)}
     v = len(set(count[True]) | set(count[False]))
     n = {k: sum(count[k].values()) + v for k in count}
@@ -52,7 +52,7 @@ def brute(rows):
     for i, url, _ in rows:
         h, p = parse(url)
         t = urls[(h, p)]
-        odds = prior + sum(math.log((count[True][x] + 1) / n[True]) - math.log((count[False][x] + 1) / n[False]) for x in t) if t else None
+        odds = prior + sum(math.log((count[True][x] + 1) / n[True]) - math.log((count[False][x] + 1) / n[False]) for x in t if count[True][x] + count[False][x]) if t else None
         r = rule(h, p)
         out.append((i, h, p, r and r[1], r[0] if r else ("block" if odds is not None and odds > 0 else "allow"), odds))
     return out
@@ -66,11 +66,41 @@ def same(got, want):
 
 
 def test_real(spark):
+    """The model blocks urls that no rule judges, and allows others."""
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = uf.judge(pages).collect()
     same(got, brute([(r.page_id, r.url, r.html) for r in pages.collect()]))
-    free = [r for r in got if r.rule is None]
-    assert {r.verdict for r in free if re.search("casino|pills|bets|adult|spam|ads", r.host)} <= {"block"}
+
+
+def test_learns_from_rules(spark):
+    """What goes with blocked urls is blocked elsewhere, by words within concatenated names; no word is known beforehand."""
+    text = "<p>" + "zork blim garden flower " * 20 + "</p>"
+    rows = [(k, f"http://zorkblim{k}.example.com/en/{k}", text) for k in range(30)] + [(100 + k, f"http://gardenflower{k}.example.com/xx/{k}", text) for k in range(30)]
+    rows += [(200, "http://blimzork.org/1", text), (201, "http://flowergarden.org/1", text), (202, "http://zorkzork.info", text)]
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[200] == (None, "block") and got[202] == (None, "block") and got[201] == (None, "allow") and got[0] == ("example.com/en/", "block")
+
+
+def test_held_out_accuracy(spark):
+    """Urls of a fold that was not learnt from get their rules' verdicts from the model."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = uf.host_and_path(uf.F.col("url"))
+    urls = uf.written(pages.select(host.alias("host"), path.alias("path")).distinct().withColumn("key", uf.url_key()))
+    token = uf.written(uf.tokens(urls, uf.word_counts(pages)))
+    labels = uf.rule_labels(urls).withColumn("held", uf.F.pmod(uf.F.crc32("key"), uf.F.lit(5)) == 0)
+    odds = uf.log_odds(token, *uf.bayes_weights(token, labels.where("not held").drop("held")))
+    judged = labels.where("held").join(odds, "key").collect()
+    right = sum((r.log_odds > 0) == r.spam for r in judged)
+    assert len(judged) > 200 and right >= 0.95 * len(judged), (right, len(judged))
+
+
+def test_very_long_urls(spark):
+    """Runs of letters far longer than any word are split whole; what is unknown is one piece."""
+    rows = [(1, "http://a.org/" + "spamfarm" * 20_000, "spam farm " * 9), (2, "http://b.org/" + "q" * 100_000, None), (3, "http://" + "x" * 1_000_000 + ".org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert len(uf.judge(pages).collect()) == 3
+    words = {r.chunk[:9]: r.words for r in uf.segment(pages.select(uf.F.regexp_extract("url", "/([a-z]{9,})$", 1).alias("chunk")), uf.word_counts(pages)).collect()}
+    assert words["spamfarms"] == ["spam", "farm"] * 20_000 and words["qqqqqqqqq"] == ["q" * 100_000]
 
 
 def test_cases(spark):
