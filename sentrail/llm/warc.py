@@ -34,6 +34,7 @@ LEAST = 0  # bytes of a payload that may be revisited
 ROLL = 1 << 30  # bytes of an archive after which a task begins another
 BLOCK_LINES, BLOCK_BYTES = 3000, 1 << 18
 READ_AHEAD = 1 << 22  # bytes of neighbouring records that are read at once
+READ_TASK = 1 << 25  # bytes of records for a task to read
 DATE = "2024-01-01T00:00:00Z"
 _PLACE = "skey string, cid string, file string, offset long, length long"
 
@@ -295,7 +296,12 @@ def search(index: CaptureIndex, queries: DataFrame) -> DataFrame:
 
 
 def read_records(index: CaptureIndex, places: DataFrame, payloads: bool = False) -> DataFrame:
-    """Reads records by their ranges, neighbours of one archive together, and checks lengths and digests."""
+    """Reads records by their ranges, neighbours of one archive together, and checks lengths and digests.
+
+    ``places`` should be a written table, as it is read twice. Rows are few bytes each, records many; so tasks are made by
+    the bytes of the records.
+    """
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 1) // READ_TASK)
     schema = "cid string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, refers_url string" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
@@ -326,7 +332,7 @@ def read_records(index: CaptureIndex, places: DataFrame, payloads: bool = False)
             if handle is not None:
                 handle.close()
 
-    return places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidily(run), schema)
+    return places.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidily(run), schema)
 
 
 def payloads(index: CaptureIndex, queries: DataFrame) -> DataFrame:
@@ -335,10 +341,10 @@ def payloads(index: CaptureIndex, queries: DataFrame) -> DataFrame:
     Each response that revisits refer to is looked up and read once, however many refer to it; the join is of written
     tables, so that Spark splits a response that very many refer to.
     """
-    records = written(read_records(index, search(index, queries), payloads=True))
+    records = written(read_records(index, written(search(index, queries)), payloads=True))
     revisits = records.where("record_type = 'revisit'").select("cid", "url", "refers_to", "refers_url")
     asked = revisits.select(capture_key(F.col("refers_url")).alias("skey"), F.col("refers_to").alias("cid")).distinct()
-    found = written(read_records(index, search(index, asked), payloads=True).where("record_type = 'response'").select("cid", "url", "payload").dropDuplicates(["cid", "url"]))
+    found = written(read_records(index, written(search(index, asked)), payloads=True).where("record_type = 'response'").select("cid", "url", "payload").dropDuplicates(["cid", "url"]))
     followed = revisits.join(found.select(F.col("cid").alias("refers_to"), F.col("url").alias("refers_url"), "payload"), ["refers_to", "refers_url"])
     return records.where("record_type = 'response'").select("cid", "url", "payload").unionByName(followed.select("cid", "url", "payload"))
 
