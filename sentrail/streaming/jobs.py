@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,39 +84,71 @@ def _seconds(ts: pd.Series) -> list[float]:
 def rate_limited(requests: DataFrame, limit: int, seconds: float, late: str = "1 minute") -> DataFrame:
     """Requests (client, bucket, ts, event_id) with ``accepted``, for a stream.
 
-    The times that are remembered are the state, at most ``limit`` for each client and bucket.
+    The times that are remembered are the state, at most ``limit`` for each client and bucket. A state ends when the
+    watermark has passed its last request by ``seconds``, so idle clients leave none.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         accepted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # of one trigger, in order of time
-        ok, accepted = _accept(_seconds(rows["ts"]), accepted, limit, seconds)
+        times = _seconds(rows["ts"])
+        ok, accepted = _accept(times, accepted, limit, seconds)
         state.update((accepted,))
+        last = int(max([*times, *accepted]) * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(seconds * 1000) + 1)
         yield pd.DataFrame({"client": key[0], "bucket": key[1], "event_id": rows["event_id"], "accepted": ok})
 
     grouped = requests.withWatermark("ts", late).groupBy("client", "bucket")
-    return grouped.applyInPandasWithState(run, "client string, bucket string, event_id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(run, "client string, bucket string, event_id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def assign_batch(path: str) -> Callable[[DataFrame, int], None]:
+COMPACT = 20  # batches after which the links of all campaigns are written as one table
+
+
+def campaign_links(spark: SparkSession, path: str, batches: int, compact: int = COMPACT) -> DataFrame | None:
+    """(indicator, campaign) as it is after so many batches, null before the first: the last whole table and what changed since."""
+    if not batches:
+        return None
+    base = (batches - 1) // compact * compact
+    rows = spark.read.parquet(f"{path}/changes").where(F.col("batch").between(base, batches - 1)).select("indicator", "campaign", "batch")
+    if base:  # batch ``base`` is in the whole table that was written after it
+        rows = rows.where(F.col("batch") > base).unionByName(spark.read.parquet(f"{path}/whole/batch={base}").withColumn("batch", F.lit(base)))
+    return rows.groupBy("indicator").agg(F.max_by("campaign", "batch").alias("campaign"))
+
+
+def assign_batch(path: str, compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch: mentions (report_id, indicator) of a batch join the campaigns kept under ``path``.
 
-    Only components that the batch touches change: a component is kept as links of its indicators to its name, so the
-    links that share an indicator with the batch are merged with it and written; the smallest name wins.
+    A component is kept as links of its indicators to its name, the smallest report. Only components that share an
+    indicator with the batch are merged with it, and only their links are written, so what is written follows the batch;
+    after every ``compact`` batches all links are written as one table. Tables, one folder a batch: ``changes``
+    (indicator, campaign), ``reports`` (report_id, campaign) of the batch, and ``merges`` (campaign, into) of names
+    that ended. A batch that is run again writes the same folders again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         new = written(batch.select("report_id", "indicator").distinct())
-        if number:
-            old = batch.sparkSession.read.parquet(f"{path}/state={number - 1}")
+        old = campaign_links(spark, path, number, compact)
+        both = new
+        if old is not None:
+            old = written(old)
             touched = old.join(new.select("indicator").distinct(), "indicator", "left_semi").select("campaign").distinct()
-            moved = old.join(touched, "campaign", "left_semi")
+            moved = written(old.join(touched, "campaign", "left_semi"))
             both = new.unionByName(moved.select(F.col("campaign").alias("report_id"), "indicator"))
-            rest = old.join(touched, "campaign", "left_anti")
-        else:
-            both, rest = new, None
-        named = C.campaigns(both).join(both, "report_id").select("indicator", "campaign").distinct()
-        named = named if rest is None else named.unionByName(rest)
-        named.write.mode("overwrite").parquet(f"{path}/state={number}")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        named = written(C.campaigns(both))
+        links = named.join(both, "report_id").select("indicator", "campaign").distinct()
+        put(named.join(new.select("report_id").distinct(), "report_id", "left_semi"), "reports")
+        if old is not None:
+            ended = named.join(moved.select(F.col("campaign").alias("report_id")).distinct(), "report_id", "left_semi").where("report_id != campaign")
+            put(ended.select(F.col("report_id").alias("campaign"), F.col("campaign").alias("into")), "merges")
+            links = written(links.join(moved, ["indicator", "campaign"], "left_anti"))
+        put(links, "changes")
+        if number and number % compact == 0:
+            put(old.join(links.select("indicator"), "indicator", "left_anti").unionByName(links), "whole")
 
     return run

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrail.operators.components import components
-from sentrail.operators.ranks import ranked
+from sentrail.operators.ranks import asof, carried, ranked
 from sentrail.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -69,12 +69,56 @@ def test_rate_limit(stream):
     assert {r.event_id: r.accepted for r in got} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True}
 
 
-def test_campaigns_by_batches(spark, stream, tmp_path):
-    rows = [[(1, 10), (2, 20)], [(3, 30), (3, 20)], [(4, 10), (4, 30), (5, 50)]]
+def test_idle_clients_leave_no_state(spark, tmp_path):
+    """Once the watermark has passed a client's last request, its times are gone; a busy client's stay."""
+    schema, source, kept, out = "client string, bucket string, ts timestamp, event_id long", tmp_path / "in", [], {}
+    at = lambda s: T0 + timedelta(seconds=s)
+    for rows in [[(f"c{k}", "x", at(0), k) for k in range(20)], [("busy", "x", at(1000), 100)], [("busy", "x", at(1001), 101)], [("c1", "x", at(1002), 102)]]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        query = jobs.rate_limited(spark.readStream.schema(schema).parquet(str(source)), 2, 60).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+        query = query.foreachBatch(lambda df, k: out.update({r.event_id: r.accepted for r in df.collect()})).trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert kept[0] == 20 and kept[-1] == 2 and all(out.values()) and len(out) == 23
+
+
+@pytest.mark.parametrize("compact", [2, 20])
+def test_campaigns_by_batches(spark, stream, tmp_path, compact):
+    """Several batches give what one gives; reports, ended names and changes are told batch by batch."""
+    rows = [[(1, 10), (2, 20)], [(3, 30), (3, 20)], [(4, 10), (4, 30), (5, 50)], [(6, 60)], [(7, 60), (7, 10)]]
     path = str(tmp_path / "campaigns")
-    stream(rows, "report_id long, indicator long", lambda s: s, "append", jobs.assign_batch(path))
-    got = {r.indicator: r.campaign for r in spark.read.parquet(f"{path}/state=2").collect()}
-    assert got == {10: 1, 20: 1, 30: 1, 50: 5}
+    stream(rows, "report_id long, indicator long", lambda s: s, "append", jobs.assign_batch(path, compact))
+    state = lambda n: {r.indicator: r.campaign for r in jobs.campaign_links(spark, path, n, compact).collect()}
+    assert [state(k) for k in (1, 2, 3)] == [{10: 1, 20: 2}, {10: 1, 20: 2, 30: 2}, {10: 1, 20: 1, 30: 1, 50: 5}] and jobs.campaign_links(spark, path, 0) is None
+    assert state(5) == {10: 1, 20: 1, 30: 1, 50: 5, 60: 1}
+    told = spark.read.parquet(f"{path}/reports")
+    assert {(r.batch, r.report_id, r.campaign) for r in told.collect()} == {(0, 1, 1), (0, 2, 2), (1, 3, 2), (2, 4, 1), (2, 5, 5), (3, 6, 6), (4, 7, 1)}
+    assert {(r.batch, r.campaign, r.into) for r in spark.read.parquet(f"{path}/merges").collect()} == {(2, 2, 1), (4, 6, 1)}
+    written = {r.batch: r["count"] for r in spark.read.parquet(f"{path}/changes").groupBy("batch").count().collect()}
+    assert written == {0: 2, 1: 1, 2: 3, 3: 1, 4: 1}
+    assert (tmp_path / "campaigns" / "whole").exists() == (compact == 2)
+    before = state(5)
+    jobs.assign_batch(path, compact)(spark.createDataFrame(rows[4], "report_id long, indicator long"), 4)  # run again
+    assert state(5) == before
+
+
+def test_carried_and_asof(spark):
+    """Running totals of a hot key over many ranges, and an as-of join, against plain loops; null keys are a key."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(300), i, rng.randrange(5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at int, i long, v int").repartition(5)
+    got = {r.i: (r.s, r.m) for r in carried(df, "k", ["at", "i"], {"s": F.col("v")}, {"m": F.col("v")}).collect()}
+    for k in ("hot", "b", None):
+        seen = []
+        for _, i, v in sorted((at, i, v) for key, at, i, v in rows if key == k):
+            assert got[i] == (sum(seen), max(seen, default=None))
+            seen.append(v)
+    asked = spark.createDataFrame([(k, t, 450 + n) for n, (k, t) in enumerate([("hot", 100), ("b", 0), ("none", 5), ("b", 299)])], "k string, at int, i long")
+    for r in asof(asked, df, "k", ["at", "i"], {"s": "v"}, {"m": "at"}).collect():
+        before = [(at, v) for k, at, i, v in rows if k == r.k and (at, i) < (r.at, r.i)]
+        assert (r.s, r.m) == (sum(v for _, v in before), max((a for a, _ in before), default=None))
 
 
 def test_ranked(spark):
