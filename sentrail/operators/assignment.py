@@ -98,3 +98,14 @@ def relations(of_report: DataFrame, mentions: DataFrame, fingerprints: DataFrame
         prints.select(text("t", "fingerprint").alias("source"), F.lit("shares_template").alias("relation"), text("c", "campaign").alias("target")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
+
+
+def shared_indicators(of_report: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(campaign, indicator, shared_by, place): indicators that several reports of a campaign have, most shared first.
+
+    Equally shared ones are in order of the indicator. Places are those of ``ranks.ranked``, so a campaign of any size is
+    spread over tasks.
+    """
+    counts = mentions.where("indicator is not null").select("report_id", "indicator").distinct().join(of_report, "report_id").groupBy("campaign", "indicator").agg(F.count("*").alias("shared_by"))
+    placed = ranked(counts.where("shared_by > 1").withColumn("less", -F.col("shared_by")), "campaign", ["less", "indicator"], "place")
+    return placed.select("campaign", "indicator", "shared_by", "place")

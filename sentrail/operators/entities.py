@@ -184,11 +184,14 @@ def _by(*fields: str):
 
 
 def brand_conflicts(entities: DataFrame, key: str = "msg_id") -> DataFrame:
-    """(key, brand): a message names a brand and links to domains, none of them the brand's own."""
+    """(key, brand, linked_domain, evidence): a message names a brand and links to domains, none of them the brand's own.
+
+    linked_domain is the first domain of the message, evidence how the brand is written there.
+    """
     own = [(b, d) for b, info in fixed.BRANDS.items() for d in info["domains"]]
     official = F.broadcast(entities.sparkSession.createDataFrame(own, "brand string, official string"))  # a fixed list
-    brands = entities.where("type = 'brand'").select(key, F.col("canonical").alias("brand"))
-    hosts = entities.where("type = 'domain'").select(key, F.col("raw").alias("host"))
-    linked = brands.join(hosts.select(key).distinct(), key, "left_semi")
+    brands = entities.where("type = 'brand'").select(key, F.col("canonical").alias("brand"), F.col("raw").alias("evidence"))
+    hosts = entities.where("type = 'domain'").select(key, F.col("raw").alias("host"), F.col("canonical").alias("domain"), "start")
+    first = hosts.groupBy(key).agg(F.min_by("domain", "start").alias("linked_domain"))
     fine = brands.join(hosts, key).join(official, "brand").where((F.col("host") == F.col("official")) | F.endswith("host", F.concat(F.lit("."), "official")))
-    return linked.join(fine.select(key, "brand").distinct(), [key, "brand"], "left_anti")
+    return brands.join(first, key).join(fine.select(key, "brand").distinct(), [key, "brand"], "left_anti").select(key, "brand", "linked_domain", "evidence")

@@ -89,7 +89,7 @@ def context_factors(judged: DataFrame, entities: DataFrame) -> DataFrame:
     handle = df.where(F.col("upi").isNotNull() & some(PRESSURE))
     callback = df.where(F.col("phone").isNotNull() & F.col("url").isNull() & some(CALLBACK))
     parts = [
-        _factor(conflicts, "context_anomaly", "Brand / domain mismatch", F.lit(CONFLICT_POINTS), F.col("brand"), F.col("brand"), "rule:context", 30),
+        _factor(conflicts, "context_anomaly", "Brand / domain mismatch", F.lit(CONFLICT_POINTS), F.concat(F.lit("Mentions "), F.col("brand"), F.lit(" but links to "), F.col("linked_domain")), F.col("evidence"), "rule:context", 30),
         _factor(personal, "context_anomaly", "Bank/brand message from a personal number", F.lit(PERSONAL_SENDER_POINTS), F.col("brand"), F.col("sender"), "rule:context", 31),
         _factor(handle, "context_anomaly", "Payment handle inside a pressure message", F.lit(HANDLE_POINTS), F.col("upi"), F.col("upi"), "rule:context", 32),
         _factor(callback, "context_anomaly", "Callback number is the only channel offered", F.lit(CALLBACK_POINTS), F.col("phone"), F.col("phone"), "rule:context", 33),

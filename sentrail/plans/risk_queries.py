@@ -180,6 +180,11 @@ def campaign_relations(spark, sf):
     return A.relations(A.assign(approved, seen, prints), seen, prints)
 
 
+def campaign_shared(spark, sf):
+    approved, seen, prints = _approvals(spark, sf)
+    return A.shared_indicators(A.assign(approved, seen, prints), seen)
+
+
 def sms_score(spark, sf):
     links = F.filter(E.urls_of(F.col("text")), lambda u: F.contains(E.host_of(u), F.lit(".")))
     found = messages(spark, sf).select("msg_id", F.explode(links).alias("url"))
@@ -191,7 +196,7 @@ def sender_roles(spark, sf):
     return _messages(spark, sf).select("msg_id", R.sender_role(F.col("sender")).alias("role"))
 
 
-QUERIES = {f.__name__: f for f in (rf_intent_factors, intent_evidence, fold_replacements, asof_message_reputation, explanations, campaign_assignment, campaign_bindings, campaign_relations, worst_url, rf_url, rf_context, rf_reputation, rf_campaign, message_links, risk_score, score_breakdown, red_flags_topk, actions, sms_score, sender_roles)}
+QUERIES = {f.__name__: f for f in (rf_intent_factors, intent_evidence, fold_replacements, asof_message_reputation, explanations, campaign_assignment, campaign_bindings, campaign_relations, campaign_shared, worst_url, rf_url, rf_context, rf_reputation, rf_campaign, message_links, risk_score, score_breakdown, red_flags_topk, actions, sms_score, sender_roles)}
 
 _MSGS = f"WITH RECURSIVE msg AS ({MSG_SQL})"
 # Hard indicators of the messages: what their patterns find in these texts.

@@ -38,6 +38,20 @@ def leakage_check(spark, sf):
     return labelled.leaked(rows)
 
 
+#: Slots of the messages that gen_messages makes; their templates are made of orders.
+SLOTS = {"bank": ["North Bank", "East Bank", "Hill Bank"], "amount": ["Rs.4,999", "Rs.850", "Rs.12,500", "Rs.75,000"], "link": ["http://verify-a.example/x", "http://b.example"], "hours": ["24", "12", "6"]}
+TEMPLATE_SQL = """
+SELECT o_orderpriority AS label, CASE WHEN o_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, o_orderkey AS number,
+ 'Order ' || CAST(o_orderkey AS STRING) || ' at {bank}: pay {amount} now at {link} within {hours} hours and {amount} later' AS template FROM orders
+"""
+
+
+def gen_messages(spark, sf):
+    """Four messages of a template for every order."""
+    read(spark, sf, "orders").createOrReplaceTempView("_orders_of_templates")
+    return labelled.generate(spark.sql(TEMPLATE_SQL.replace("FROM orders", "FROM _orders_of_templates")), SLOTS)
+
+
 def binary_intake(spark, sf):
     """Files made from pages, some of them renamed, empty or of another type."""
     kind = F.element_at(F.array(*[F.lit(x) for x in ("image/png", "IMAGE/JPEG; q=1", "application/pdf", "image/png", "image/webp", "image/gif")]), (F.col("page_id") % 6 + 1).cast("int"))
@@ -76,10 +90,21 @@ def fanout_registry(spark, sf):
     return seen.groupBy("type").agg(F.count("*").alias("n"), F.sum("sighting_count").alias("sightings"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-QUERIES = {f.__name__: f for f in (scan_labelled, leakage_check, binary_intake, ocr_lines, fanout_risk_factors, fanout_registry)}
+QUERIES = {f.__name__: f for f in (scan_labelled, leakage_check, gen_messages, binary_intake, ocr_lines, fanout_risk_factors, fanout_registry)}
+
+def _filled_sql() -> str:
+    """One table for every slot that is filled, in order."""
+    steps, before = [], "g0"
+    for n, name in enumerate(["bank", "amount", "amount", "link", "hours"], 1):
+        values = "[" + ", ".join(f"'{v}'" for v in SLOTS[name]) + "]"
+        steps.append(f"g{n} AS (SELECT * REPLACE (regexp_replace(text, '\\{{{name}\\}}', {values}[(turn + length(text)) % {len(SLOTS[name])} + 1]) AS text, turn + 1 AS turn) FROM {before})")
+        before = f"g{n}"
+    return f"WITH t AS ({TEMPLATE_SQL}), g0 AS (SELECT label, split, number, template AS text, number * 7 + v * 3 AS turn FROM t, range(0, 4) r(v)), {', '.join(steps)} SELECT text, label, split, label || ':' || split || ':' || CAST(number AS STRING) AS template_id FROM {before}"
+
 
 _KEPT = "list_filter(list_zip(range(0, len(w)), list_transform(w, lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '))), lambda z: z[2] <> '' AND z[1] % 13 <> 5)"
 ORACLE_SQL = {
+    "gen_messages": _filled_sql(),
     "scan_labelled": """WITH d AS (SELECT doc_id % 10 AS k, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, length(text) AS c FROM documents JOIN labels USING (doc_id))
 SELECT 'ok' AS status, label, split, count(*) AS n, CAST(sum(c) AS BIGINT) AS chars FROM d WHERE k NOT IN (3, 7, 8) GROUP BY ALL
 UNION ALL SELECT CASE k WHEN 3 THEN 'not json' ELSE 'no label' END, NULL, NULL, count(*), 0 FROM d WHERE k IN (3, 8) GROUP BY 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentrail.functions import fixed
+from sentrail.operators import network as W
 from sentrail.operators import urls as U
 from sentrail.sources.shared import written
 from sentrail.sources.tables import read
@@ -251,6 +252,21 @@ def asn_join(spark, sf):
     return ips.join(dim, (F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")), "left").groupBy("ip").agg(F.min_by("asn", F.col("hi") - F.col("lo")).alias("asn"), F.min_by("org", F.col("hi") - F.col("lo")).alias("org"))
 
 
+def address_kinds(spark, sf):
+    """Distinct hosts of urls and addresses of the snapshot."""
+    hosts = U.split_url(urls(spark, sf)).select("host").unionByName(_dns(spark, sf).select(F.col("ip").alias("host"))).distinct()
+    return hosts.select("host", W.address_kind(F.col("host")).alias("k")).select("host", "k.is_ip", "k.version", "k.private")
+
+
+def dns_state(spark, sf):
+    return W.resolution(_dns(spark, sf).select("host").unionByName(U.split_url(urls(spark, sf)).select("host")), _dns(spark, sf).select("host", F.when(~F.col("host").startswith("cafe-1"), F.col("ip")).alias("ip")))
+
+
+def address_owners(spark, sf):
+    private = F.when(F.col("id") % 7 == 0, F.concat(F.lit("10.0.0."), (F.col("id") % 250).cast("string"))).otherwise(F.col("ip"))
+    return W.owners(_dns(spark, sf).select(private.alias("ip")))
+
+
 _HOPS = "SELECT DISTINCT 'bit.ly/' || CAST(l_orderkey % 500 AS STRING) AS src, CASE WHEN l_orderkey % 500 % 5 = 0 THEN 'https://end' || CAST(l_orderkey % 500 AS STRING) || '.org/' ELSE 'bit.ly/' || CAST((l_orderkey % 500 + 7) % 500 AS STRING) END AS dst FROM lineitem"
 
 
@@ -331,7 +347,7 @@ df AS (SELECT DISTINCT token, brand, target, CASE WHEN length(token) + 1 = lengt
 QUERIES = {
     f.__name__: f
     for f in (
-        url_scheme, url_host_port, url_decompose, url_path, url_pct, url_strip_tracking, url_normalize, url_dedupe, url_lexical, url_semantic, url_keywords, url_tld, host_entropy, url_entropy_flags, idn_forms,
+        address_kinds, dns_state, address_owners, url_scheme, url_host_port, url_decompose, url_path, url_pct, url_strip_tracking, url_normalize, url_dedupe, url_lexical, url_semantic, url_keywords, url_tld, host_entropy, url_entropy_flags, idn_forms,
         mixed_script, homograph_risk, official_domain, shortener, ip_host, unusual_port, threat_join, known_threats, unmask, stem_tokens, brand_match, brand_dl, brand_similarity, brand_near, brand_legacy,
         url_brands, url_score, url_verdict, url_risk_by_domain, url_compound, url_factors, brand_diff, dns_enrich, asn_join, redirect_chain,
     )
@@ -364,6 +380,12 @@ ORACLE_SQL = {
     "brand_near": f"{_PARTS}, {_STEMS}, tk AS (SELECT DISTINCT unnest({_TOKENS}) AS token FROM st) SELECT token, brand FROM tk, (SELECT unnest([{_list(fixed.LEGACY_BRANDS)}]) AS brand) WHERE damerau_levenshtein({_BYTE % 'token'}, brand) <= 1",
     "dns_enrich": f"{_PARTS}, dns AS ({_DNS}), g2 AS (SELECT host, count(DISTINCT ip) AS n_ips FROM dns GROUP BY 1), hh AS (SELECT DISTINCT host FROM n) SELECT host, coalesce(n_ips, 0) AS n_ips, coalesce(n_ips, 0) > 1 AS multiple_ips FROM hh LEFT JOIN g2 USING (host)",
     "asn_join": f"WITH dns AS (SELECT DISTINCT ip FROM ({_DNS})), b(prefix, asn, org) AS (VALUES {', '.join(f'({_q(p)}, {_q(v[0])}, {_q(v[1])})' for p, v in fixed.ASN_PREFIXES.items())}) SELECT ip, arg_max(asn, length(prefix)) AS asn, arg_max(org, length(prefix)) AS org FROM dns LEFT JOIN b ON starts_with(ip || '.', prefix || '.') GROUP BY ip",
+    "address_kinds": rf"""{_PARTS}, dns AS ({_DNS}), hh AS (SELECT host FROM n UNION SELECT ip FROM dns) SELECT host, regexp_matches(host, '^\d+(\.\d+){{3}}$') AS is_ip, CASE WHEN regexp_matches(host, '^\d+(\.\d+){{3}}$') THEN 'IPv4' END AS version,
+ regexp_matches(host, '^(10\.|192\.168\.|127\.|172\.(1[6-9]|2\d|3[01])\.)\d+\.\d+') AS private FROM hh WHERE host IS NOT NULL""",
+    "dns_state": f"""{_PARTS}, dns AS ({_DNS}), hh AS (SELECT host FROM n UNION SELECT host FROM dns), k AS (SELECT host, count(DISTINCT ip) FILTER (NOT starts_with(host, 'cafe-1')) AS v FROM dns GROUP BY 1 UNION ALL SELECT host, 1 FROM hh WHERE regexp_matches(host, '^\\d+(\\.\\d+){{3}}$'))
+SELECT host, coalesce(v, 0) > 0 AS resolved, v IS NOT NULL AND v = 0 AS failed, coalesce(v, 0) AS n_v4, CAST(0 AS BIGINT) AS n_v6, CASE WHEN v > 0 THEN 'IPv4' END AS protocol, coalesce(v, 0) > 1 AS multiple FROM hh LEFT JOIN k USING (host) WHERE host IS NOT NULL""",
+    "address_owners": f"""WITH dns AS (SELECT DISTINCT CASE WHEN id % 7 = 0 THEN '10.0.0.' || CAST(id % 250 AS STRING) ELSE ip END AS ip FROM ({_DNS})), b(n, prefix, asn, org, country) AS (VALUES {', '.join(f'({n}, {_q(p)}, {_q(v[0])}, {_q(v[1])}, {_q(v[2])})' for n, (p, v) in enumerate(fixed.ASN_PREFIXES.items()))})
+SELECT ip, CASE WHEN starts_with(ip, '10.') THEN '{W.PRIVATE[0]}' ELSE arg_min(asn, n) END AS asn, CASE WHEN starts_with(ip, '10.') THEN '{W.PRIVATE[1]}' ELSE arg_min(org, n) END AS org, CASE WHEN starts_with(ip, '10.') THEN '{W.PRIVATE[2]}' ELSE arg_min(country, n) END AS country FROM dns LEFT JOIN b ON starts_with(ip, prefix) GROUP BY ip""",
     "redirect_chain": f"""WITH RECURSIVE hop AS ({_HOPS}), w(src, final, chain) AS (
   SELECT src, dst, [src, dst] FROM hop UNION ALL SELECT w.src, hop.dst, list_append(chain, hop.dst) FROM w JOIN hop ON hop.src = w.final WHERE len(chain) < 6 AND NOT list_contains(chain, hop.dst))
 SELECT src, final, CAST(len(chain) - 1 AS INT) AS hops, array_to_string(chain, ' > ') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY len(chain) DESC) AS rn FROM w) WHERE rn = 1""",

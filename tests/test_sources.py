@@ -69,3 +69,21 @@ def test_fan_out(spark, tmp_path):
     sinks.fan_out(rows.where("batch = 'd2'").withColumn("risk_score", F.lit(1)), factors, entities, folder)
     again = state()
     assert again["analyses"] != first["analyses"] and again["evidence"] == first["evidence"] and sinks.analysis(spark, folder, 1).first().risk_score == 7
+
+
+def test_generate(spark):
+    """Against a plain filling of slots; a slot may be there several times or not at all."""
+    slots = {"a": ["x", "yy", "zzz"], "b.c": ["$1", "\\"]}
+
+    def plain(text, turn):
+        for name, values in slots.items():
+            while "{" + name + "}" in text:
+                text = text.replace("{" + name + "}", values[(turn + len(text)) % len(values)], 1)
+                turn += 1
+        return text
+
+    templates = ["{a} and {a}, {b.c}", "none", "{b.c}{a}{a}{a}é", "{bxc} {", ""]
+    rows = spark.createDataFrame([("l", "train", n, t) for n, t in enumerate([*templates, None])], "label string, split string, number int, template string")
+    got = sorted((r.template_id, r.text or "") for r in labelled.generate(rows, slots, variants=3).collect())
+    want = sorted((f"l:train:{n}", plain(t, n * 7 + v * 3) if t is not None else "") for n, t in enumerate([*templates, None]) for v in range(3))
+    assert got == want
