@@ -116,11 +116,22 @@ ca AS (SELECT msg_id, type, CASE WHEN type = 'domain' THEN host ELSE raw END AS
  UNION ALL SELECT msg_id, 'locality', substr(text, CAST(instr(lower(text), p) AS BIGINT), length(p)), instr(lower(text), p) - 1, instr(lower(text), p) - 1 + length(p), p FROM msg, (SELECT unnest([{', '.join(_Q(x) for x in fixed.LOCALITIES)}]) AS p) WHERE contains(lower(text), p)),
 fi AS (SELECT msg_id, type, canonical, arg_min(raw, start) AS raw, CAST(min(start) AS INT) AS start, CAST(arg_min(stop, start) AS INT) AS stop
  FROM ca WHERE type <> 'email' OR NOT EXISTS (SELECT 1 FROM ca u WHERE u.msg_id = ca.msg_id AND u.type = 'upi' AND u.start <= ca.start AND u.stop >= ca.stop) GROUP BY ALL)"""
+# The earliest mention of each brand, and brands of messages that link elsewhere.
+_NAMES = ", ".join(f"({_Q(k)}, {_Q(n)}, {_Q(v['display'])})" for k, v in fixed.BRANDS.items() for n in [k, *v["aliases"]])
+_MENTION = f"""nm(brand, spelling, display) AS (VALUES {_NAMES}),
+hb AS (SELECT msg_id, lower(text) AS low, brand, display, '(^|[^a-z0-9])' || regexp_escape(spelling) || '([^a-z0-9]|$)' AS pat FROM msg JOIN nm ON contains(lower(msg.text), spelling)),
+br AS (SELECT msg_id, brand, any_value(display) AS display, CAST(min(length(string_split_regex(low, pat)[1]) + length(regexp_extract(low, pat, 1))) AS INT) AS start FROM hb WHERE regexp_matches(low, pat) GROUP BY ALL)"""
+_OWN = ", ".join(f"({_Q(k)}, {_Q(d)})" for k, v in fixed.BRANDS.items() for d in v["domains"])
+_CONFLICT = f"""ow(brand, official) AS (VALUES {_OWN}), do_ AS (SELECT msg_id, raw AS host, canonical, start FROM fi WHERE type = 'domain'),
+co AS (SELECT msg_id, brand, linked_domain FROM br JOIN (SELECT msg_id, arg_min(canonical, start) AS linked_domain FROM do_ GROUP BY 1) USING (msg_id)
+ WHERE NOT EXISTS (SELECT 1 FROM do_ JOIN ow ON host = official OR ends_with(host, '.' || official) WHERE do_.msg_id = br.msg_id AND ow.brand = br.brand))"""
 _SENDERS = f"{MSG}, se AS (SELECT msg_id, {SENDER} AS raw FROM msg)"
 
 QUERIES = {f.__name__: f for f in (entity_patterns, sender_entities, brand_first_mention, entities_all, entities_by_type_counts, entities_documents, brand_domain_conflict, indicator_sightings, fold_messages, intent_hits, benign_hits, scam_class, rf_intent, risk_band)}
 
 ORACLE_SQL = {
+    "brand_first_mention": f"{MSG}, {_MENTION} SELECT msg_id, brand AS canonical, display, start FROM br",
+    "brand_domain_conflict": f"{_SPANS}, {_MENTION}, {_CONFLICT} SELECT msg_id, brand, linked_domain, substr(text, start + 1, greatest(1, length(brand))) AS evidence FROM co JOIN br USING (msg_id, brand) JOIN msg USING (msg_id)",
     "entity_patterns": f"{_SPANS} SELECT msg_id, type, raw, canonical, substr(sha256(type || ':' || canonical), 1, 32) AS hash, start, stop FROM fi",
     "sender_entities": f"{_SENDERS} SELECT msg_id, CASE WHEN raw LIKE '+91%' THEN 'phone' ELSE 'sender_id' END AS type, raw, CASE WHEN raw LIKE '+91%' THEN raw ELSE lower(raw) END AS canonical, CAST(CASE WHEN raw LIKE '+91%' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM se WHERE raw IS NOT NULL",
     "fold_messages": f"{_FOLDED} SELECT msg_id, folded FROM fo",

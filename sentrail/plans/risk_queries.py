@@ -12,7 +12,8 @@ from sentrail.operators import fusion as R
 from sentrail.operators import intent as I
 from sentrail.operators import text as T
 from sentrail.operators import urls as U
-from sentrail.plans.message_queries import _CLASS, _SCORES, SENDER
+from sentrail.plans.message_queries import _CLASS, _CONFLICT, _FAMILIES, _MENTION, _SCORES, _SPANS, SENDER
+from sentrail.plans.text_queries import MSG
 from sentrail.plans.report_queries import reports
 from sentrail.sources.shared import written
 from sentrail.sources.tables import messages, MSG_SQL
@@ -216,9 +217,20 @@ _ANY = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) +
 ORACLE_SQL = {
     "sender_roles": f"{_MSGS}, s AS (SELECT msg_id, {SENDER} AS sender FROM msg) SELECT msg_id, {_ROLE} AS role FROM s",
     "rf_reputation": f"""{_BEFORE} SELECT msg_id, CAST(sum(least(10, 3 + 2.5 * least(3, report_count))) AS DOUBLE) AS weight, count(*) AS n FROM bf WHERE report_count > 0 OR sighting_count > 1 GROUP BY msg_id""",
+    "rf_context": rf"""{_SPANS}, {_MENTION}, {_CONFLICT}{_FAMILIES[len(MSG):]}, se AS (SELECT msg_id, {SENDER} AS sender FROM msg),
+cx AS (SELECT msg_id, EXISTS (SELECT 1 FROM br WHERE br.msg_id = fa.msg_id) AS brand, {_ROLE} AS role, EXISTS (SELECT 1 FROM fi WHERE fi.msg_id = fa.msg_id AND type = 'upi') AS upi, EXISTS (SELECT 1 FROM fi WHERE fi.msg_id = fa.msg_id AND type = 'url') AS url,
+ regexp_matches(text, '(^|[^0-9])(\+?91[\-\s.]?|0)?[6-9]\d{{4}}[\-\s.]?\d{{5}}([^0-9]|$)') AS phone, {' + '.join(f'n_{f}' for f in R.PRESSURE)} > 0 AS pressed, {' + '.join(f'n_{f}' for f in R.CALLBACK)} > 0 AS called FROM fa JOIN se USING (msg_id) JOIN msg USING (msg_id))
+SELECT msg_id, 'Brand / domain mismatch' AS name, CAST(7 AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY brand) AS rn FROM co) WHERE rn <= 3
+UNION ALL SELECT msg_id, 'Bank/brand message from a personal number', 6.0 FROM cx WHERE brand AND role = 'phone' UNION ALL SELECT msg_id, 'Payment handle inside a pressure message', 6.0 FROM cx WHERE upi AND pressed
+UNION ALL SELECT msg_id, 'Callback number is the only channel offered', 5.0 FROM cx WHERE phone AND NOT url AND called""",
     "asof_message_reputation": f"""{_BEFORE} SELECT msg_id, substr(sha256(type || ':' || lower(value)), 1, 32) AS hash, sighting_count, report_count,
  CAST(least(10, 3 + 2.5 * least(3, report_count)) AS DOUBLE) AS weight FROM bf WHERE report_count > 0 OR sighting_count > 1""",
     "rf_intent_factors": f"""{_CLASS}, fr AS ({' UNION ALL '.join(f"SELECT msg_id, '{fixed.INTENT_LABELS[k]}' AS name, round({w} * (1 + 0.25 * least(2, n_{k} - 1)), 2) AS weight, n_{k} || ' matching phrase(s)' AS observed, 'rule:intent' AS source FROM cl WHERE n_{k} > 0" for k, w in fixed.INTENT_WEIGHTS.items())}
  UNION ALL SELECT msg_id, 'Matches a known ' || replace(scam_category, '_', ' ') || ' pattern', round(least(11.0, 4.5 + 1.8 * top_score), 2), len(list_filter([{_SCORES}], lambda x: x.s IS NOT NULL)) || ' candidate class(es); strongest: ' || CASE scam_category {' '.join(f"WHEN '{k}' THEN '{v['label']}'" for k, v in fixed.SCAM_CLASSES.items())} END, 'rule:scam_template' FROM cl WHERE top_score > 0)
 SELECT msg_id, name, CAST(weight AS DOUBLE) AS weight, observed, source FROM fr""",
 }
+
+# Sightings of hard indicators are a query over messages, but their SQL stands on the table above.
+ORACLE_SQL["indicator_sightings"] = f"{_HARD} SELECT type, substr(sha256(type || ':' || lower(value)), 1, 32) AS hash, count(*) AS n, min(strftime(o_orderdate, '%Y-%m-%d')) AS first_day, max(strftime(o_orderdate, '%Y-%m-%d')) AS last_day FROM hard JOIN orders ON o_orderkey = msg_id GROUP BY ALL"
+ORACLE_SQL["evidence_span"] = rf"""{_FAMILIES}, sp AS (SELECT msg_id, text, folded, regexp_extract(folded, '\b(?:immediately|blocked|expired|arrest)\b', 0, 'i') AS g FROM fa JOIN msg USING (msg_id)), pz AS (SELECT *, instr(lower(text), lower(g)) AS o, instr(folded, g) AS f FROM sp)
+SELECT msg_id, CASE WHEN g = '' THEN NULL WHEN o > 0 THEN substr(text, o, length(g)) ELSE trim(substr(folded, greatest(1, f - 24), f + length(g) + 24 - greatest(1, f - 24))) END AS span FROM pz"""
