@@ -317,6 +317,22 @@ def _entropy(x: str) -> str:
     return f"CASE WHEN length({x}) <= 1 THEN 0.0 ELSE round(coalesce((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / length({x}) AS p FROM (SELECT unnest(string_split({x}, '')) AS ch) GROUP BY ch)), 0), 3) END"
 
 
+# Hosts of URL_SQL whose letters are shown in ASCII form; DuckDB has no IDNA.
+_ASCII = ", ".join(f"({_q(h)}, {_q(h.encode('idna').decode())})" for h in (f"\u0430pple-id{k}.com" for k in range(20)))
+_NORMAL = f"""{_PARTS}, pn(d, ascii_domain) AS (VALUES {_ASCII}),
+nz AS (SELECT n.* REPLACE (CASE WHEN homograph_risk = 'CRITICAL' THEN replace(normalized, '://' || domain, '://' || coalesce(ascii_domain, domain)) ELSE normalized END AS normalized) FROM n LEFT JOIN pn ON d = domain)"""
+_COUNT = lambda c: f"length(normalized) - length(replace(normalized, '{c}', ''))"
+_FILLED = lambda part, mark: f"CAST(len(list_filter(string_split({part}, '{mark}'), lambda x: x <> '')) AS INT)"
+_SPECIAL = r"len(regexp_extract_all(normalized, '[^\p{L}\p{N}/:]'))"
+_DIGITS = r"len(regexp_extract_all(normalized, '\p{Nd}'))"
+_LEXICAL = f"""CAST(length(normalized) AS INT) AS url_length, CAST(length(domain) AS INT) AS domain_length, {_FILLED('subdomain', '.')} AS subdomain_count, CAST(length(path) AS INT) AS path_length, CAST(length(query) AS INT) AS query_length,
+CAST({_COUNT('.')} AS INT) AS dot_count, CAST({_COUNT('-')} AS INT) AS hyphen_count, CAST({_COUNT('_')} AS INT) AS underscore_count, CAST({_DIGITS} AS INT) AS digit_count, CAST({_SPECIAL} AS INT) AS special_count,
+round_even({_DIGITS} / greatest(length(normalized), 1), 4) AS digit_ratio, round_even({_SPECIAL} / greatest(length(normalized), 1), 4) AS special_ratio, {_FILLED('path', '/')} AS path_depth, {_FILLED('query', '&')} AS parameter_count,
+coalesce(port NOT IN (80, 443), false) AS unusual_port, contains(normalized, '@') OR contains(url, '@') AS has_at, regexp_matches(normalized, '%[0-9a-fA-F]{{2}}') OR regexp_matches(url, '%[0-9a-fA-F]{{2}}') AS has_percent, contains(regexp_replace(url, '^.*?://', ''), '//') AS double_slash"""
+_TRIMMED = "trim(path, '/')"
+_LONG = lambda part, n: f"CASE WHEN length({part}) > {n} THEN {_entropy(part)} ELSE 0.0 END"
+_ENTROPIES = f"""{_NORMAL}, et AS (SELECT url, domain, subdomain, query, {_TRIMMED} AS tr FROM nz), es AS (SELECT *, {_entropy('domain')} AS domain_entropy, {_LONG('subdomain', 2)} AS subdomain_entropy, {_LONG('tr', 3)} AS path_entropy, {_LONG('query', 3)} AS query_entropy FROM et)"""
+
 _GROUPS = ", ".join("CASE " + " ".join(f"WHEN contains(lower(normalized), {_q(v)}) THEN {_q(v)}" for v in vs) + " END" for vs in fixed.SEMANTIC_GROUPS.values())
 _SEMANTIC = f"list_filter([{_GROUPS}], lambda x: x IS NOT NULL)"
 _KEYWORDS = f"list_sort(list_distinct(list_concat({_SEMANTIC}, list_filter([{_list(fixed.SUSPICIOUS_WORDS)}], lambda w: contains(lower(normalized), w) OR contains(lower(url), w)))))"
@@ -358,6 +374,11 @@ ORACLE_SQL = {
     "url_scheme": f"{_PARTS} SELECT url, scheme FROM n",
     "url_host_port": f"{_PARTS} SELECT url, host, coalesce(port, -1) AS port FROM n",
     "url_decompose": f"{_PARTS} SELECT url, subdomain, registered_domain, tld, domain, is_ip FROM n",
+    "url_normalize": f"{_NORMAL} SELECT url, normalized FROM nz",
+    "url_dedupe": f"{_NORMAL} SELECT normalized, count(*) AS n, min(url) AS first_url FROM nz GROUP BY 1",
+    "url_lexical": f"{_NORMAL} SELECT url, {_LEXICAL} FROM nz",
+    "url_entropy_flags": f"""{_ENTROPIES} SELECT url, domain_entropy, path_entropy, domain_entropy >= 3.8 AND length(domain) >= 8 AS high_domain, subdomain_entropy >= 3.8 AND length(subdomain) >= 8 AS high_subdomain,
+ path_entropy >= 4.0 AND length(tr) >= 14 AS high_path, query_entropy >= 4.2 AND length(query) >= 20 AS high_query FROM es""",
     "url_path": f"{_PARTS} SELECT url, path FROM n",
     "url_strip_tracking": f"{_PARTS} SELECT url, query, stripped FROM n",
     "url_tld": f"{_PARTS} SELECT url, tld, tld IN ({_list(fixed.SUSPICIOUS_TLDS)}) OR list_last(string_split(tld, '.')) IN ({_list(fixed.SUSPICIOUS_TLDS)}) AS suspicious_tld FROM n",
