@@ -92,9 +92,9 @@ def campaign_stats(of_report: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def activation(of_report: DataFrame, reports: DataFrame, size: int = 3) -> DataFrame:
-    """When each campaign got its third report."""
-    order = Window.partitionBy("campaign").orderBy("created_at", "report_id")
-    return of_report.join(reports.select("report_id", "created_at"), "report_id").withColumn("n", F.row_number().over(order)).where(F.col("n") == size).select("campaign", F.col("created_at").alias("activated_at"), "report_id")
+    """When each campaign got its third report; places are counted over ranges, so a campaign may have any size."""
+    placed = ranked(of_report.join(reports.select("report_id", "created_at"), "report_id"), "campaign", ["created_at", "report_id"])
+    return placed.where(F.col("n") == size).select("campaign", F.col("created_at").alias("activated_at"), "report_id")
 
 
 def nodes(of_report: DataFrame, mentions: DataFrame) -> DataFrame:

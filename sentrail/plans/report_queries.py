@@ -5,7 +5,6 @@ Reports are made from orders, customers and nations; mentions from all line item
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sentrail.operators import correlate as C
@@ -184,8 +183,8 @@ def template_links(spark, sf):
 
 
 def first_reports(spark, sf):
-    order = Window.partitionBy("reporter").orderBy("created_at", "report_id")
-    return reports(spark, sf).withColumn("n", F.row_number().over(order)).where("n = 1").select("reporter", "report_id", "category")
+    first = F.min(F.struct("created_at", "report_id", "category")).alias("first")
+    return reports(spark, sf).groupBy("reporter").agg(first).select("reporter", "first.report_id", "first.category")
 
 
 def campaign_links(spark, sf):
