@@ -11,8 +11,10 @@ entry (context and next symbol) of depth k - 1. A score in the longest context i
 token: an entry adds log(1 + n / ((strength + rest) * p of its suffix)), a context adds the log of the mass that it
 leaves to its suffix. So scoring is one join of runs with weights for each size of run. Weights of words and runs of at
 least ``table_share`` and ``HOT_SHARE`` of all tokens are broadcast (at most 1 / share of them each, at any size); all
-others are joined. There are several runs for every token, so the runs of each size are counted and joined in passes
-over the texts, each of which shuffles its share of them.
+others are joined. There are several runs for every token. Pairs are counted in passes by residue, each of which
+shuffles its share of them; longer runs are counted only where a bit table of a fixed size says that all their pairs
+were found, and a token asks only for runs that such a table says have a weight. A table may say yes wrongly, which
+costs work and changes no result.
 
 ``train`` and ``Tree`` are the plain form in memory, with a symbol for rare words, for comparison on small corpora.
 """
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 
 from sentrail.llm._text import chunks, mix, NOT_SPACE, tidily, Words, written
 from sentrail.llm.crf import fold_of
+from sentrail.llm.phrasemine import _within_filter, bit_table
 from sentrail.sources.shared import Scratch
 
 FOLDS, HELD_OUT, DEPTH = 7, 2, 3
 SHARE, ENTRY_SHARE, TABLE_SHARE = 1e-5, 1e-6, 2e-7
 LEAST, HOT_SHARE = 2, 2e-6
 PASSES = 2
+FILTER_BITS = 27
 TURN = 17
 STRENGTH = 10.0
 END_WORD = np.uint64(0x1234567890ABCDEF)
@@ -312,19 +316,31 @@ def _shorter(run, word):
     return F.shiftleft(x, 64 - TURN).bitwiseOR(F.shiftrightunsigned(x, TURN))
 
 
-def _run_counts(texts: DataFrame, size: int, part: int, parts: int) -> DataFrame:
-    """g, y (last word) and n of the runs of one size and one residue of g; sums are made in each chunk before the shuffle."""
+def _run_counts(texts: DataFrame, sizes: list[int], part: int, parts: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """size, g, y (last word) and n of the runs of some sizes and one residue of g; sums are made in each chunk before the shuffle.
+
+    With a bit table ``pairs`` only runs all of whose pairs of neighbours are in it are counted.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
 
     def count(batches):
+        table = sent.value if sent is not None else None
         for batch in batches:
             for piece in chunks(batch, "text"):
                 tokens, first = tokens_of(piece.column(0))
-                *_, (h, at) = runs(tokens, first, size - 1)
-                mine = h.view(np.int64) % parts == part
-                g, one, n = np.unique(h[mine], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(tokens[at[mine][one]].view(np.int64)), pa.array(n)], names=["g", "y", "n"])
+                found = dict(enumerate(runs(tokens, first, max(sizes) - 1), 2))
+                if table is not None:
+                    seen, (h, at) = np.zeros(len(tokens), dtype=bool), found[2]
+                    seen[at] = _within_filter(table, h)
+                for size in sizes:
+                    h, at = found[size]
+                    ok = h.view(np.int64) % parts == part
+                    for k in range(size - 1 if table is not None else 0):
+                        ok &= seen[at - k]
+                    g, one, n = np.unique(h[ok], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int32)), pa.array(g.view(np.int64)), pa.array(tokens[at[ok][one]].view(np.int64)), pa.array(n)], names=["size", "g", "y", "n"])
 
-    return texts.mapInArrow(tidily(count), "g long, y long, n long").groupBy("g", "y").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidily(count), "size int, g long, y long, n long").groupBy("size", "g", "y").agg(F.sum("n").alias("n"))
 
 
 def _part(df: DataFrame, key: str, part: int, parts: int) -> DataFrame:
@@ -341,7 +357,11 @@ def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, tables: Scratch, *
     floor, end = F.lit(float(n + v + 1)), int(END_WORD.view(np.int64))
     base = (F.col("n_y") + 1) / floor
     each = range(passes)
-    found = {size: tables.keep(f"found{size}", [_run_counts(texts, size, j, passes).where(F.col("n") >= entry_least) for j in each]) for size in range(2, depth + 2)}
+    found = {2: tables.keep("found2", [_run_counts(texts, [2], j, passes).where(F.col("n") >= entry_least) for j in each])}
+    if depth > 1:  # a run that is there so often has pairs that are
+        longer = _run_counts(texts, list(range(3, depth + 2)), 0, 1, bit_table(found[2].select(F.col("g").alias("h")), FILTER_BITS))
+        longer = tables.keep("longer", [longer.where(F.col("n") >= entry_least)])
+        found |= {size: longer.where(F.col("size") == size) for size in range(3, depth + 2)}
     entries: list[DataFrame] = []
     for d in range(1, depth + 1):
         f = found[d + 1].withColumn("c", _shorter(F.col("g"), F.col("y")))
@@ -356,7 +376,8 @@ def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, tables: Scratch, *
             up = _longer(F.col("c_up"), F.col("y"))
         pieces = [_part(f, "c", j, passes).join(_part(context, "c", j, passes), "c").withColumn("up", up).join(suffix, "up").select("g", "y", "n", "up", "total", "n_y", "n_up", "total_up") for j in each]
         entries.append(tables.keep(f"entries{d}", pieces))
-        tables.drop(f"found{d + 1}")
+    tables.drop("found2")
+    tables.drop("longer")
 
     def with_context(d):
         e, up = entries[d - 1], _shorter(F.col("up"), F.col("y")) if d > 1 else F.lit(0).cast("long")
@@ -407,7 +428,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     training and get one result each, the same for rows of equal id and text. An empty table gives an empty result.
     Words, runs and texts of one id are told apart by 64-bit hashes. Other columns are not read. Contexts and entries
     need ``LEAST`` occurrences, or ``share`` and ``entry_share`` of the tokens where those are given; ``table_share``,
-    ``hot_share`` and ``passes`` (how often texts are read again for each size of run, against disk) have no effect
+    ``hot_share`` and ``passes`` (in how many parts pairs are counted and runs joined, against disk) have no effect
     on results.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -419,69 +440,57 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     tables = Scratch(docs.sparkSession)
     words, weights = grow(texts, counts, n, v, tables, depth=depth, least=max(LEAST, share * n), entry_least=max(LEAST, entry_share * n), strength=strength, passes=passes)
     hot = words.where(F.col("n") >= max(1, table_share * n)).toArrow()  # 1 / table_share rows at most
-    every = reduce(DataFrame.unionByName, weights.values())
-    hot_runs = every.where(F.col("n") >= max(1, hot_share * n)).groupBy("g").agg(F.sum("w").alias("w")).toArrow()  # depth / hot_share rows at most
+    every = tables.keep("every", [reduce(DataFrame.unionByName, weights.values()).groupBy("g").agg(F.max("n").alias("n"), F.sum("w").alias("w"))])
+    for size in weights:
+        tables.drop(f"weights{size - 1}")
+        tables.drop(f"kept{size}")
+    hot_runs = every.where(F.col("n") >= max(1, hot_share * n)).select("g", "w").toArrow()  # depth / hot_share rows at most
     column = lambda t, c: np.asarray(t[c].to_numpy())
     broadcast = docs.sparkSession.sparkContext.broadcast
     known = broadcast((Table(column(hot, "key").view(np.uint64)), np.log10((column(hot, "n") + 1) / (n + v + 1)), column(hot, "w")))
-    often = broadcast((Table(column(hot_runs, "g").view(np.uint64)), column(hot_runs, "w")))
+    often = broadcast((Table(column(hot_runs, "g").view(np.uint64)), column(hot_runs, "w"), bit_table(every.select(F.col("g").alias("h")), FILTER_BITS)))
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 tokens, first = tokens_of(part.column(1))
-                (table, log_base, left), (runs_table, w) = known.value, often.value
+                (table, log_base, left), (runs_table, w, used) = known.value, often.value
                 at = table.find(tokens)
                 has = at >= 0
                 base, total = np.zeros(len(tokens)), np.zeros(len(tokens))
                 base[has], total[has] = log_base[at[has]], left[at[has]]
                 total += base
+                row_of, others = np.repeat(np.arange(part.num_rows), np.diff(first)), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
                 for h, place in runs(tokens, first, depth):
                     got = runs_table.find(h)
                     total[place[got >= 0]] += w[got[got >= 0]]
-                row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
+                    rest = np.flatnonzero(got < 0)
+                    rest = rest[_within_filter(used, h[rest])]
+                    others.append((h[rest], row_of[place[rest]]))
                 add = lambda x: np.bincount(row_of, weights=x, minlength=part.num_rows)  # noqa: B023, E731
                 out = np.flatnonzero(~has)
                 offs = np.searchsorted(row_of[out], np.arange(part.num_rows + 1))
                 rare = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(tokens[out].view(np.int64)))
-                columns = [part.column(0), part.column(2), pa.array(np.diff(first), pa.int64()), pa.array(add(has).astype(np.int64)), pa.array(add(base)), pa.array(add(total)), rare]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_tokens", "known", "base", "total", "rare"])
-
-    def seen(size, residue):
-        """Runs of one size and residue that the broadcast table lacks, each with its row."""
-
-        def emit(batches):
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    tokens, first = tokens_of(part.column(1))
-                    *_, (h, place) = runs(tokens, first, size - 1)
-                    mine = h.view(np.int64) % passes == residue
-                    h, place = h[mine], place[mine]
-                    left = often.value[0].find(h) < 0
-                    rows = part.column(2).to_numpy()[np.searchsorted(first, place[left], side="right") - 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(h[left].view(np.int64))], names=["row", "g"])
-
-        return emit
-
-    # Texts are read several times, so rows go by a hash of their content and not by their place in the table.
+                more, owner = (np.concatenate(x) for x in zip(*others, strict=True))
+                order = np.argsort(owner, kind="stable")
+                offs = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
+                found = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(more[order].view(np.int64)))
+                columns = [part.column(0), part.column(2), pa.array(np.diff(first), pa.int64()), pa.array(add(has).astype(np.int64)), pa.array(add(base)), pa.array(add(total)), rare, found]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_tokens", "known", "base", "total", "rare", "found"])
+
+    # Rows go by a hash of their content and not by their place in the table.
     source = source.withColumn("row", F.xxhash64("id", "text"))
-    parts = written(source.mapInArrow(tidily(run), f"id {kind}, row long, n_tokens long, known long, base double, total double, rare array<long>"))
+    parts = written(source.mapInArrow(tidily(run), f"id {kind}, row long, n_tokens long, known long, base double, total double, rare array<long>, found array<long>"))
     rare = parts.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
     none, zero = F.lit(0).cast("long"), F.lit(0.0)
     more = rare.select("row", none.alias("copies"), F.col("n").isNotNull().cast("long").alias("more"), F.log10((F.coalesce("n", none) + 1) / F.lit(float(n + v + 1))).alias("log"), F.coalesce("w", zero).alias("w"))
     more = more.unionByName(parts.select("row", F.lit(1).cast("long").alias("copies"), none.alias("more"), zero.alias("log"), zero.alias("w")))
-    for size, w in weights.items():
-        pieces = []
-        for j in range(passes):
-            own = _part(w, "g", j, passes).groupBy("g").agg(F.sum("w").alias("w"))
-            occurring = source.mapInArrow(tidily(seen(size, j)), "row long, g long")
-            pieces.append(occurring.join(own, "g").groupBy("row").agg(F.sum("w").alias("w")))
-        more = more.unionByName(tables.keep(f"scores{size}", pieces).select("row", none.alias("copies"), none.alias("more"), zero.alias("log"), "w"))
-        for name in [f"weights{size - 1}", f"kept{size}"]:
-            tables.drop(name)
+    occurring = parts.select("row", F.explode("found").alias("g"))
+    pieces = [_part(occurring, "g", j, passes).join(_part(every, "g", j, passes).select("g", "w"), "g").groupBy("row").agg(F.sum("w").alias("w")) for j in range(passes)]
+    more = more.unionByName(tables.keep("scores", pieces).select("row", none.alias("copies"), none.alias("more"), zero.alias("log"), "w"))
     copies = F.sum("copies")
     more = more.groupBy("row").agg(F.expr("sum(more) div sum(copies)").alias("more"), (F.sum("log") / copies).alias("log"), (F.sum("w") / copies).alias("w"))
-    return parts.drop("rare").join(more, "row").select(
+    return parts.drop("rare", "found").join(more, "row").select(
         F.col("id").alias(doc_id),
         (fold == held_out).alias("held_out"),
         "n_tokens",
