@@ -11,8 +11,8 @@ entry (context and next symbol) of depth k - 1. A score in the longest context i
 token: an entry adds log(1 + n / ((strength + rest) * p of its suffix)), a context adds the log of the mass that it
 leaves to its suffix. So scoring is one join of runs with weights for each size of run. Weights of words and runs of at
 least ``table_share`` and ``HOT_SHARE`` of all tokens are broadcast (at most 1 / share of them each, at any size); all
-others are joined. There are several runs for every token. Pairs are counted in passes by residue, each of which
-shuffles its share of them; longer runs are counted only where a bit table of a fixed size says that all their pairs
+others are joined. There are several runs for every token. Runs are counted in passes by residue, each of which
+shuffles its share of them; longer ones than pairs are counted only where a bit table of a fixed size says that all their pairs
 were found, and a token asks only for runs that such a table says have a weight. A table may say yes wrongly, which
 costs work and changes no result.
 
@@ -359,8 +359,8 @@ def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, tables: Scratch, *
     each = range(passes)
     found = {2: tables.keep("found2", [_run_counts(texts, [2], j, passes).where(F.col("n") >= entry_least) for j in each])}
     if depth > 1:  # a run that is there so often has pairs that are
-        longer = _run_counts(texts, list(range(3, depth + 2)), 0, 1, bit_table(found[2].select(F.col("g").alias("h")), FILTER_BITS))
-        longer = tables.keep("longer", [longer.where(F.col("n") >= entry_least)])
+        pairs = bit_table(found[2].select(F.col("g").alias("h")), FILTER_BITS)
+        longer = tables.keep("longer", [_run_counts(texts, list(range(3, depth + 2)), j, passes, pairs).where(F.col("n") >= entry_least) for j in each])
         found |= {size: longer.where(F.col("size") == size) for size in range(3, depth + 2)}
     entries: list[DataFrame] = []
     for d in range(1, depth + 1):
@@ -428,7 +428,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     training and get one result each, the same for rows of equal id and text. An empty table gives an empty result.
     Words, runs and texts of one id are told apart by 64-bit hashes. Other columns are not read. Contexts and entries
     need ``LEAST`` occurrences, or ``share`` and ``entry_share`` of the tokens where those are given; ``table_share``,
-    ``hot_share`` and ``passes`` (in how many parts pairs are counted and runs joined, against disk) have no effect
+    ``hot_share`` and ``passes`` (in how many parts runs are counted and joined, against disk) have no effect
     on results.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
