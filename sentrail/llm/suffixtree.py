@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrail.llm._text import chunks, mix, NOT_SPACE, tidily, Words, written
+from sentrail.llm._text import buffers, chunks, mix, NOT_SPACE, tidily, Words, written
 from sentrail.llm.crf import fold_of
 from sentrail.llm.phrasemine import _within_filter, bit_table
 from sentrail.sources.shared import Scratch
@@ -39,6 +39,7 @@ SHARE, ENTRY_SHARE, TABLE_SHARE = 1e-5, 1e-6, 2e-7
 LEAST, HOT_SHARE = 2, 2e-6
 PASSES = 2
 FILTER_BITS = 27
+HELD, PACKED_BYTES = 1 << 20, 32 << 20
 TURN = 17
 STRENGTH = 10.0
 END_WORD = np.uint64(0x1234567890ABCDEF)
@@ -316,15 +317,51 @@ def _shorter(run, word):
     return F.shiftleft(x, 64 - TURN).bitwiseOR(F.shiftrightunsigned(x, TURN))
 
 
-def _run_counts(texts: DataFrame, sizes: list[int], part: int, parts: int, pairs: np.ndarray | None = None) -> DataFrame:
-    """size, g, y (last word) and n of the runs of some sizes and one residue of g; sums are made in each chunk before the shuffle.
+def _partitions(spark, entries: float) -> int:
+    """Partitions in which so many packed entries take some 32 MB each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries * 20 / PACKED_BYTES) + 1)
 
-    With a bit table ``pairs`` only runs all of whose pairs of neighbours are in it are counted.
+
+def _packed(key: np.ndarray, parts: int, *others: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Ascending keys and columns beside them as bytes, one row for each partition (a range of keys) that has some."""
+    to = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    cuts = np.append(np.flatnonzero(np.diff(to, prepend=np.uint64(parts))), len(to))
+    as_bytes = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    return to[cuts[:-1]].astype(np.int32), [as_bytes(x) for x in (key, *others)]
+
+
+def _unpacked(col: pa.Array, kind) -> np.ndarray:
+    """All values in the bytes of a packed column."""
+    return np.frombuffer(buffers(col)[0].tobytes(), kind)
+
+
+def _merged(g: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs in ascending order, their last words and the sums of their counts."""
+    order = np.argsort(g)
+    g, y, n = g[order], y[order], n[order]
+    one = np.flatnonzero(np.diff(g, prepend=~g[:1]))
+    return g[one], y[one], np.add.reduceat(n, one) if len(one) else n
+
+
+def _run_counts(texts: DataFrame, sizes: list[int], part: int, parts: int, least: float, entries: float, pairs: np.ndarray | None = None) -> DataFrame:
+    """size, g, y (last word) and n of the runs of some sizes and one residue of g that occur ``least`` times.
+
+    Tasks sum up to ``HELD`` runs at a time and send them as packed bytes by ranges of g. Who receives them merges them
+    whenever ``HELD`` more have come, so a frequent run takes up no more than a rare one. With a bit table ``pairs``
+    only runs all of whose pairs of neighbours are in it are counted.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(pairs) if pairs is not None else None
+    to = _partitions(spark, entries / parts)
+
+    def flushed(size, held):
+        g, y, n = _merged(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+        where, columns = _packed(g, to, y, n.astype(np.uint32))
+        return pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.full(len(where), size, np.int32)), *columns], names=["to", "size", "g", "y", "n"])
 
     def count(batches):
         table = sent.value if sent is not None else None
+        held = {size: [] for size in sizes}
         for batch in batches:
             for piece in chunks(batch, "text"):
                 tokens, first = tokens_of(piece.column(0))
@@ -334,13 +371,95 @@ def _run_counts(texts: DataFrame, sizes: list[int], part: int, parts: int, pairs
                     seen[at] = _within_filter(table, h)
                 for size in sizes:
                     h, at = found[size]
-                    ok = h.view(np.int64) % parts == part
+                    ok = h % np.uint64(parts) == np.uint64(part)
                     for k in range(size - 1 if table is not None else 0):
                         ok &= seen[at - k]
-                    g, one, n = np.unique(h[ok], return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int32)), pa.array(g.view(np.int64)), pa.array(tokens[at[ok][one]].view(np.int64)), pa.array(n)], names=["size", "g", "y", "n"])
-
-    return texts.mapInArrow(tidily(count), "size int, g long, y long, n long").groupBy("size", "g", "y").agg(F.sum("n").alias("n"))
+                    held[size].append((h[ok], tokens[at[ok]], np.ones(int(ok.sum()), dtype=np.int64)))
+                    if sum(len(x[0]) for x in held[size]) >= HELD:
+                        yield flushed(size, held[size])
+                        held[size] = []
+        for size in sizes:
+            if held[size]:
+                yield flushed(size, held[size])
+
+    def merge(batches):
+        kept, fresh = {size: [] for size in sizes}, dict.fromkeys(sizes, 0)
+        squeeze = lambda held: _merged(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            for size in sizes:
+                some = batch.filter(pa.array(of == size))
+                got = [_unpacked(some.column(k), kind) for k, kind in ((2, np.uint64), (3, np.uint64), (4, np.uint32))]
+                kept[size].append((got[0], got[1], got[2].astype(np.int64)))
+                fresh[size] += len(got[0])
+                if fresh[size] >= HELD:
+                    kept[size], fresh[size] = [squeeze(kept[size])], 0
+        for size in sizes:
+            if kept[size]:
+                g, y, n = squeeze(kept[size])
+                often = n >= least
+                g, y, n = g[often], y[often], n[often]
+                for a in range(0, len(g), HELD):
+                    columns = [x[a : a + HELD].view(np.int64) for x in (g, y, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), size, np.int32)), *map(pa.array, columns)], names=["size", "g", "y", "n"])
+
+    sent_to = texts.mapInArrow(tidily(count), "to int, size int, g binary, y binary, n binary").repartitionById(to, "to")
+    return sent_to.mapInArrow(tidily(merge), "size int, g long, y long, n long")
+
+
+def _found_sums(parts: DataFrame, every: DataFrame, part: int, passes: int, entries: float) -> DataFrame:
+    """row and sums of the weights of the runs that its tokens ask for, of one residue of g; weights and tokens meet as packed bytes by ranges of g."""
+    to = _partitions(parts.sparkSession, entries / passes)
+
+    def flushed(kind, held):
+        g, x = (np.concatenate([h[k] for h in held]) for k in range(2))
+        order = np.argsort(g)
+        where, columns = _packed(g[order], to, x[order])
+        return pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.full(len(where), kind, np.int32)), *columns], names=["to", "kind", "g", "x"])
+
+    def sent(kind, arrays):
+        def run(batches):
+            held = []
+            for batch in batches:
+                g, x = arrays(batch)
+                mine = g % np.uint64(passes) == np.uint64(part)
+                held.append((g[mine], x[mine]))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield flushed(kind, held)
+                    held = []
+            if held:
+                yield flushed(kind, held)
+
+        return tidily(run)
+
+    def asked(batch):
+        lists = batch.column(1)
+        return lists.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+
+    def add_up(batches):
+        held, table = [], None
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            own, others = batch.filter(pa.array(of == 0)), batch.filter(pa.array(of == 1))
+            if len(own):
+                held.append((_unpacked(own.column(2), np.uint64), _unpacked(own.column(3), np.float64)))
+            if not len(others) or not held:
+                continue
+            if table is None:  # weights come before all tokens
+                g, w = (np.concatenate([h[k] for h in held]) for k in range(2))
+                order = np.argsort(g)
+                table = g[order], w[order]
+            h, row = _unpacked(others.column(2), np.uint64), _unpacked(others.column(3), np.int64)
+            at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+            hit = table[0][at] == h
+            rows, which = np.unique(row[hit], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(which, weights=table[1][at[hit]], minlength=len(rows)))], names=["row", "w"])
+
+    schema = "to int, kind int, g binary, x binary"
+    weights = every.select("g", "w").mapInArrow(sent(0, lambda b: (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy())), schema)
+    tokens = parts.select("row", "found").mapInArrow(sent(1, asked), schema)
+    together = weights.unionByName(tokens).repartitionById(to, "to").sortWithinPartitions("kind")
+    return together.mapInArrow(tidily(add_up), "row long, w double").groupBy("row").agg(F.sum("w").alias("w"))
 
 
 def _part(df: DataFrame, key: str, part: int, parts: int) -> DataFrame:
@@ -357,10 +476,10 @@ def grow(texts: DataFrame, counts: DataFrame, n: int, v: int, tables: Scratch, *
     floor, end = F.lit(float(n + v + 1)), int(END_WORD.view(np.int64))
     base = (F.col("n_y") + 1) / floor
     each = range(passes)
-    found = {2: tables.keep("found2", [_run_counts(texts, [2], j, passes).where(F.col("n") >= entry_least) for j in each])}
+    found = {2: tables.keep("found2", [_run_counts(texts, [2], j, passes, entry_least, n) for j in each])}
     if depth > 1:  # a run that is there so often has pairs that are
         pairs = bit_table(found[2].select(F.col("g").alias("h")), FILTER_BITS)
-        longer = tables.keep("longer", [_run_counts(texts, list(range(3, depth + 2)), j, passes, pairs).where(F.col("n") >= entry_least) for j in each])
+        longer = tables.keep("longer", [_run_counts(texts, list(range(3, depth + 2)), j, passes, entry_least, n * (depth - 1), pairs) for j in each])
         found |= {size: longer.where(F.col("size") == size) for size in range(3, depth + 2)}
     entries: list[DataFrame] = []
     for d in range(1, depth + 1):
@@ -485,8 +604,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds:
     none, zero = F.lit(0).cast("long"), F.lit(0.0)
     more = rare.select("row", none.alias("copies"), F.col("n").isNotNull().cast("long").alias("more"), F.log10((F.coalesce("n", none) + 1) / F.lit(float(n + v + 1))).alias("log"), F.coalesce("w", zero).alias("w"))
     more = more.unionByName(parts.select("row", F.lit(1).cast("long").alias("copies"), none.alias("more"), zero.alias("log"), zero.alias("w")))
-    occurring = parts.select("row", F.explode("found").alias("g"))
-    pieces = [_part(occurring, "g", j, passes).join(_part(every, "g", j, passes).select("g", "w"), "g").groupBy("row").agg(F.sum("w").alias("w")) for j in range(passes)]
+    pieces = [_found_sums(parts, every, j, passes, n * (depth + 1)) for j in range(passes)]
     more = more.unionByName(tables.keep("scores", pieces).select("row", none.alias("copies"), none.alias("more"), zero.alias("log"), "w"))
     copies = F.sum("copies")
     more = more.groupBy("row").agg(F.expr("sum(more) div sum(copies)").alias("more"), (F.sum("log") / copies).alias("log"), (F.sum("w") / copies).alias("w"))
