@@ -9,7 +9,8 @@ from sentrail.operators import entities as E
 from sentrail.operators import intent as I
 from sentrail.operators import text as T
 from sentrail.plans.text_queries import _Q, _TAMIL_SQL, _TANGLISH_SQL, MSG
-from sentrail.sources.tables import messages, read
+from sentrail.sources.shared import written
+from sentrail.sources.tables import messages, read, spread
 
 
 #: Senders made from customers; the same SQL runs in Spark and in DuckDB.
@@ -24,17 +25,17 @@ def entities_all(spark, sf):
 
 
 def entity_patterns(spark, sf):
-    found = E.extract(messages(spark, sf)).where(F.col("type").isin(*PATTERNS, "locality"))
+    found = E.extract(messages(spark, sf), kinds=[*PATTERNS, "locality"])
     return found.select("msg_id", "type", "raw", "canonical", "hash", "start", "stop")
 
 
 def sender_entities(spark, sf):
-    found = E.extract(messages(spark, sf).withColumn("sender", F.expr(SENDER)), sender="sender")
+    found = E.extract(messages(spark, sf).withColumn("sender", F.expr(SENDER)), sender="sender")  # a number in the text may be the sender's
     return found.where("start = -1").select("msg_id", "type", "raw", "canonical", "confidence")
 
 
 def brand_first_mention(spark, sf):
-    return E.extract(messages(spark, sf)).where("type = 'brand'").select("msg_id", "canonical", "display", "start")
+    return E.extract(messages(spark, sf), kinds=["brand"]).select("msg_id", "canonical", "display", "start")
 
 
 def entities_by_type_counts(spark, sf):
@@ -42,16 +43,16 @@ def entities_by_type_counts(spark, sf):
 
 
 def entities_documents(spark, sf):
-    return E.extract(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "type", "canonical")
+    return E.extract(spread(read(spark, sf, "documents").select("doc_id", "text")), "doc_id").select("doc_id", "type", "canonical")
 
 
 def brand_domain_conflict(spark, sf):
-    return E.brand_conflicts(E.extract(messages(spark, sf)))
+    return E.brand_conflicts(written(E.extract(messages(spark, sf), kinds=["brand", "domain"])))
 
 
 def indicator_sightings(spark, sf):
     """Hard indicators of messages: how often and when they were seen."""
-    hard = E.extract(messages(spark, sf)).where(F.col("type").isin("domain", "phone", "upi", "email", "ifsc"))
+    hard = E.extract(messages(spark, sf), kinds=["domain", "phone", "upi", "email", "ifsc"])
     return hard.join(messages(spark, sf).select("msg_id", F.date_format("created_at", "yyyy-MM-dd").alias("day")), "msg_id").groupBy("type", "hash").agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
