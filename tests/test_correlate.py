@@ -2,6 +2,7 @@
 
 import random
 
+from sentrail.operators import components as G
 from sentrail.operators import correlate as C
 
 
@@ -43,3 +44,14 @@ def test_reputation_before(spark):
         if reports or len(seen) + reports > 1:
             want.add((m, h, len(seen) + reports, reports, min(10.0, 3 + 2.5 * min(3, reports))))
     assert {(r.msg_id, r.hash, r.sighting_count, r.report_count, r.weight) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_campaigns_of_a_hot_report(spark, monkeypatch):
+    """Components named by their smallest report, whatever the signs of ids, with nodes of many neighbours by broadcast."""
+    monkeypatch.setattr(G, "LARGE", 3)
+    calls, plain = [], G.with_hot
+    monkeypatch.setattr(G, "with_hot", lambda *x: calls.append(1) or plain(*x))
+    rows = [(-5, i) for i in range(12)] + [(r, r % 12) for r in range(40)] + [(100, -7), (101, -7), (102, 99), (None, 1), (3, None)]
+    got = C.campaigns(spark.createDataFrame(rows, "report_id long, indicator long")).collect()
+    want = {(r, -5) for r in [-5, *range(40)]} | {(100, 100), (101, 100), (102, 102)}
+    assert calls and {(r.report_id, r.campaign) for r in got} == want and len(got) == len(want)
