@@ -52,7 +52,7 @@ def brand_domain_conflict(spark, sf):
 
 def indicator_sightings(spark, sf):
     """Hard indicators of messages: how often and when they were seen."""
-    hard = E.extract(messages(spark, sf), kinds=["domain", "phone", "upi", "email", "ifsc"])
+    hard = E.hard_indicators(E.extract(messages(spark, sf), kinds=["domain", "phone", "upi", "email", "ifsc"]))
     return hard.join(messages(spark, sf).select("msg_id", F.date_format("created_at", "yyyy-MM-dd").alias("day")), "msg_id").groupBy("type", "hash").agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
