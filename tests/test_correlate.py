@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sentrail.operators import components as G
+from sentrail.sources import shared
 from sentrail.operators import correlate as C
 
 
@@ -55,3 +58,23 @@ def test_campaigns_of_a_hot_report(spark, monkeypatch):
     got = C.campaigns(spark.createDataFrame(rows, "report_id long, indicator long")).collect()
     want = {(r, -5) for r in [-5, *range(40)]} | {(100, 100), (101, 100), (102, 102)}
     assert calls and {(r.report_id, r.campaign) for r in got} == want and len(got) == len(want)
+
+
+def test_narrow_tables_are_cut_by_rows(spark):
+    """While a narrow table is written, tasks take few bytes and there are partitions for its rows; then all is as before."""
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", shared.PARTITIONS]
+    before, seen = [spark.conf.get(k, None) for k in names], []
+
+    class Table:
+        sparkSession, schema = spark, "a long"
+
+        @property
+        def write(self):
+            return self
+
+        def parquet(self, path):
+            seen.append([spark.conf.get(k, None) for k in names])
+            spark.range(3).select(F.col("id").alias("a")).write.parquet(path)
+
+    assert shared.written(Table(), narrow=7 * shared.ROWS_A_PARTITION).count() == shared.written(Table()).count() == 3
+    assert seen == [["8m", "16m", "7"], before] and [spark.conf.get(k, None) for k in names] == before
