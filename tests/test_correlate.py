@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sentrail.operators import components as G
 from sentrail.sources import shared
 from sentrail.operators import correlate as C
+from sentrail.operators import ranks as R
 
 
 def test_duplicates(spark):
@@ -78,3 +79,16 @@ def test_narrow_tables_are_cut_by_rows(spark):
 
     assert shared.written(Table(), narrow=7 * shared.ROWS_A_PARTITION).count() == shared.written(Table()).count() == 3
     assert seen == [["8m", "16m", "7"], before] and [spark.conf.get(k, None) for k in names] == before
+
+
+def test_rows_before(spark):
+    """The rows before a row in its group, over ranges, for a hot key, ties, lone rows and a null key."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, 40 + i % 50, None]), rng.randrange(20), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, at long, i long").withColumn("own", F.col("i") * 2)
+    got = {r.i: [(b.at, b.i, b.own) for b in r.before] for r in R.before(df, "k", ["at", "i"], 5, ["own"]).collect()}
+    want, groups = {}, {}
+    for k, at, i in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1], r[2])):
+        want[i] = groups.setdefault(k, [])[-5:]
+        groups[k].append((at, i, 2 * i))
+    assert got == want
