@@ -81,6 +81,23 @@ def test_narrow_tables_are_cut_by_rows(spark):
     assert seen == [["8m", "16m", "7"], before] and [spark.conf.get(k, None) for k in names] == before
 
 
+def test_campaign_tasks_follow_the_rows(spark, monkeypatch):
+    """Every table of campaigns, and of what is joined with them, is written with partitions for its rows."""
+    mentions = spark.createDataFrame([(r, r // 2) for r in range(50)] + [(r, 100 + r % 3) for r in range(30)], "report_id long, indicator long")
+    reports = spark.range(50).select(F.col("id").alias("report_id"), F.lit("a").alias("category"), F.to_timestamp(F.lit("2020-01-31")).alias("created_at"))
+    seen, plain = [], shared.written
+    spy = lambda df, path=None, narrow=None: seen.append(narrow or 0) or plain(df, path, narrow)
+    monkeypatch.setattr(G, "written", spy)
+    monkeypatch.setattr(C, "written", spy)
+    of = C.campaigns(mentions)
+    assert len(seen) > 3 and min(seen) == 160
+    for rows, made in [(50, lambda: C.campaign_stats(of, reports)), (80, lambda: C.edges(of, mentions)), (80, lambda: C.rotation(of, mentions)), (80, lambda: C.shared_indicators(of, mentions)), (50, lambda: C.timeline(of, reports))]:
+        seen.clear()
+        made()
+        assert seen and set(seen) == {rows}
+    assert {(r.month, r.n) for r in C.timeline(of, reports).collect()} == {("2020-01", 30), ("2020-01", 2)}
+
+
 def test_rows_before(spark):
     """The rows before a row in its group, over ranges, for a hot key, ties, lone rows and a null key."""
     rng = random.Random(3)
