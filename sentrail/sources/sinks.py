@@ -26,11 +26,18 @@ def fan_out(analyses: DataFrame, factors: DataFrame, entities: DataFrame, folder
     """
     rows = written(analyses)
     of = rows.select("msg_id", "created_at", batch)
+    put_tables(rows, factors.join(of, "msg_id"), written(entities.join(of, "msg_id")), folder, batch=batch)
+
+
+def put_tables(rows: DataFrame, factors: DataFrame, found: DataFrame, folder: str, *, batch: str = "batch") -> None:
+    """The tables of ``fan_out`` where factors and entities carry created_at and ``batch`` of their message already.
+
+    All three are read as often as they are needed, so they should be tables or cheap to make of one.
+    """
     _put(rows.drop("text"), folder, "analyses", batch)
-    _put(factors.join(of, "msg_id").select("msg_id", F.col("name").alias("factor"), "family", "weight", "observed", F.substring("evidence", 1, MOST_SPAN).alias("evidence_span"), "source", batch), folder, "risk_factors", batch)
+    _put(factors.select("msg_id", F.col("name").alias("factor"), "family", "weight", "observed", F.substring("evidence", 1, MOST_SPAN).alias("evidence_span"), "source", batch), folder, "risk_factors", batch)
     text = F.coalesce(F.col("text"), F.lit(""))
     _put(rows.select("msg_id", F.lit("raw_text").alias("type"), F.substring(text, 1, MOST_TEXT).alias("redacted_value"), F.sha2(text, 256).alias("hash"), F.lit(False).alias("is_public"), batch), folder, "evidence", batch)
-    found = written(entities.join(of, "msg_id"))
     _put(found.select("msg_id", F.col("hash").alias("entity_id"), "confidence", F.substring("raw", 1, MOST_SPAN).alias("evidence_span"), batch), folder, "analysis_entities", batch)
     seen = found.groupBy(batch, F.col("hash").alias("entity_id"), "type").agg(
         F.min_by("display", F.struct("created_at", "msg_id")).alias("display_value"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.count("*").alias("sighting_count")

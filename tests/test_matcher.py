@@ -66,3 +66,18 @@ def test_entries(spark):
     df = spark.createDataFrame([("Udane, unga UDANE",), ("xudane",), (None,)], "t string")
     got = [r.e for r in df.select(M.tanglish_entries(df["t"]).alias("e")).collect()]
     assert got[0] == [s for s in T.longest_first(fixed.TANGLISH) if re.search(rf"\b{re.escape(s)}\b", "udane, unga udane")] and got[1:] == [[], []]
+
+
+def test_copies_in_a_batch_are_judged_once():
+    """Every row gets what its text has, nulls too, and each distinct row is judged once."""
+    import pyarrow as pa
+
+    seen = []
+
+    def build(rows):
+        seen.extend(rows)
+        return pa.array([{"n": [f"{a}{b}"], "m": [("k", 1)]} for a, b in rows], pa.struct([("n", pa.list_(pa.string())), ("m", pa.map_(pa.string(), pa.int32()))]))
+
+    a, b = ["x", "y", "x", None, "x", None], ["1", "1", "1", "2", None, "2"]
+    got = M.once(build, pa.array(a), pa.array(b)).to_pylist()
+    assert [r["n"] for r in got] == [[f"{x}{y}"] for x, y in zip(a, b)] and seen == [("x", "1"), ("y", "1"), (None, "2"), ("x", None)]

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from sentrail.operators import entities as E
 from sentrail.operators import fusion as R
 from sentrail.sources import images, labelled, sinks
 
@@ -87,3 +88,11 @@ def test_generate(spark):
     got = sorted((r.template_id, r.text or "") for r in labelled.generate(rows, slots, variants=3).collect())
     want = sorted((f"l:train:{n}", plain(t, n * 7 + v * 3) if t is not None else "") for n, t in enumerate([*templates, None]) for v in range(3))
     assert got == want
+
+
+def test_entities_in_the_row_of_their_message(spark):
+    """Arrays of entities, made rows when they are written, are the entities of ``extract``; copies of a text have them too."""
+    rows = spark.createDataFrame([(1, "Pay a.b@ybl now"), (2, None), (3, "Pay a.b@ybl now"), (4, "call 9876543210, see http://x.top/a")], "msg_id long, text string")
+    cols = ["msg_id", "type", "hash", "display", "raw", "confidence"]
+    got = E.with_hashes(rows.select("msg_id", E.found_in(F.col("text")).alias("found")), "found", "msg_id").select(*cols).collect()
+    assert sorted(got) == sorted(E.extract(rows).select(*cols).collect()) and {r.msg_id for r in got} == {1, 3, 4}
