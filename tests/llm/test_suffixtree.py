@@ -10,6 +10,7 @@ import plain_suffixtree as plain
 import pyarrow as pa
 
 from sentrail.llm import suffixtree as st
+from sentrail.sources import shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,3 +142,21 @@ def test_scores_do_not_depend_on_pieces(spark, monkeypatch):
     monkeypatch.setattr(st, "HELD", 200)
     got = sorted((r.doc_id or -1, r.score) for r in st.score(docs, passes=1, hot_share=1.0, table_share=1.0).collect())
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9)
+
+
+def test_no_table_of_askers(spark, tmp_path, monkeypatch):
+    """What tokens ask for is never written as a table, and tables are packed: a few rows for all runs and texts."""
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "d", "e"], 400))) for k in range(50)]
+    seen, plain = {}, st.Scratch.keep
+
+    def keep(self, name, pieces):
+        seen[name] = plain(self, name, pieces)
+        return seen[name]
+
+    monkeypatch.setattr(st.Scratch, "keep", keep)
+    monkeypatch.setattr(st.Scratch, "drop", lambda self, name: None)
+    monkeypatch.setattr(st, "written", lambda df, path=None: seen.setdefault(f"w{len(seen)}", shared.written(df, path)))
+    assert st.score(spark.createDataFrame(rows, "doc_id long, text string")).count() == 50
+    assert not [k for k, df in seen.items() if any(kind.startswith("array") for _, kind in df.dtypes)]
+    assert all(seen[k].columns == ["to", "kind", "rows"] and seen[k].count() < 60 for k in ("found", "longer", "pairs", "deep", "weights", "words"))
