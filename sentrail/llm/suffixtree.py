@@ -38,7 +38,7 @@ TABLE_SHARE = 2e-7
 LEAST, HOT_SHARE = 2, 2e-6
 PASSES = 2
 FILTER_BITS = 27
-HELD, PACKED_BYTES = 1 << 18, 32 << 20
+HELD, PIECE, PACKED_BYTES = 1 << 18, 1 << 15, 32 << 20
 TURN = 17
 PACKED, SEGMENT = "to int, kind int, rows binary", 20
 RUN, PAIR, WEIGHT, WORD = [np.uint64] * 3 + [np.int64], [np.uint64] * 2 + [np.int64] * 5, [np.uint64, np.int64, np.float64], [np.uint64, np.float64, np.float64]
@@ -174,8 +174,15 @@ def _joined(held: list) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _pieces(kind: int, columns: list[np.ndarray]):
+    """Packed rows of a table that is kept: of ``PIECE`` rows at most, as the JVM holds large values twice."""
+    for a in range(0, len(columns[0]), PIECE):
+        piece = [x[a : a + PIECE] for x in columns]
+        yield _packed(kind, 1, piece[0], piece)
+
+
 def _sent(df: DataFrame, kind: int, to: int, arrays) -> DataFrame:
-    """The packed columns that ``arrays(batch)`` gives, the key first, of up to ``HELD`` rows at a time."""
+    """The packed columns that ``arrays(batch)`` gives, the key first, of up to ``HELD`` rows at a time; with one partition a table to keep."""
 
     def run(batches):
         held = []
@@ -183,11 +190,11 @@ def _sent(df: DataFrame, kind: int, to: int, arrays) -> DataFrame:
             held.append(arrays(batch))
             if sum(len(h[0]) for h in held) >= HELD:
                 key, *columns = _joined(held)
-                yield _packed(kind, to, key, columns)
+                yield from _pieces(kind, columns) if to == 1 else [_packed(kind, to, key, columns)]
                 held = []
         if held:
             key, *columns = _joined(held)
-            yield _packed(kind, to, key, columns)
+            yield from _pieces(kind, columns) if to == 1 else [_packed(kind, to, key, columns)]
 
     return df.mapInArrow(tidily(run), PACKED)
 
@@ -286,9 +293,7 @@ def _counted(texts: DataFrame, sizes: list[int], part: int, parts: int, least: f
                 g, *others, n = squeeze(kept[size])
                 often = n >= least
                 g, y, up, n = g[often], others[0][often], others[-1][often], n[often]
-                for a in range(0, len(g), HELD):
-                    columns = [x[a : a + HELD] for x in (g, y, up, n)]
-                    yield _packed(size, 1, columns[0], columns)
+                yield from _pieces(size, [g, y, up, n])
 
     return texts.mapInArrow(tidily(count), PACKED).repartitionById(to, "to").mapInArrow(tidily(merge), PACKED)
 
@@ -417,9 +422,7 @@ def _deeper(pairs: DataFrame, longer: DataFrame, floor: float, least: float, str
         found += [(c[kept], total[kept], left(rest[kept], total[kept])) for c, total, rest, kept in ((c2, total2, rest2, kept2), (c3, total3, rest3, kept3))]
         words = np.unique(word[kept2])
         for kind, columns in [*((0, x) for x in found), (1, (words,))]:
-            for a in range(0, len(columns[0]), HELD):
-                piece = [x[a : a + HELD] for x in columns]
-                yield _packed(kind, 1, piece[0], piece)
+            yield from _pieces(kind, columns)
 
     ended = _sent(pairs, 0, to, of_pairs).unionByName(_sent(longer, 1, to, entries))
     ended = ended.repartitionById(to, "to").sortWithinPartitions("kind").mapInArrow(tidily(with_pairs), PACKED)
